@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionlake.llm import byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality
+from sessionlake.llm import ann, byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +35,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_license_scan, op3_byte_bpe, op4_line_dedup, op5_language_id, op9_quality)
+    for f in (op1_decontaminate, op2_license_scan, op3_byte_bpe, op4_line_dedup, op5_language_id, op8_url_filter, op9_quality, op10_nearest)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_filter.ORACLE}
