@@ -1,8 +1,74 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; ``run`` writes each stage's
+result to the shared folder as Parquet and reads it again as the next one's documents. All but the last return the columns
+of ``documents``.
+
+1. quality: documents that the quality classifier rejects go.
+2. lines: lines of at least 20 characters that three or more documents hold stay only in the largest doc_id's.
+3. near_duplicates: one document of each SimHash group stays, the smallest doc_id (three-word shingles, two bits, as op7).
+4. decontaminate: documents that hold benchmark passages beyond the contamination rule go.
+5. tokens: byte-level BPE ids, with digests of the ids and of the text that they decode to.
+
+The pipeline has no SQL: classifier, SimHash and BPE cannot be expressed in it; tests compare each stage with plain Python.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionlake.llm import byte_bpe, decontaminate, line_dedup, quality, simhash
+from sessionlake.llm.common import stored
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier predicts as good; learned from ``labels`` of the documents at hand."""
+    model = quality.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, keep_text=True).where("predicted = 1").select(docs.columns)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its repeated lines gone; n_chars follows the text, a null text stays null."""
+    kept = line_dedup.dedup_lines(docs, with_columns=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    out = kept.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that aren't contaminated by ``benchmark``."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of every row."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.encode_digests(docs, path, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("lines", lines_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("decontaminate", decontaminate_stage),
+    ("tokens", tokens_stage),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

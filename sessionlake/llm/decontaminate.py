@@ -171,27 +171,36 @@ class SuffixAutomaton:
         return [(a, b) for a, b in spans], found
 
 
-HITS = "n_words long, spans array<struct<start:long,end:long>>, item_ids array<string>"
+HITS = "struct<n_words:long,spans:array<struct<start:long,end:long>>,item_ids:array<string>>"
 
 
-def _scan_block(docs: DataFrame, automaton, id_type: str) -> DataFrame:
+def _scan_block(docs: DataFrame, automaton, name: str) -> DataFrame:
+    """``docs`` with the hits of one block of items in a column ``name``."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam: SuffixAutomaton = automaton.value
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("item_ids", pa.list_(pa.string()))])
         for batch in by_batch(batches):
-            counts, spans, items = [], [], []
+            hits = []
             for text in raw(batch, "text"):
                 words = words_of(text)
-                hit, found = sam.scan(words)
-                counts.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in hit])
-                items.append(sorted(found))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string())), batch.column(1)],
-                ["doc_id", "n_words", "spans", "item_ids", "text"],
-            )
+                spans, found = sam.scan(words)
+                hits.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "item_ids": sorted(found)})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(scan, ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + f", `{name}` {HITS}")
 
-    return docs.mapInArrow(scan, f"doc_id {id_type}, {HITS}, text string")
+
+def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator:
+    """A broadcast automaton for each block of about ``block_words`` words of the items."""
+    spark = items.sparkSession
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_words))
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
+        yield spark.sparkContext.broadcast(SuffixAutomaton([(r.item_id, words_of(r.text.encode())) for r in rows], window))
 
 
 def find_contamination(
@@ -201,33 +210,43 @@ def find_contamination(
 
     ``docs`` has doc_id and text, ``items`` has item_id and text; other columns are ignored.
     """
-    spark, id_type = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text")
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
-    parts = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # about block_words words
-        sam = SuffixAutomaton([(r.item_id, words_of(r.text.encode())) for r in rows], window)
-        parts.append(_scan_block(docs, spark.sparkContext.broadcast(sam), id_type))
+    parts = [_scan_block(docs, sam, "hits").select("doc_id", "text", "hits.*") for sam in _blocks(items, window, block_words)]
     hits = parts[0]
-    if blocks > 1:
+    if len(parts) > 1:
         for p in parts[1:]:
             hits = hits.unionAll(p)
         hits = (
             hits.groupBy("doc_id", "text", "n_words")
             .agg(F.count("*").alias("n"), F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int"))))
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int"))))
             .withColumn("spans", _merged("spans"))
             .drop("n", "copy")
         )
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return hits.withColumn("n_hit", n_hit).withColumn(
+    return hits.withColumn("n_hit", _total("spans")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= coverage * F.col("n_words"))
     )
 
 
+def _total(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 13, block_words: int = 100_000) -> DataFrame:
+    """The rows of ``docs`` (all columns) that the contract's rule doesn't call contaminated."""
+    automata = list(_blocks(items, window, block_words))
+    if len(automata) == 1:
+        name = "hits"
+        while name in docs.columns:
+            name += "_"
+        n_hit = _total(f"{name}.spans")
+        bad = (n_hit > 0) & (20 * n_hit >= F.col(f"{name}.n_words"))
+        return _scan_block(docs, automata[0], name).where(~bad).select(docs.columns)
+    hits = digest(find_contamination(docs, items, window, block_words=block_words), "text").where("contaminated")
+    bad = hits.select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_text")).distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id) & (F.xxhash64(docs.text) == bad.bad_text), "left_anti")
+
+
 def _merged(spans: str):
     """Sorted spans with overlapping ones joined."""
     kind = "array<struct<start:bigint,end:bigint>>"
@@ -265,13 +284,13 @@ def remove_spans(hits: DataFrame, min_span: int = 13) -> DataFrame:
     return hits.select("doc_id", "text", "contaminated", "spans").mapInArrow(cut, f"doc_id {dict(hits.dtypes)['doc_id']}, text string")
 
 
-def digest(hits: DataFrame) -> DataFrame:
-    """The contract's columns."""
+def digest(hits: DataFrame, *more: str) -> DataFrame:
+    """The contract's columns, and ``more`` ones of ``hits``."""
     ids = F.array_sort(F.array_distinct("item_ids"))
     return hits.select(
         "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *more,
     )
 
 

@@ -156,14 +156,14 @@ def batch_of(doc_id, batches: int):
 
 
 def dedup_lines(
-    docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fanout: int = 2
+    docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fanout: int = 2, with_columns: bool = False
 ) -> DataFrame:
-    """doc_id, kept (the text that stays), n_lines and n_dropped of every row.
+    """doc_id, kept (the text that stays), n_lines and n_dropped of every row; all columns of ``docs`` too if asked for.
 
     The documents come in ``batches`` batches by a hash of their id, as they would over time.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs if with_columns else docs.select("doc_id", "text")
     keys = stored(line_keys(docs, least_chars).distinct(), "line-keys")
     runs = LineRuns(spark, fanout=fanout)
     for b in range(batches):
@@ -178,12 +178,12 @@ def dedup_lines(
         .agg(F.collect_list(F.struct("h1", "h2")).alias("lost"))
         .withColumnRenamed("doc_id", "lost_id")
     )
-    joined = docs.join(losses.hint("merge"), docs.doc_id.eqNullSafe(losses.lost_id), "left").select("doc_id", "text", "lost")
+    joined = docs.join(losses.hint("merge"), docs.doc_id.eqNullSafe(losses.lost_id), "left").select(*docs.columns, F.col("lost").alias("_lost"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_batch(parts):
             kept, lines, dropped = [], [], []
-            for text, lost in zip(raw(batch, "text"), batch.column(2).to_pylist(), strict=True):
+            for text, lost in zip(raw(batch, "text"), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 split = (text or b"").split(b"\n")
                 lines.append(len(split))
                 if lost:
@@ -191,12 +191,14 @@ def dedup_lines(
                     split = [x for x in split if not (len(x) >= least_chars and code_points(k := key_of(x)) >= least_chars and _hash(k) in gone)]
                 dropped.append(lines[-1] - len(split))
                 kept.append(b"\n".join(split))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
-                ["doc_id", "kept", "n_lines", "n_dropped"],
-            )
-
-    return joined.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, kept string, n_lines long, n_dropped long")
+            own = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+            names = batch.schema.names[:-1] if with_columns else ["doc_id"]
+            columns = batch.columns[:-1] if with_columns else [batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*columns, *own], [*names, "kept", "n_lines", "n_dropped"])
+
+    kinds = dict(docs.dtypes) if with_columns else {"doc_id": dict(docs.dtypes)["doc_id"]}
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds.items())
+    return joined.mapInArrow(run, f"{schema}, kept string, n_lines long, n_dropped long")
 
 
 def digest(deduped: DataFrame) -> DataFrame:
