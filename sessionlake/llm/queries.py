@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import ann, byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality, simhash, url_filter
+from sessionlake.llm import ann, byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality, secret_scan, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.group_documents(_table(spark, sf_dir, "documents")))
 
@@ -53,7 +57,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_license_scan, op3_byte_bpe, op4_line_dedup, op5_language_id, op7_simhash, op8_url_filter, op9_quality, op10_nearest)
+    for f in (op1_decontaminate, op2_license_scan, op3_byte_bpe, op4_line_dedup, op5_language_id, op6_secret_scan, op7_simhash, op8_url_filter, op9_quality, op10_nearest)
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_secret_scan": secret_scan.oracle(), "op8_url_filter": url_filter.ORACLE}
