@@ -60,4 +60,9 @@ QUERIES = {
     for f in (op1_decontaminate, op2_license_scan, op3_byte_bpe, op4_line_dedup, op5_language_id, op6_secret_scan, op7_simhash, op8_url_filter, op9_quality, op10_nearest)
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_secret_scan": secret_scan.oracle(), "op8_url_filter": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op6_secret_scan": secret_scan.oracle(),
+    "op8_url_filter": url_filter.ORACLE,
+}
