@@ -94,7 +94,7 @@ class PerfectHash:
 class ByteBpe:
     """An encoder for one worker; ``remember`` bounds the table of pieces."""
 
-    def __init__(self, table: PerfectHash, pattern: str, remember: int = 300_000):
+    def __init__(self, table: PerfectHash, pattern: str, remember: int = 100_000):
         self.table, self.tokens, self.pattern = table, table.keys, regex.compile(pattern)
         self.longest = max(map(len, self.tokens), default=0)
         self.ranks = {t: i for i, t in enumerate(self.tokens)}  # of the parts that merges make
