@@ -131,7 +131,7 @@ class LineRuns:
 
     def _union(self, names: list[str]) -> DataFrame:
         # As plain files: Spark 4.1 takes a union of bucketed tables to be dealt by the key, and its sums then stay apart.
-        return self.spark.read.parquet(*(self.paths[name] for name in names))
+        return self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*(self.paths[name] for name in names))
 
     def frequent(self, least_docs: int = 3) -> DataFrame:
         """h1, h2, n_docs, last_doc of the keys found in ``least_docs`` documents or more, over all batches."""
@@ -171,23 +171,27 @@ def dedup_lines(
     frequent = stored(runs.frequent(least_docs), "frequent-lines")
     runs.drop()
     # Only documents that lose lines get a row here; each has its own keys at most.
+    lost = "lost"
+    while lost in docs.columns:
+        lost += "_"
     losses = (
         keys.join(frequent.hint("merge"), ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("h1", "h2")).alias("lost"))
-        .withColumnRenamed("doc_id", "lost_id")
+        .agg(F.collect_list(F.struct("h1", "h2")).alias(lost))
+        .withColumnRenamed("doc_id", f"{lost}_id")
     )
-    joined = docs.join(losses.hint("merge"), docs.doc_id.eqNullSafe(losses.lost_id), "left").select(*docs.columns, F.col("lost").alias("_lost"))
+    same = docs["doc_id"].eqNullSafe(losses[f"{lost}_id"])
+    joined = docs.join(losses.hint("merge"), same, "left").select(*[docs[c] for c in docs.columns], losses[lost])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_batch(parts):
             kept, lines, dropped = [], [], []
-            for text, lost in zip(raw(batch, "text"), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, keys_lost in zip(raw(batch, "text"), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 split = (text or b"").split(b"\n")
                 lines.append(len(split))
-                if lost:
-                    gone = {(x["h1"], x["h2"]) for x in lost}
+                if keys_lost:
+                    gone = {(x["h1"], x["h2"]) for x in keys_lost}
                     split = [x for x in split if not (len(x) >= least_chars and code_points(k := key_of(x)) >= least_chars and _hash(k) in gone)]
                 dropped.append(lines[-1] - len(split))
                 kept.append(b"\n".join(split))
