@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.text import nonempty, sort_ts, uuid7_ts
+from sessionlake.sources.transcripts import sorted_json
 
 
 def _at(c: Column | str, path: str) -> Column:
@@ -109,7 +110,7 @@ def capture_events(lines: DataFrame) -> DataFrame:
     item = _at("line", "$.message.params.item")
     item_kind = _at(item, "$.type")
     completed = F.when(item_kind.isin("agentMessage", "plan"), F.trim(_at(item, "$.text"))).when(
-        item_kind.isNotNull() & (item_kind != "userMessage"), F.concat(F.lit("[tool: "), item_kind, F.lit("] "), F.to_json(F.try_parse_json(item)))
+        item_kind.isNotNull() & (item_kind != "userMessage"), F.concat(F.lit("[tool: "), item_kind, F.lit("] "), sorted_json(item))
     )
     text = (
         F.when(event == "user", F.trim(F.array_join(F.transform(said, lambda x: x["text"]), "\n")))
@@ -156,10 +157,10 @@ def captured_chats(lines: DataFrame) -> DataFrame:
     return out.withColumn("first_ts", F.coalesce("first_ts", uuid7_ts(F.col("thread")) / 1000))
 
 
-#: What diagnostic log rows hold: user input as a JSON text, tool calls, directories.
-LOG_USER = r'UserInput.*?text: ("(?:[^"\\]|\\.)*")'
-LOG_TOOL = r"(?s)ToolCall: (\S+) (.*)"
-LOG_CWD = r'cwd: "([^"]+)"'
+# What diagnostic log rows hold of user input (as a JSON text), tool calls and directories.
+LOG_USER = r'(?s)Text \{ text: ("(?:\\.|[^"\\])*"), text_elements:'
+LOG_TOOL = r"(?s):handle_output_item_done: ToolCall: (\S+)\s+(.*?)(?:\n thread_id=|\z)"
+LOG_CWD = r"\bcwd=([^\s}:]+)"
 
 
 def fallback_chat_messages(chats: DataFrame, logs: DataFrame, user: str = LOG_USER, tool: str = LOG_TOOL) -> DataFrame:

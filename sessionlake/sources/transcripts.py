@@ -53,6 +53,18 @@ def indented_json(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else json.dumps(json.loads(v), indent=2, ensure_ascii=False))
 
 
+@F.pandas_udf(StringType())
+def sorted_json(values: pd.Series) -> pd.Series:
+    """JSON text with sorted keys and spaces after separators, non-ASCII kept."""
+    return values.map(lambda v: None if v is None else json.dumps(json.loads(v), ensure_ascii=False, sort_keys=True))
+
+
+@F.pandas_udf(StringType())
+def spaced_json(values: pd.Series) -> pd.Series:
+    """JSON text with spaces after separators, in ASCII."""
+    return values.map(lambda v: None if v is None else json.dumps(json.loads(v)))
+
+
 def _at(c: Column | str, path: str) -> Column:
     return F.get_json_object(c, path)
 
@@ -168,7 +180,8 @@ def claude_messages(lines: DataFrame) -> DataFrame:
     )
     used = (F.col("type") == "assistant") & (F.col("kind") == "tool_use")
     name = F.coalesce(_at("block", "$.name"), F.lit("unknown"))
-    given = nonempty(F.when(~_at("block", "$.input").isin("{}", "[]", '""'), _at("block", "$.input")))
+    is_object = _kind("block", "$.input").startswith("OBJECT") | _kind("block", "$.input").startswith("ARRAY")
+    given = nonempty(F.when(~_at("block", "$.input").isin("{}", "[]", '""'), F.when(is_object, spaced_json(F.when(is_object, _at("block", "$.input")))).otherwise(_at("block", "$.input"))))
     rows = rows.withColumn("tool", F.when(used, name))
     part = F.when(used, F.concat(F.lit("[tool: "), name, F.lit("] "), F.left(given, F.lit(MOST_INPUT)))).otherwise(said)
     out = _joined(rows, part, "type", "ts")
@@ -182,6 +195,8 @@ def claude_messages(lines: DataFrame) -> DataFrame:
 _CALLS = ("function_call", "custom_tool_call", "tool_search_call", "web_search_call")
 _OUTPUTS = ("function_call_output", "custom_tool_call_output", "tool_search_output")
 _TEXTS = ("input_text", "output_text", "text")
+# Fixed value: what stands for reasoning of which only the encrypted form is there.
+SEALED = "[reasoning content is encrypted by the model provider; not recoverable from the rollout file]"
 
 
 def _codex_payloads(lines: DataFrame) -> DataFrame:
@@ -191,9 +206,11 @@ def _codex_payloads(lines: DataFrame) -> DataFrame:
     return rows.where("payload is not null").withColumn("kind", _at("payload", "$.type"))
 
 
-def _texts_of(path: str, kinds: tuple[str, ...] = _TEXTS) -> Column:
+def _texts_of(path: str, kinds: tuple[str, ...] | None = _TEXTS) -> Column:
+    """A text, or the texts of a list's blocks of the given types (None: of all) joined by newlines."""
     parts = F.from_json(_at("payload", path), "array<struct<type:string,text:string>>")
-    chosen = F.filter(parts, lambda b: b["type"].isin(*kinds) & (F.coalesce(b["text"], F.lit("")) != ""))
+    said = lambda b: F.coalesce(b["text"], F.lit("")) != ""
+    chosen = F.filter(parts, said if kinds is None else lambda b: b["type"].isin(*kinds) & said(b))
     listed = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
     return F.when(_kind("payload", path) == "STRING", _at("payload", path)).otherwise(F.coalesce(listed, F.lit("")))
 
@@ -204,8 +221,8 @@ def codex_entries(lines: DataFrame) -> DataFrame:
     kind = F.col("kind")
     call, output = kind.isin(*_CALLS), kind.isin(*_OUTPUTS)
     role = F.when(kind == "message", F.coalesce(nonempty(_at("payload", "$.role")), F.lit("unknown"))).when(kind == "reasoning", "reasoning").when(call, "tool_call").when(output, "tool_result")
-    thought = F.concat_ws("\n", nonempty(_texts_of("$.summary", ("summary_text", "text"))), nonempty(_texts_of("$.content", ("reasoning_text", "text"))))
-    sealed = F.when(_at("payload", "$.encrypted_content").isNotNull(), "[encrypted reasoning]").otherwise("")
+    thought = F.concat_ws("\n", nonempty(_texts_of("$.summary", None)), nonempty(_texts_of("$.content", None)))
+    sealed = F.when(nonempty(_at("payload", "$.encrypted_content")).isNotNull(), SEALED).otherwise("")
     given = F.coalesce(_at("payload", "$.arguments"), indented_json(F.coalesce(_at("payload", "$.input"), _at("payload", "$.action"), F.lit("{}"))))
     plain_input = F.when(_at("payload", "$.arguments").isNull() & (_kind("payload", "$.input") == "STRING"), F.to_json(F.struct(_at("payload", "$.input").alias("x"))))
     given = F.when(plain_input.isNotNull(), F.regexp_extract(plain_input, r'(?s)^\{"x":(.*)\}$', 1)).otherwise(given)

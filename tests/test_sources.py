@@ -34,7 +34,7 @@ def test_claude(spark, tmp_path):
     assert (s.session_id, s.git_branch, s.cwd, s.model, s.started_at, s.ended_at) == ("s1", "main", "/w", "m1", "2026-01-01T00:00:00Z", "2026-01-01T00:00:02Z")
     assert [r.ts for r in S.claude_entries(lines).where("role = 'thinking'").collect()] == ["2026-01-01T00:00:00.500000+00:00"]
     m = S.claude_messages(lines).orderBy("idx").collect()
-    assert [(r.role, r.text, r.tools) for r in m] == [("user", "hello", []), ("assistant", 'ok é\n[tool: Bash] {"cmd":"ls","n":[1]}', ["Bash"]), ("assistant", "", ["Late"])]
+    assert [(r.role, r.text, r.tools) for r in m] == [("user", "hello", []), ("assistant", 'ok é\n[tool: Bash] {"cmd": "ls", "n": [1]}', ["Bash"]), ("assistant", "", ["Late"])]
 
 
 def test_codex(spark, tmp_path):
@@ -52,7 +52,7 @@ def test_codex(spark, tmp_path):
     lines = S.read_raw_lines(spark, str(tmp_path))
     e = S.codex_entries(lines)
     assert entries(e) == [
-        ("user", None, "<cwd>/w/x</cwd> hi"), ("reasoning", None, "why"), ("reasoning", None, "[encrypted reasoning]"), ("tool_call", "sh", '{"a":1}'), ("tool_result", "sh", "done"),
+        ("user", None, "<cwd>/w/x</cwd> hi"), ("reasoning", None, "why"), ("reasoning", None, S.SEALED), ("tool_call", "sh", '{"a":1}'), ("tool_result", "sh", "done"),
         ("assistant", None, "old style"),
     ]
     meta = {r.session_id: r for r in S.codex_session_meta(lines, e).collect()}
@@ -138,7 +138,7 @@ def test_captures(spark):
 def test_fallback_and_merge(spark):
     chats = spark.createDataFrame([("th", ["first", "logged"])], "thread string, prompts array<string>")
     logs = spark.createDataFrame(
-        [(7, 100, 0, "th", "core::session::handlers", 'UserInput { items: [ text: "logged" ] }'), (8, 101, 500000000, "th", "core::stream_events_utils", "ToolCall: shell {\"a\": 1} ")],
+        [(7, 100, 0, "th", "core::session::handlers", 'UserInput { items: [Text { text: "logged", text_elements: [] }] }'), (8, 101, 500000000, "th", "core::stream_events_utils", "x:handle_output_item_done: ToolCall: shell {\"a\": 1} \n thread_id=th")],
         "id long, ts long, ts_nanos long, thread string, target string, body string",
     )
     f = stores.fallback_chat_messages(chats, logs)
