@@ -127,7 +127,7 @@ def has_letter(text: bytes) -> bool:
 def train(labelled: DataFrame, most_rows: int = 4000, windows_per_row: int = 4) -> ByteCnn | None:
     """A model from the rows of doc_id, text and lang; null texts and languages are left out."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    n = rows.select("lang").count()
+    n = labelled.where("lang is not null").count()  # without reading texts; null texts only make the sample smaller
     sample = rows.where(in_sample(F.col("doc_id"), most_rows / max(n, 1)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
