@@ -25,13 +25,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a local session without one gets a temporary folder."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    current = sc._jsc.sc().getCheckpointDir()
+    root = sc.getConf().get("spark.checkpoint.dir") or (current.get() if current.isDefined() else None)
     if not root:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(root)
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
+    elif current.isEmpty():
         sc.setCheckpointDir(root)
     return str(root).rstrip("/")
 
