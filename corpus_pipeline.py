@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sessionlake.llm import byte_bpe, decontaminate, line_dedup, quality, simhash
 from sessionlake.llm.common import stored
@@ -26,17 +25,12 @@ from sessionlake.llm.common import stored
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier predicts as good; learned from ``labels`` of the documents at hand."""
     model = quality.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, keep_text=True).where("predicted = 1").select(docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its repeated lines gone; n_chars follows the text, a null text stays null."""
-    kept = line_dedup.dedup_lines(docs, with_columns=True)
-    text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    out = kept.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+    return line_dedup.replace_lines(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,15 +156,12 @@ def batch_of(doc_id, batches: int):
     return F.pmod(F.xxhash64(doc_id), F.lit(batches))
 
 
-def dedup_lines(
-    docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fanout: int = 2, with_columns: bool = False
-) -> DataFrame:
-    """doc_id, kept (the text that stays), n_lines and n_dropped of every row; all columns of ``docs`` too if asked for.
+def _with_losses(docs: DataFrame, least_chars: int, least_docs: int, batches: int, fanout: int) -> DataFrame:
+    """``docs`` with a last column of the keys (h1, h2) that each row loses; null for none.
 
     The documents come in ``batches`` batches by a hash of their id, as they would over time.
     """
     spark = docs.sparkSession
-    docs = docs if with_columns else docs.select("doc_id", "text")
     keys = stored(line_keys(docs, least_chars).distinct(), "line-keys")
     runs = LineRuns(spark, fanout=fanout)
     for b in range(batches):
@@ -182,27 +180,52 @@ def dedup_lines(
         .withColumnRenamed("doc_id", f"{lost}_id")
     )
     same = docs["doc_id"].eqNullSafe(losses[f"{lost}_id"])
-    joined = docs.join(losses.hint("merge"), same, "left").select(*[docs[c] for c in docs.columns], losses[lost])
+    return docs.join(losses.hint("merge"), same, "left").select(*[docs[c] for c in docs.columns], losses[lost])
+
+
+def _kept_lines(text: bytes | None, lost: list[dict] | None, least_chars: int) -> tuple[bytes, int, int]:
+    """(the text that stays, lines before, lines dropped)."""
+    lines = (text or b"").split(b"\n")
+    if not lost:
+        return text or b"", len(lines), 0
+    gone = {(x["h1"], x["h2"]) for x in lost}
+    kept = [x for x in lines if not (len(x) >= least_chars and code_points(k := key_of(x)) >= least_chars and _hash(k) in gone)]
+    return b"\n".join(kept), len(lines), len(lines) - len(kept)
+
+
+def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fanout: int = 2) -> DataFrame:
+    """doc_id, kept (the text that stays), n_lines and n_dropped of every row."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_batch(parts):
+            found = [_kept_lines(t, lost, least_chars) for t, lost in zip(raw(batch, "text"), batch.column(2).to_pylist(), strict=True)]
+            kept, lines, dropped = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
+                ["doc_id", "kept", "n_lines", "n_dropped"],
+            )
+
+    joined = _with_losses(docs.select("doc_id", "text"), least_chars, least_docs, batches, fanout)
+    return joined.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, kept string, n_lines long, n_dropped long")
+
+
+def replace_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fanout: int = 2) -> DataFrame:
+    """``docs``, all columns, with the texts that stay; n_chars, if there, follows the text. A null text stays null."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_batch(parts):
-            kept, lines, dropped = [], [], []
-            for text, keys_lost in zip(raw(batch, "text"), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                split = (text or b"").split(b"\n")
-                lines.append(len(split))
-                if keys_lost:
-                    gone = {(x["h1"], x["h2"]) for x in keys_lost}
-                    split = [x for x in split if not (len(x) >= least_chars and code_points(k := key_of(x)) >= least_chars and _hash(k) in gone)]
-                dropped.append(lines[-1] - len(split))
-                kept.append(b"\n".join(split))
-            own = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-            names = batch.schema.names[:-1] if with_columns else ["doc_id"]
-            columns = batch.columns[:-1] if with_columns else [batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*columns, *own], [*names, "kept", "n_lines", "n_dropped"])
-
-    kinds = dict(docs.dtypes) if with_columns else {"doc_id": dict(docs.dtypes)["doc_id"]}
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds.items())
-    return joined.mapInArrow(run, f"{schema}, kept string, n_lines long, n_dropped long")
+            names, columns = batch.schema.names[:-1], list(batch.columns[:-1])
+            losses = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [t if t is None else _kept_lines(t, lost, least_chars)[0] for t, lost in zip(raw(batch, "text"), losses, strict=True)]
+            at = names.index("text")
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            if "n_chars" in names:
+                n = names.index("n_chars")
+                columns[n] = pc.utf8_length(columns[at]).cast(columns[n].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
+    return _with_losses(docs, least_chars, least_docs, batches, fanout).mapInArrow(run, schema)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -169,21 +169,33 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, partition
     return model
 
 
-def score(docs: DataFrame, model: Model | None, keep_text: bool = False) -> DataFrame:
+def _scores(batch: pa.RecordBatch, model: Model | None) -> np.ndarray:
+    stats = np.array([statistics(t) for t in raw(batch, "text")]).reshape(-1, len(STATISTICS))
+    return model.scores(stats) if model is not None and len(stats) else np.full(len(stats), 0.5)
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score and predicted of every row; reads doc_id and text only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model | None = shared.value
         for batch in by_batch(batches):
-            stats = np.array([statistics(t) for t in raw(batch, "text")]).reshape(-1, len(STATISTICS))
-            s = m.scores(stats) if m is not None and len(stats) else np.full(len(stats), 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
-
-    docs = docs if keep_text else docs.select("doc_id", "text")
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    out = docs.mapInArrow(run, f"{kinds}, score double, predicted int")
-    return out if keep_text else out.drop("text")
+            s = _scores(batch, shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, that are predicted as good (score 0.5 or more)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_batch(batches):
+            yield batch.filter(pa.array(_scores(batch, shared.value) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,6 +18,8 @@ def corpus(spark, tmp_path_factory):
     rows += [(200 + i, "spam " * 90, None, None) for i in range(25)] + [(300, None, None, None), (301, "", "en", "s")]
     rows += [(400, good(7)[:200] + " " + " ".join(f"b{k}" for k in range(40)), "en", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    for name in ("score", "predicted", "kept", "lost", "hits", "fp", "stats", "label"):  # names that the operators use
+        docs = docs.withColumn(name, F.lit(None).cast("string"))
     docs.write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(i, int(i < 200), 0) for i in [*range(0, 60), *range(200, 225)]], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(30))), (2, None)], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
