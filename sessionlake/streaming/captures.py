@@ -72,6 +72,7 @@ def stream_capture_messages(lines: DataFrame, idle: int = 600_000) -> DataFrame:
                         out.append((key[0], e.order, e.role, e.at, e.text, True))
             state.update(([tuple(i) for i in items.values()], sorted(done)))
             state.setTimeoutDuration(idle)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGES.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGES.split(", ")])
 
     return events.groupBy("thread").applyInPandasWithState(assemble, MESSAGES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -42,7 +42,8 @@ def stream_upload_state(events: DataFrame, ttl: int = 86_400_000) -> DataFrame:
             state.update(tuple(now[n] for n in names))
             if now["status"] in ABANDONED:
                 state.setTimeoutDuration(ttl)
-        yield pd.DataFrame([now] if now else [], columns=names)
+        if now:
+            yield pd.DataFrame([now], columns=names)
 
     return events.groupBy("upload_id").applyInPandasWithState(fold, STATE, _UPLOAD, "update", GroupStateTimeout.ProcessingTimeTimeout)
 

@@ -12,8 +12,9 @@ from tests.test_sources import CAPTURE
 
 def run(df, mode, tmp_path, **options):
     name = f"t{uuid.uuid4().hex[:8]}"
+    df.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timers would keep the query going
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     return df.sparkSession.table(name)
 
 
