@@ -6,7 +6,7 @@ import re
 from functools import cache
 
 # Suffix, replacement; a rule fires where the stem's measure is above the step's limit.
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log"
 _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
@@ -48,13 +48,17 @@ def _table(word: str, step: int, least: int) -> str:
 
 @cache
 def stem(word: str) -> str:
-    if len(word) < 3 or not word.isascii() or not word.isalpha():
-        return word
+    """The stem of a word in lower case; other bytes than letters count as consonants, words below 3 or above 64 bytes stay."""
+    data = word.encode()
+    return _stem(data.decode("latin-1")).encode("latin-1").decode("utf-8", "ignore") if 3 <= len(data) <= 64 else word
+
+
+def _stem(word: str) -> str:
     for suffix, put in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(suffix):
+        if word.endswith(suffix) and (len(suffix) < 3 or len(word) > len(suffix)):
             word = word[: len(word) - len(suffix)] + put
             break
-    if word.endswith("eed"):
+    if len(word) > 3 and word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) > 0 else word
     elif (m := re.fullmatch("(.*?)(ed|ing)", word)) and "v" in _shape(m[1]):
         word = m[1]

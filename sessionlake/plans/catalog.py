@@ -586,7 +586,11 @@ def _(t):
     return requests.list_uploads(_uploads(t), "user7").select("upload_id", "status")
 
 
-@register("upload_state")
+@register(
+    "upload_state",
+    """SELECT 'u' || id // 7 AS upload_id, arg_min(actor, id) AS owner, CASE max(id % 7) WHEN 0 THEN 'prepared' WHEN 1 THEN 'receiving' WHEN 2 THEN 'uploaded' WHEN 3 THEN 'queued' WHEN 4 THEN 'processing' ELSE 'complete' END AS status,
+    min(id) AS nbytes, CAST(max(id) FILTER (id % 7 < 6) AS DOUBLE) AS updated_at, CAST(count(*) FILTER (id % 7 = 6) AS INTEGER) AS rejected FROM requests GROUP BY id // 7""",
+)
 def _(t):
     order = F.array(*map(F.lit, ("prepare", "receive", "received", "commit", "process", "complete", "cancel")))
     events = t["requests"].select(

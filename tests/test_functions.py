@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import uuid
 from datetime import UTC, datetime
 
@@ -117,3 +118,17 @@ def test_porter():
     pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky relational relat conditional condit rational ration triplicate triplic formative form electrical electr hopefulness hope revival reviv adoption adopt probate probat rate rate controll control roll roll deployment deploy deployed deploi"
     words = pairs.split()
     assert [stem(w) for w in words[::2]] == words[1::2]
+
+
+def test_porter_equals_fts5():
+    import sqlite3
+
+    rnd = random.Random(1)
+    parts = "a e i o u y b c d l m n r s t z ing ed eed ation ational ness ful ize izer ement ment ies sses ss logi bl at iz ll ee ß ent ion able".split()
+    words = sorted({"".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5))) for _ in range(20_000)})
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(x, tokenize='porter unicode61 remove_diacritics 2')")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, instance)")
+    db.executemany("INSERT INTO f(rowid, x) VALUES (?, ?)", list(enumerate(words)))
+    pairs = db.execute("SELECT term, doc FROM v").fetchall()
+    assert len(pairs) == len(words) and [(words[d], stem(words[d]), t) for t, d in pairs if stem(words[d]) != t] == []
