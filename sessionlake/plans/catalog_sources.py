@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from sessionlake.functions import text as T
 from sessionlake.operators import ingest, relevance
 from sessionlake.plans.catalog import _bodies, _read, register
-from sessionlake.plans.corpus_tables import tables
 from sessionlake.sources import bundles, stores
 from sessionlake.sources import transcripts as S
 from sessionlake.streaming import captures, ledger
