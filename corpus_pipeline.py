@@ -6,11 +6,11 @@ of ``documents``.
 
 1. quality: documents that the quality classifier rejects go.
 2. lines: lines of at least 20 characters that three or more documents hold stay only in the largest doc_id's.
-3. near_duplicates: one document of each SimHash group stays, the smallest doc_id (three-word shingles, two bits, as op7).
+3. near_duplicates: one document of each group of near copies stays, the smallest doc_id (five-word shingles, Jaccard similarity of 0.8 or more).
 4. decontaminate: documents that hold benchmark passages beyond the contamination rule go.
 5. tokens: byte-level BPE ids, with digests of the ids and of the text that they decode to.
 
-The pipeline has no SQL: classifier, SimHash and BPE cannot be expressed in it; tests compare each stage with plain Python.
+The pipeline has no SQL: classifier, near copies and BPE cannot be expressed in it; tests compare each stage with plain Python.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import byte_bpe, decontaminate, line_dedup, quality, simhash
+from sessionlake.llm import byte_bpe, decontaminate, line_dedup, near_copies, quality
 from sessionlake.llm.common import stored
 
 
@@ -35,7 +35,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

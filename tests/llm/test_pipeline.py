@@ -1,10 +1,11 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sessionlake.llm import decontaminate, line_dedup, quality, queries, simhash
+from sessionlake.llm import decontaminate, line_dedup, near_copies, quality, queries, simhash
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +67,26 @@ def test_stages_of_nothing(spark, corpus):
 
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_near_copies_with_edits_go(spark):
+    """Copies with edited words, down to a shingle similarity of 0.8, are one group; looser ones stay."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(300)]
+        rows.append((100 * g, " ".join(base)))
+        for k, edits in enumerate((1, 2, 4, 5, 6, 20, 60)):
+            text = list(base)
+            for at in rng.sample(range(300), edits):
+                text[at] = f"edit{rng.random()}"
+            rows.append((100 * g + k + 1, " ".join(text)))
+        for k in range(8):  # a chain: each like the next one only
+            rows.append((100 * g + 50 + k, " ".join([f"c{g}w{i}" for i in range(10 * k, 10 * k + 200)])))
+    rows += [(9000, None), (9001, ""), (9002, "a B c"), (9003, "a b  C"), (9004, "a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in near_copies.keep_one(docs).collect()}
+    assert got == near_copies.brute_force(rows)
+    assert {100 * g + k for g in range(12) for k in (1, 2, 3)}.isdisjoint(got) and {100 * g + 7 for g in range(12)} <= got
+    staged = corpus_pipeline.near_duplicates_stage(spark, docs, "")
+    assert {r.doc_id for r in staged.collect()} == got
