@@ -478,6 +478,27 @@ def _(t):
     return relevance.budget_blocks(lines, 40_000).select(F.col("rank").cast("long").alias("rank"), "line_no", "cut_reason")
 
 
+@register(
+    "budget_blocks_ranked",
+    f""", c AS (SELECT session_id, max(contains(lower(body), 'tion')::INT) + max(contains(body, 'The')::INT) AS coverage, count(*) FILTER ({_ANY}) AS match_count FROM entries GROUP BY session_id),
+    k AS (SELECT session_id, row_number() OVER (ORDER BY coverage DESC, match_count DESC, started_at DESC, session_id) AS rank FROM c JOIN sessions USING (session_id) WHERE match_count > 0 ORDER BY rank LIMIT 25),
+    l AS (SELECT rank, session_id, seq AS line_no, length(body) AS size FROM entries JOIN k USING (session_id)),
+    n AS (SELECT greatest(8000, floor(40000 / count(DISTINCT rank))) AS share FROM l),
+    f AS (SELECT *, sum(size) OVER (PARTITION BY rank ORDER BY line_no) <= share AS fits FROM l, n),
+    u AS (SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (ORDER BY rank, line_no) AS total FROM f)
+    SELECT rank, session_id, line_no, CASE WHEN NOT fits THEN 'conversation_budget' WHEN total > 40000 THEN 'total_budget' END AS cut_reason FROM u""",
+)
+def _(t):
+    from pyspark.sql import Window
+
+    scores = relevance.score_sessions(_messages(t), _TERMS).join(t["sessions"], "session_id").withColumn("sort_ts", T.sort_ts(F.col("started_at")))
+    best = relevance.rank_conversations(scores, 25)  # 25 rows
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("coverage"), F.desc("match_count"), F.desc("sort_ts"), "session_id")
+    ranks = best.select("session_id", F.row_number().over(order).cast("long").alias("rank"))
+    lines = t["entries"].join(F.broadcast(ranks), "session_id").select("rank", "session_id", F.col("seq").alias("line_no"), F.col("body").alias("text"))
+    return relevance.budget_blocks(lines, 40_000).select("rank", "session_id", "line_no", "cut_reason")
+
+
 @register(
     "recent_sessions",
     """, n AS (SELECT session_id, started_at FROM sessions ORDER BY started_at DESC, session_id LIMIT 15)

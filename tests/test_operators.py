@@ -178,3 +178,17 @@ def test_search_pushes_filters_down(spark):
     t = catalog.tables(spark, str(DATA))
     plan = search.find_hits(t["blobs"].select("blob_hash"), t["entries"], t["sessions"], roles=["user"])._jdf.queryExecution().toString()
     assert "Cartesian" not in plan
+
+
+def _tables(spark, tmp_path):
+    """Forty conversations of two turns and one document session; the terms are only in later turns and in the documents."""
+    at = tmp_path / "small"
+    spark.range(80).selectExpr("id div 2 conv_id", "id % 2 turn", "'user' role", "if(id % 2 = 1 and id >= 70, 'The nation', 'no') text").write.parquet(str(at / "conversations.parquet"))
+    spark.range(8).selectExpr("id doc_id", "'The nation' text").write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame([], "event_id long, ts string, user_id long, event_type string, value double, props string").write.parquet(str(at / "events.parquet"))
+    return str(at)
+
+
+def test_budget_of_ranked_conversations(spark, tmp_path):
+    rows = catalog.QUERIES["budget_blocks_ranked"](spark, _tables(spark, tmp_path)).collect()
+    assert {r.session_id for r in rows} == {*range(35, 40), 1_000_000} and {r.rank for r in rows if r.session_id == 1_000_000} == {1}
