@@ -109,11 +109,11 @@ def project_counts(sessions: DataFrame) -> DataFrame:
 
 
 def search_prompts(prompts: DataFrame, terms: list[str], project: str | None = None, n: int = 30) -> DataFrame:
-    """The newest prompts (source, ts, session, project, prompt) with all terms."""
+    """The newest prompts (source, ts, session, project, prompt) with all terms; those of one session by seq, if there is one."""
     found = prompts.where(T.matches_all(F.col("prompt"), terms)) if terms else prompts
     if project:
         found = found.where(F.contains(F.lower("project"), F.lit(project.lower())))
-    return found.orderBy(F.desc("ts"), "session").limit(n)
+    return found.orderBy(F.desc("ts"), "session", *[c for c in found.columns if c == "seq"]).limit(n)
 
 
 def list_imports(markers: DataFrame, sessions: DataFrame, project: str | None = None, n: int = 50) -> DataFrame:

@@ -525,6 +525,16 @@ def _(t):
     return relevance.search_prompts(p, _TERMS).select("session", "ts")
 
 
+@register(
+    "search_prompts_all",
+    "SELECT session_id AS session, started_at AS ts, seq FROM entries JOIN sessions USING (session_id) WHERE role = 'user' AND contains(lower(body), 'tion') AND contains(body, 'The') ORDER BY started_at DESC, session_id, seq LIMIT 30",
+)
+def _(t):
+    p = t["entries"].where("role = 'user'").join(t["sessions"], "session_id")
+    p = p.select(F.col("session_id").alias("session"), F.col("started_at").alias("ts"), "seq", F.col("cwd").alias("project"), F.col("body").alias("prompt"))
+    return relevance.search_prompts(p, _TERMS).select("session", "ts", "seq")
+
+
 @register(
     "choose_backend",
     """, c AS (SELECT session_id % 90 AS chat, CASE session_id % 4 WHEN 0 THEN 'state_kv' WHEN 1 THEN 'jsonl' ELSE 'store_db' END AS backend, session_id FROM sessions)

@@ -192,3 +192,8 @@ def _tables(spark, tmp_path):
 def test_budget_of_ranked_conversations(spark, tmp_path):
     rows = catalog.QUERIES["budget_blocks_ranked"](spark, _tables(spark, tmp_path)).collect()
     assert {r.session_id for r in rows} == {*range(35, 40), 1_000_000} and {r.rank for r in rows if r.session_id == 1_000_000} == {1}
+
+
+def test_prompts_of_every_turn(spark, tmp_path):
+    rows = catalog.QUERIES["search_prompts_all"](spark, _tables(spark, tmp_path)).collect()
+    assert {(r.session, r.seq) for r in rows} == {*((i, 1) for i in range(35, 40)), (1_000_000, 0), (1_000_000, 4)}
