@@ -198,9 +198,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     t = _turns(spark, sf_dir)
     ids = F.transform(F.collect_list(F.col("conv_id").cast("string")), lambda c: F.struct(c.alias("composerId")))
-    kv = t.groupBy(F.concat(F.lit("w"), F.col("line_no").cast("string")).alias("workspace")).agg(_json(allComposers=ids).alias("value"))
-    folders = kv.select("workspace", F.concat(F.lit("file:///"), "workspace").alias("folder"))
-    return stores.composer_workspaces(kv, folders)
+    kv = t.groupBy("line_no", F.floor(F.col("conv_id") / 100).alias("block")).agg(_json(allComposers=ids).alias("value"))  # 100 conversations at most
+    folder = F.concat(F.lit("file:///w"), F.col("line_no").cast("string"))
+    kv = kv.select(F.concat_ws("-", F.lpad(F.col("line_no").cast("string"), 10, "0"), "block").alias("workspace"), "value", folder.alias("folder"))
+    return stores.composer_workspaces(kv.select("workspace", "value"), kv.select("workspace", "folder"))
 
 
 @register(

@@ -1,6 +1,7 @@
 import json
 
 
+from sessionlake.plans import catalog, catalog_sources  # noqa: F401
 from sessionlake.sources import stores
 from sessionlake.sources import transcripts as S
 
@@ -160,3 +161,16 @@ def test_prompts_and_markers(spark):
     assert got == [("claude", 2.0, None, "/p", "do it"), ("codex", 5.0, "s", "/c", "ask"), ("cursor", 9.0, "u", None, "first")]
     files = spark.createDataFrame([(json.dumps({"records": [{"imported_thread_id": "t", "source_path": "a", "imported_at": "1"}, {"imported_thread_id": "t", "source_path": "b", "imported_at": "2"}, {"x": 1}]}),)], "value string")
     assert list(map(tuple, stores.import_markers(files).collect())) == [("t", "b", "2")]
+
+
+def _conversations(spark, tmp_path, n):
+    spark.range(n).selectExpr("id conv_id", "0L turn", "'user' role", "concat('t', id) text").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    return str(tmp_path)
+
+
+def test_workspaces_are_bounded(spark, tmp_path, monkeypatch):
+    seen, real = [], stores.composer_workspaces
+    monkeypatch.setattr(stores, "composer_workspaces", lambda kv, f: seen.append(kv) or real(kv, f))
+    out = catalog.QUERIES["composer_workspaces"](spark, _conversations(spark, tmp_path, 1000))
+    assert {(r.composer_id, r.folder) for r in out.collect()} == {(str(i), "/w0") for i in range(1000)}
+    assert seen[0].count() == 10 and seen[0].selectExpr("max(length(value)) n").first().n < 100 * 30
