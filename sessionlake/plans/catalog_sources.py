@@ -162,7 +162,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     lines, path = _claude_lines(spark, sf_dir), _scratch(spark, "transcripts")
     broken = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("x"), "line")).otherwise(F.col("line"))
-    lines.select(broken.alias("value")).write.text(path)
+    lines.select(broken.alias("value")).write.option("maxRecordsPerFile", 1000).text(path)
     return S.read_raw_lines(spark, path).agg(F.count("*").alias("lines"), F.count_if("valid").alias("valid_lines"))
 
 

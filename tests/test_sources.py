@@ -2,7 +2,7 @@ import json
 
 
 from sessionlake.plans import catalog, catalog_sources  # noqa: F401
-from sessionlake.sources import stores
+from sessionlake.sources import stores, transcripts
 from sessionlake.sources import transcripts as S
 
 
@@ -174,3 +174,10 @@ def test_workspaces_are_bounded(spark, tmp_path, monkeypatch):
     out = catalog.QUERIES["composer_workspaces"](spark, _conversations(spark, tmp_path, 1000))
     assert {(r.composer_id, r.folder) for r in out.collect()} == {(str(i), "/w0") for i in range(1000)}
     assert seen[0].count() == 10 and seen[0].selectExpr("max(length(value)) n").first().n < 100 * 30
+
+
+def test_raw_line_files_are_bounded(spark, tmp_path, monkeypatch):
+    seen, real = [], transcripts.read_raw_lines
+    monkeypatch.setattr(transcripts, "read_raw_lines", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert catalog.QUERIES["read_raw_lines"](spark, _conversations(spark, tmp_path, 2500)).first().lines == 2500
+    assert seen[0].groupBy("file_path").count().selectExpr("max(count) n").first().n <= 1000
