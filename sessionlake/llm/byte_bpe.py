@@ -4,8 +4,9 @@ Tier 1 is a minimal perfect hash over the vocabulary: a pre-token that is itself
 displacement and one comparison. Tier 2 merges the bytes of other pre-tokens: linked bytes and a heap of (rank, place), so
 a pre-token of n bytes costs n log n steps, whatever its length.
 
-Text is cut before each run of white space, where no match of the pattern can reach across, and pre-tokenised piece by
-piece with the tokenizer's own pattern; each worker remembers the ids of short pieces in a table of bounded size.
+Text is cut at spaces after a character that isn't white space, where no match of ``CUT_PATTERN`` can reach across, and pre-tokenised
+piece by piece with the tokenizer's own pattern; each worker remembers the ids of short pieces in one table of bounded size. A text is
+cut for that pattern only.
 
 Scale. Documents are only mapped. The vocabulary file is read on the driver (its size is checked against
 ``most_bytes``) and broadcast; it is a parameter and never part of this repository.
@@ -18,9 +19,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import sys
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,11 @@ from sessionlake.llm.common import by_batch, raw
 
 _M64 = (1 << 64) - 1
 
+#: The pattern for which cuts before spaces are sure (a fixed value); with another one texts are pre-tokenised whole.
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A space after a character that isn't white space.
+_CUT = re.compile(r" (?<=\S )")
+
 
 def read_ranks(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> list[bytes]:
     """The tokens of a rank file, by rank. ``path`` is on the driver's machine."""
@@ -87,111 +94,121 @@ class PerfectHash:
         """The key's place, or -1."""
         h = xxhash.xxh64_intdigest(key)
         d = self.shift[h % self.buckets]
-        i = self.place[-1 - d if d < 0 else self._slot(h, d)]
+        i = self.place[-1 - d if d < 0 else ((((h ^ (d * 0x9E3779B97F4A7C15)) & _M64) * 0xC2B2AE3D27D4EB4F & _M64) >> 29) % self.n]
         return i if self.keys[i] == key else -1
 
 
 class ByteBpe:
-    """An encoder for one worker; ``remember`` bounds the table of pieces."""
+    """An encoder for one worker.
+
+    Ids are packed (two or four bytes each) and remembered in one table: under the text after its space for what begins with a space,
+    under the bytes for other pre-tokens. The table has two generations of ``remember`` entries: a full one becomes the old one, and what is
+    met again moves to the new one, so that frequent entries are never thrown away.
+    """
 
-    def __init__(self, table: PerfectHash, pattern: str, remember: int = 100_000):
+    def __init__(self, table: PerfectHash, pattern: str, remember: int = 600_000):
         self.table, self.tokens, self.pattern = table, table.keys, regex.compile(pattern)
+        self.cuts = pattern == CUT_PATTERN
         self.longest = max(map(len, self.tokens), default=0)
-        self.ranks = {t: i for i, t in enumerate(self.tokens)}  # of the parts that merges make
-        self.known: dict[str, tuple[int, ...]] = {}  # ids by piece
-        self.merged: dict[str, list[int]] = {}  # ids by pre-token
+        self.kind = np.dtype("uint16" if len(self.tokens) <= 1 << 16 else "uint32")
+        self.packed = [i.to_bytes(self.kind.itemsize, sys.byteorder) for i in range(len(self.tokens))]
+        ranks = {t: i for i, t in enumerate(self.tokens)}
+        self.single = [ranks.get(bytes([c]), -1) for c in range(256)]
+        self.pairs: dict[int, int] = {}  # the id that two ids merge to, by (left << 32) | right
+        for i, t in enumerate(self.tokens):
+            for k in range(1, len(t)):
+                left, right = ranks.get(t[:k]), ranks.get(t[k:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = i
+        self.known: dict[str | bytes, bytes] = {}
+        self.old: dict[str | bytes, bytes] = {}
         self.remember = remember
 
-    def pre_token(self, match: str) -> list[int]:
-        ids = self.merged.get(match)
+    def _keep(self, key: str | bytes, ids: bytes) -> bytes:
+        if len(key) <= 32:
+            if len(self.known) >= self.remember:
+                self.old, self.known = self.known, {}
+            self.known[key] = ids
+        return ids
+
+    def _met(self, key: str | bytes) -> bytes | None:
+        ids = self.known.get(key)
+        if ids is None and (ids := self.old.get(key)) is not None:
+            self._keep(key, ids)
+        return ids
+
+    def pre_token(self, match: str) -> bytes:
+        """Packed ids of one match of the pattern."""
+        key = match[1:] if match[0] == " " else match.encode()
+        ids = self._met(key)
         if ids is None:
             word = match.encode()
             i = self.table.get(word) if len(word) <= self.longest else -1
-            ids = [i] if i >= 0 else self.merge(word)
-            if len(match) <= 32:
-                if len(self.merged) >= 2 * self.remember:
-                    self.merged.clear()
-                self.merged[match] = ids
+            ids = self._keep(key, self.packed[i] if i >= 0 else b"".join(map(self.packed.__getitem__, self.merge(word))))
         return ids
 
     def merge(self, word: bytes) -> list[int]:
         """Always the pair of lowest rank, the leftmost of equal ones; by a heap over linked bytes.
 
-        A part is known by its first byte; ``after`` links it to the next part, and a part that was merged away links to
-        a place past the end. A heap entry packs (rank, first byte, end) of two parts; it is stale unless the two still meet there.
+        A part is known by its first byte; ``after`` and ``before`` link the parts, ``ids`` names them, and ``least`` has the id that a part
+        and the next one merge to. A heap entry packs (that id, first byte); it is stale unless ``least`` still says so.
         """
-        n = len(word)
-        after = [*range(1, n + 1), -1, -2]
-        before = [*range(-1, n)]
-        rank, longest, bits = self.ranks.get, self.longest, n.bit_length()
-        two, low = 2 * bits, (1 << bits) - 1
-        heap = [(r << two) | (i << bits) | (i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        n, pairs = len(word), self.pairs.get
+        ids = list(map(self.single.__getitem__, word))
+        if min(ids) < 0:
+            raise ValueError("the vocabulary lacks a byte of the text")
+        least = [pairs(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
+        bits = n.bit_length()
+        heap = [r << bits | i for i, r in enumerate(least) if r >= 0]
         heapify(heap)
+        least.append(-1)
+        after, before, low = [*range(1, n + 1)], [*range(-1, n)], (1 << bits) - 1
         while heap:
             entry = heappop(heap)
-            i, end = (entry >> bits) & low, entry & low
-            j = after[i]
-            if after[j] != end:
+            i, r = entry & low, entry >> bits
+            if least[i] != r:
                 continue
-            after[j] = n + 1
-            after[i] = end
+            j = after[i]
+            end = after[i] = after[j]
+            ids[i], ids[j], least[j], least[i] = r, -1, -1, -1
             if end < n:
                 before[end] = i
-                far = after[end]
-                if far - i <= longest and (r := rank(word[i:far])) is not None:
-                    heappush(heap, (r << two) | (i << bits) | far)
+                if (m := pairs(r << 32 | ids[end], -1)) >= 0:
+                    least[i] = m
+                    heappush(heap, m << bits | i)
             p = before[i]
-            if p >= 0 and end - p <= longest and (r := rank(word[p:end])) is not None:
-                heappush(heap, (r << two) | (p << bits) | end)
-        out, i = [], 0
-        while i < n:
-            j = after[i]
-            out.append(self.ranks[word[i:j]])
-            i = j
-        return out
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        pre = self.pre_token
-        return tuple(chain.from_iterable(map(pre, self.pattern.findall(text))))
-
-    def encode(self, text: str) -> list[int]:
-        pieces = text.split(" ")
-        known = self.known
-        first = pieces[0]
-        got = list(map(known.get, pieces))
-        got[0] = self.piece(first) if first and not first[-1].isspace() else None
-        if None not in got:
-            return list(chain.from_iterable(got))
-        out: list[int] = []
-        held: list[str] = []  # pieces since the last place where a cut is sure
-        for i, p in enumerate(pieces):
-            if held or i == 0:
-                held.append(p)
-            else:
-                ids = got[i]
-                if ids is not None:
-                    out += ids
-                    continue
-                held.append(p)
-            if p and not p[-1].isspace():
-                unit = (" " if len(held) > 1 or i else "") if len(held) == 1 else None
-                if unit is not None and i:
-                    ids = known.get(p)
-                    if ids is None:
-                        ids = self.piece(" " + p)
-                        if len(p) <= 32:
-                            if len(known) >= self.remember:
-                                known.clear()
-                            known[p] = ids
-                    out += ids
-                else:
-                    start = i - len(held) + 1
-                    out += self.piece((" " if start else "") + " ".join(held))
-                held = []
-        if held:
-            start = len(pieces) - len(held)
-            out += self.piece((" " if start else "") + " ".join(held))
-        return out
+            if p >= 0:
+                m = least[p] = pairs(ids[p] << 32 | r, -1)
+                if m >= 0:
+                    heappush(heap, m << bits | p)
+        return [i for i in ids if i >= 0]
+
+    def piece(self, text: str) -> bytes:
+        found = self.pattern.findall(text)
+        return self.pre_token(found[0]) if len(found) == 1 else b"".join(map(self.pre_token, found))
+
+    def _unit(self, unit: str) -> bytes:
+        """Packed ids of a space and ``unit``."""
+        ids = self._met(unit)
+        if ids is None:
+            found = self.pattern.findall(" " + unit)
+            ids = b"".join(map(self.pre_token, found))
+            if len(found) == 2:  # longer ones seldom come again, single ones are kept as pre-tokens
+                self._keep(unit, ids)
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        if not self.cuts:
+            return np.frombuffer(self.piece(text), self.kind)
+        units = _CUT.split(text)
+        got = list(map(self.known.get, units))
+        got[0] = self.piece(units[0])
+        at = 0
+        for _ in range(got.count(None)):
+            at = got.index(None, at)
+            got[at] = self._unit(units[at])
+        return np.frombuffer(b"".join(got), self.kind)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -218,8 +235,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
         for batch in by_batch(batches, 4 << 20):
             sizes, flat = [0], []
             for text in raw(batch, "text"):
-                ids = bpe.encode(text.decode("utf-8", "replace")) if text else []
-                flat.append(np.array(ids, dtype=np.int32))
+                ids = bpe.encode(text.decode("utf-8", "replace")) if text else np.zeros(0, np.int32)
+                flat.append(ids.astype(np.int32))
                 sizes.append(sizes[-1] + len(ids))
             values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], ["doc_id", "token_ids"])
@@ -253,12 +270,13 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, with_ids: boo
         for batch in by_batch(batches, 4 << 20):
             counts, ids_sha, text_sha, flat = [], [], [], [np.zeros(0, np.int32)]
             for text in raw(batch, "text"):
-                ids = bpe.encode(text.decode("utf-8", "replace")) if text else []
+                array = bpe.encode(text.decode("utf-8", "replace")) if text else np.zeros(0, np.int32)
+                ids = array.tolist()
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 if with_ids:
-                    flat.append(np.array(ids, dtype=np.int32))
+                    flat.append(array.astype(np.int32))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
