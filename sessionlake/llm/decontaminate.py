@@ -4,30 +4,33 @@ The words of all test items go into one automaton. Each document's words are the
 state holds the longest suffix of the words read so far that occurs in any item. Where that length reaches a window
 (``window`` words, or a whole item that is shorter), the words of the window are hit.
 
-Scale. Documents are only mapped, never shuffled. Items are cut into blocks of about ``block_words`` words by a hash of
-their text; one block's automaton is the only thing that is broadcast, so its size does not grow with the benchmark. With more
-blocks than one, each block is one pass over the documents and the hits of a document are merged by its id and text.
+Scale. Different item texts are cut into pieces and blocks of about ``block_words`` words, so neither repeated nor long items make a block
+larger. Tasks build the blocks' automata and write them to the shared folder; one at a time is broadcast. Documents are mapped once for each block; only
+narrow rows of documents with hits are shuffled, and item ids are joined to the different sets of found texts.
 
 Before a word reaches the automaton it passes a filter: word numbers by a dictionary, then a bitmap of the word pairs
 that occur in items. Only runs of such pairs as long as the shortest window are walked.
 
 Defined results. Null or empty texts have no words and are not contaminated. Null and empty items have no windows; an
-item with a null id counts under the id ``""``. Repeated items count once per id. Repeated documents stay repeated.
-Empty tables give empty results or documents without hits.
+item with a null id counts under the id ``""``. Repeated items count once per id. Repeated documents stay repeated. Texts of any length are
+read whole. Empty tables give empty results or documents without hits. Columns whose names clash with the hits' stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import WORD_BYTES, by_batch, raw
+from sessionlake.llm.common import WORD_BYTES, by_batch, raw, stored
 
 _BITS = 22
 
@@ -37,9 +40,9 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over word numbers, with the items of each window."""
+    """Generalised suffix automaton over word numbers, with the keys of the item texts of each window."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[bytes, list[bytes]]], window: int):
         self.window, self.vocab = window, {}
         self.go: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -84,7 +87,7 @@ class SuffixAutomaton:
             p = self.link[p]
         return new
 
-    def _windows(self, coded: list[tuple[str, list[int]]]) -> None:
+    def _windows(self, coded: list[tuple[bytes, list[int]]]) -> None:
         """full: the state of a state's last ``window`` words. ends: whole short items that end in a state, by its chain."""
         n, w = len(self.go), self.window
         self.full, self.ends_at = [-1] * n, [-1] * n
@@ -92,8 +95,8 @@ class SuffixAutomaton:
         for v in order:
             if self.length[v] >= w:
                 self.full[v] = v if self.length[self.link[v]] < w else self.full[self.link[v]]
-        self.items: dict[int, set[str]] = {}
-        self.ends: dict[int, dict[int, set[str]]] = {}
+        self.items: dict[int, set[bytes]] = {}
+        self.ends: dict[int, dict[int, set[bytes]]] = {}
         for key, seq in coded:
             v, k = 0, 0
             for c in seq:
@@ -107,7 +110,7 @@ class SuffixAutomaton:
         for v in order:
             self.ends_at[v] = v if v in self.ends else self.ends_at[self.link[v]] if self.link[v] > 0 else -1
 
-    def _pairs(self, coded: list[tuple[str, list[int]]]) -> None:
+    def _pairs(self, coded: list[tuple[bytes, list[int]]]) -> None:
         self.pairs = np.zeros(1 << _BITS, dtype=bool)
         for _, seq in coded:
             a = np.asarray(seq, dtype=np.int64)
@@ -126,10 +129,10 @@ class SuffixAutomaton:
             return go[v][c], k + 1
         return 0, 0
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit word spans (start, end exclusive; merged) and the ids of the items with occurring windows."""
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[bytes]]:
+        """Hit word spans (start, end exclusive; merged) and the keys of the item texts with occurring windows."""
         n = len(words)
-        found: set[str] = set()
+        found: set[bytes] = set()
         if n < self.shortest or not self.vocab:
             return [], found
         codes = np.fromiter(map(self.vocab.get, words, (-1 for _ in range(n))), dtype=np.int64, count=n)
@@ -171,126 +174,222 @@ class SuffixAutomaton:
         return [(a, b) for a, b in spans], found
 
 
-HITS = "struct<n_words:long,spans:array<struct<start:long,end:long>>,item_ids:array<string>>"
+HITS = "struct<n_words:long,spans:array<struct<start:long,end:long>>,keys:array<binary>>"
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_HITS = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("keys", pa.list_(pa.binary()))])
 
 
-def _scan_block(docs: DataFrame, automaton, name: str) -> DataFrame:
-    """``docs`` with the hits of one block of items in a column ``name``."""
+def item_keys(items: DataFrame) -> DataFrame:
+    """item_id (as text; a null one as ``""``) and key, a digest of the item's words, of every item that has words."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam: SuffixAutomaton = automaton.value
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("item_ids", pa.list_(pa.string()))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_batch(batches):
+            words = [words_of(t) for t in raw(batch, "text")]
+            keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["item_id", "key"])
+
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    return named.mapInArrow(run, "item_id string, key binary").where("key is not null").distinct()
+
+
+def _pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """key, n (words) and words of the different item texts, cut to pieces of at most ``most`` words that share no window."""
+    step = max(1, most - window + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_batch(batches):
-            hits = []
+            keys, sizes, texts = [], [], []
             for text in raw(batch, "text"):
                 words = words_of(text)
-                spans, found = sam.scan(words)
-                hits.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "item_ids": sorted(found)})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], [*batch.schema.names, name])
+                key = xxhash.xxh3_128_digest(b" ".join(words))
+                for at in range(0, max(1, len(words) - window + 1), step) if words else ():
+                    part = words[at : at + step + window - 1]
+                    keys.append(key)
+                    sizes.append(len(part))
+                    texts.append(b" ".join(part))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())], ["key", "n", "words"])
 
-    return docs.mapInArrow(scan, ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + f", `{name}` {HITS}")
+    return items.select("text").distinct().mapInArrow(run, "key binary, n long, words binary").distinct()
+
+
+def _builder(window: int):
+    def build(table):
+        rows = sorted(zip(table.column("key").to_pylist(), table.column("words").to_pylist(), strict=True))
+        data = pickle.dumps(SuffixAutomaton([(k, w.split()) for k, w in rows], window), 5)
+        return pa.table({"block": table.column("block")[:1], "automaton": pa.array([data], pa.binary())})
+
+    return build
 
 
 def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator:
-    """A broadcast automaton for each block of about ``block_words`` words of the items."""
-    spark = items.sparkSession
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
+    """One block's automaton after the other, pickled and broadcast. Tasks build them and write them to the shared folder."""
+    pieces = stored(_pieces(items, window, block_words), "benchmark-pieces")
+    blocks = max(1, math.ceil((pieces.agg(F.sum("n")).first()[0] or 0) / block_words))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("key", "words"), F.lit(blocks)))
+    built = stored(dealt.groupBy("block").applyInArrow(_builder(window), "block long, automaton binary"), "benchmark-automata")
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        yield spark.sparkContext.broadcast(SuffixAutomaton([(r.item_id, words_of(r.text.encode())) for r in rows], window))
+        rows = built.where(F.col("block") == b).collect()
+        data = bytes(rows[0].automaton) if rows else pickle.dumps(SuffixAutomaton([], window), 5)
+        yield items.sparkSession.sparkContext.broadcast(data)
+
+
+_OWN: dict = {}
+
+
+def _automaton(shared) -> SuffixAutomaton:
+    """The worker process's automaton, kept from task to task."""
+    if shared._path not in _OWN:
+        _OWN.clear()
+        _OWN[shared._path] = pickle.loads(shared.value)
+    return _OWN[shared._path]
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans sorted, overlapping or adjoining ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _hits(text: bytes | None, sam: SuffixAutomaton, before: dict | None) -> dict:
+    """A text's hits by the automaton, together with those found ``before``."""
+    words = words_of(text)
+    spans, found = sam.scan(words)
+    if before is not None:
+        spans = _joined([*spans, *((x["start"], x["end"]) for x in before["spans"])])
+        found |= set(before["keys"])
+    return {"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "keys": sorted(found)}
+
+
+def _scan_for_hits(docs: DataFrame, shared) -> DataFrame:
+    """doc_id, h (text hash), spans and keys of the documents that one block of items hits."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sam = _automaton(shared)
+        for batch in by_batch(batches):
+            hits = [_hits(t, sam, None) for t in raw(batch, "text")]
+            rows = pa.array([i for i, h in enumerate(hits) if h["spans"]], pa.int64())
+            found = pa.array([h for h in hits if h["spans"]], _HITS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in (0, 2)), found.field("spans"), found.field("keys")], ["doc_id", "h", "spans", "keys"])
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return keyed.mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, spans array<struct<start:long,end:long>>, keys array<binary>")
+
+
+def _with_hits(docs: DataFrame, items: DataFrame, window: int, block_words: int) -> tuple[DataFrame, str]:
+    """``docs``, all columns, with the hits of all items in a last column; and that column's name.
+
+    Every block but the last is a pass that keeps narrow rows of the documents with hits only, before the next block is loaded; these are
+    gathered by id and text hash and joined. The last block's pass carries the documents.
+    """
+    columns, last, found = docs.columns, None, []
+    for block in _blocks(items, window, block_words):
+        if last is not None:
+            found.append(stored(_scan_for_hits(docs, last).distinct(), "benchmark-hits"))
+            last.destroy()
+        last = block
+    before, name = _free_name(docs, "before"), _free_name(docs, "hits")
+    if found:
+        rows = reduce(DataFrame.unionByName, found).groupBy("doc_id", "h")
+        both = F.struct(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("keys")).alias("keys"))
+        rows = stored(rows.agg(both.alias(before)).withColumnsRenamed({"doc_id": f"{before}_id", "h": f"{before}_h"}), "benchmark-hits")
+        docs = docs.join(rows, docs.doc_id.eqNullSafe(rows[f"{before}_id"]) & (F.xxhash64(docs.text) == rows[f"{before}_h"]), "left")
+        docs = docs.select(*columns, before)
+
+    gathered = bool(found)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sam = _automaton(last)
+        for batch in by_batch(batches):
+            known = batch.column(len(columns)).to_pylist() if gathered else [None] * batch.num_rows
+            hits = [_hits(t, sam, k) for t, k in zip(raw(batch, "text"), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(hits, _HITS)], [*columns, name])
+
+    return docs.mapInArrow(scan, ", ".join(f"`{c}` {k}" for c, k in docs.select(columns).dtypes) + f", `{name}` {HITS}"), name
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, window: int = 13, coverage: float = 0.05, block_words: int = 100_000
+    docs: DataFrame, items: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), block_words: int = 100_000
 ) -> DataFrame:
-    """One row per document: doc_id, text, n_words, spans (hit words, merged), item_ids, n_hit and contaminated.
+    """One row per document: doc_id, n_words, spans (hit words, merged), item_ids (sorted), n_hit and contaminated.
 
-    ``docs`` has doc_id and text, ``items`` has item_id and text; other columns are ignored.
+    ``docs`` has doc_id and text, ``items`` has item_id and text; other columns are ignored. ``coverage`` is the share of hit words, as a
+    fraction, from which a document is contaminated. Ids are joined to different sets of found item texts, not to documents.
     """
-    docs = docs.select("doc_id", "text")
-    parts = [_scan_block(docs, sam, "hits").select("doc_id", "text", "hits.*") for sam in _blocks(items, window, block_words)]
-    hits = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            hits = hits.unionAll(p)
-        hits = (
-            hits.groupBy("doc_id", "text", "n_words")
-            .agg(F.count("*").alias("n"), F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int"))))
-            .withColumn("spans", _merged("spans"))
-            .drop("n", "copy")
-        )
-    return hits.withColumn("n_hit", _total("spans")).withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= coverage * F.col("n_words"))
-    )
+    hits, name = _with_hits(docs.select("doc_id", "text"), items, window, block_words)
+    found = stored(hits.select("doc_id", f"{name}.*"), "contamination")
+    sets = found.where(F.size("keys") > 0).select(F.col("keys").alias("set")).distinct()
+    named = sets.select("set", F.explode("set").alias("key")).join(item_keys(items).hint("merge"), "key").groupBy("set")
+    named = stored(named.agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")), "contamination-sets")
+    some = found.join(named.hint("merge"), found["keys"] == named["set"])
+    none = found.where(F.size("keys") == 0).withColumn("item_ids", F.array().cast("array<string>"))
+    columns = ["doc_id", "n_words", "spans", "item_ids"]
+    every = some.select(columns).unionByName(none.select(columns)).withColumn("n_hit", _total("spans"))
+    return every.withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words"), coverage))
 
 
 def _total(spans: str):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = 13, block_words: int = 100_000) -> DataFrame:
-    """The rows of ``docs`` (all columns) that the contract's rule doesn't call contaminated."""
-    automata = list(_blocks(items, window, block_words))
-    if len(automata) == 1:
-        name = "hits"
-        while name in docs.columns:
-            name += "_"
-        n_hit = _total(f"{name}.spans")
-        bad = (n_hit > 0) & (20 * n_hit >= F.col(f"{name}.n_words"))
-        return _scan_block(docs, automata[0], name).where(~bad).select(docs.columns)
-    hits = digest(find_contamination(docs, items, window, block_words=block_words), "text").where("contaminated")
-    bad = hits.select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_text")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id) & (F.xxhash64(docs.text) == bad.bad_text), "left_anti")
-
-
-def _merged(spans: str):
-    """Sorted spans with overlapping ones joined."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-    return F.expr(
-        f"""aggregate({spans}, cast(array() as {kind}), (acc, s) ->
-            case when size(acc) > 0 and element_at(acc, -1).end >= s.start
-            then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start,
-                 'end', greatest(element_at(acc, -1).end, s.end))))
-            else concat(acc, array(s)) end)"""
-    )
-
-
-def remove_spans(hits: DataFrame, min_span: int = 13) -> DataFrame:
-    """The documents of ``find_contamination`` with the words of hit spans of at least ``min_span`` words taken out.
-
-    Only spans of contaminated documents go; the words that stay are joined by one space, as the normal form has them.
+def _contaminated(n_hit: Column, n_words: Column, coverage: tuple[int, int]) -> Column:
+    part, whole = coverage
+    return (n_hit > 0) & (whole * n_hit >= part * n_words)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), block_words: int = 100_000) -> DataFrame:
+    """The rows of ``docs`` (all columns) that the rule doesn't call contaminated."""
+    hits, name = _with_hits(docs, items, window, block_words)
+    return hits.where(~_contaminated(_total(f"{name}.spans"), F.col(f"{name}.n_words"), coverage)).select(docs.columns)
+
+
+def remove_spans(
+    docs: DataFrame, items: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), min_span: int = 13, block_words: int = 100_000
+) -> DataFrame:
+    """``docs`` (all columns) with the hit spans of at least ``min_span`` words cut out of the texts of contaminated documents.
+
+    A cut goes from the first character of a span's first word to the last one of its last word; all else stays as it was. A null text stays null.
     """
+    hits, name = _with_hits(docs, items, window, block_words)
+    part, whole = coverage
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_batch(batches):
-            texts = []
-            flags = batch.column(2).to_pylist()
-            for text, spans, flag in zip(raw(batch, "text"), batch.column(3).to_pylist(), flags, strict=True):
-                long_ones = [s for s in spans if s["end"] - s["start"] >= min_span] if flag else []
-                if not long_ones:
-                    texts.append(text)
+            names, columns = batch.schema.names[:-1], list(batch.columns[:-1])
+            texts = raw(batch, "text")
+            for i, h in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                n_hit = sum(s["end"] - s["start"] for s in h["spans"])
+                long_ones = [s for s in h["spans"] if s["end"] - s["start"] >= min_span]
+                if not long_ones or whole * n_hit < part * h["n_words"]:
                     continue
-                words, at, kept = words_of(text), 0, []
+                form = np.frombuffer(texts[i].translate(WORD_BYTES), np.uint8) != 32
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], form, [False])).view(np.int8)))
+                starts, ends, at, kept = edge[::2], edge[1::2], 0, []
                 for s in long_ones:
-                    kept += words[at : s["start"]]
-                    at = s["end"]
-                texts.append(b" ".join(kept + words[at:]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+                    kept.append(texts[i][at : starts[s["start"]]])
+                    at = ends[s["end"] - 1]
+                texts[i] = b"".join([*kept, texts[i][at:]])
+            columns[names.index("text")] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return hits.select("doc_id", "text", "contaminated", "spans").mapInArrow(cut, f"doc_id {dict(hits.dtypes)['doc_id']}, text string")
+    return hits.mapInArrow(cut, ", ".join(f"`{c}` {k}" for c, k in docs.dtypes))
 
 
-def digest(hits: DataFrame, *more: str) -> DataFrame:
-    """The contract's columns, and ``more`` ones of ``hits``."""
-    ids = F.array_sort(F.array_distinct("item_ids"))
+def digest(hits: DataFrame) -> DataFrame:
+    """The contract's columns."""
     return hits.select(
-        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *more,
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated",
     )
 
 

@@ -59,8 +59,14 @@ def test_decontaminate(spark, odd):
         assert rows_of(decontaminate.digest(found)) == want
         clean = decontaminate.keep_clean(docs, table_items, block_words=block_words)
         assert clean.columns == docs.columns and clean.count() == sum(not w[5] for w in want)
-    cut = decontaminate.remove_spans(decontaminate.find_contamination(docs, table_items)).where("doc_id = 1").first().text
-    assert cut == " ".join(base[:5] + base[30:])
+    cut = {(r.doc_id, r.text) for r in decontaminate.remove_spans(docs, table_items, block_words=40).collect()}
+    assert (1, " ".join(base[:5]) + "  " + " ".join(base[30:])) in cut and (None, None) in cut and (7, " \t\n\r ") in cut
+    marked = table(spark, [(1, "Keep This!\n" + ", ".join(base[5:30]).upper() + " -- And that.")])
+    assert decontaminate.remove_spans(marked, table_items).first().text == "Keep This!\n -- And that."
+    crowd = spark.createDataFrame([(i, " ".join(base[5:30])) for i in range(500)] + [(900, " ".join(words(300, 3)))], "item_id long, text string")
+    some = docs.where("doc_id in (1, 2, 5)").unionByName(table(spark, [(77, " ".join(words(300, 3)[100:140]))]))
+    want = sorted(decontaminate.brute_force([(r.doc_id, r.text) for r in some.collect()], [(r.item_id, r.text) for r in crowd.collect()]), key=repr)
+    assert rows_of(decontaminate.digest(decontaminate.find_contamination(some, crowd, block_words=60))) == want  # a long item in several blocks, one under many ids
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, empty).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.find_contamination(table(spark, []), table_items).count() == 0
