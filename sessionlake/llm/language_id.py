@@ -5,10 +5,12 @@ embedded; filters of several widths slide over them; each filter's largest respo
 into a softmax over the languages seen in learning. A text's answer is the language of the largest mean probability of its windows.
 
 Scale. Prediction only maps the documents; the model is a few thousand floats. Learning uses a bounded sample of labelled
-rows: about ``most_rows`` rows by a hash of their ids, and ``windows_per_row`` windows of each, which is what reaches the driver.
+rows (about ``most_rows``, spread over the languages), all windows of each. The windows are dealt to parts of bounded size that learn on the
+executors; a round averages their models, which is all that reaches the driver.
 
 Defined results. ``und`` with score 0 for null texts and texts without a letter; with no labelled row that is every
-text. Repeated rows stay, an empty table gives no rows, columns other than those named are ignored.
+text. Texts of any length are read whole, a block of windows at a time. Of languages with equal mean probability the first by name is
+taken. Repeated rows and null ids stay, an empty table gives no rows, columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import by_batch, id_remainder, in_sample, raw
+from sessionlake.llm.common import by_batch, id_remainder, raw, stored
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 14
 WIDEST = max(WIDTHS)
@@ -55,6 +57,16 @@ class ByteCnn:
             "out_bias": np.zeros(len(languages), np.float32),
         }
 
+    def packed(self) -> bytes:
+        return b"".join(self.p[k].tobytes() for k in sorted(self.p))
+
+    def unpack(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            size = self.p[k].size
+            self.p[k] = flat[at : at + size].reshape(self.p[k].shape).astype(np.float32)
+            at += size
+
     def _patches(self, windows: np.ndarray) -> np.ndarray:
         """(n * places, WIDEST * EMBED): the embedded bytes at each place of each window."""
         e = self.p["embed"][windows]
@@ -124,30 +136,71 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text[:200].decode("utf-8", "ignore"))) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def train(labelled: DataFrame, most_rows: int = 4000, windows_per_row: int = 4) -> ByteCnn | None:
-    """A model from the rows of doc_id, text and lang; null texts and languages are left out."""
-    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    n = labelled.where("lang is not null").count()  # without reading texts; null texts only make the sample smaller
-    sample = rows.where(in_sample(F.col("doc_id"), most_rows / max(n, 1)))
+def _sample(labelled: DataFrame, most_rows: int) -> DataFrame:
+    """h, text and lang of about ``most_rows`` different rows, as evenly over the languages as their numbers allow.
+
+    Rows are chosen by a hash of id and text, so that rows which share an id (or have none) are chosen apart, and repeated rows once.
+    """
+    counts = {r.lang: r["count"] for r in labelled.where("lang is not null").groupBy("lang").count().collect()}  # one row per language
+    share, left, open_ = {}, most_rows, sorted(counts, key=lambda k: (counts[k], k))
+    for i, lang in enumerate(open_):  # what small languages leave goes to the larger ones
+        share[lang] = min(1.0, left / (len(open_) - i) / counts[lang])
+        left -= share[lang] * counts[lang]
+    rows = labelled.select("text", "lang", F.xxhash64("doc_id", "text", F.lit("sample")).alias("h")).where("lang is not null and length(text) > 0")
+    if not share:
+        return rows.limit(0)
+    limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30)))])
+    return rows.where(F.pmod("h", F.lit(1 << 30)) < limit[F.col("lang")]).dropDuplicates(["h", "lang"])
+
+
+def _learner(shared, code: dict[str, int], k: int):
+    """One part's pass of round ``k`` over its windows, from the broadcast model."""
+
+    def learn(table):
+        net: ByteCnn = shared.value
+        rows = sorted(zip(table.column("w").to_pylist(), map(code.get, table.column("lang").to_pylist()), strict=True))
+        windows, labels = np.stack([np.frombuffer(w, np.uint8) for w, _ in rows]), np.array([c for _, c in rows])
+        net.fit(windows, labels, epochs=1, rate=0.006 / (1 + k / 2), seed=k)
+        return pa.table({"part": table.column("part")[:1], "n": pa.array([len(rows)], pa.int64()), "weights": pa.array([net.packed()], pa.binary())})
+
+    return learn
+
+
+def train(labelled: DataFrame, most_rows: int = 2000, rounds: int = 8, part_windows: int = 4096) -> ByteCnn | None:
+    """A model from the rows of doc_id, text and lang; null and empty texts and null languages are left out.
+
+    All windows of about ``most_rows`` rows are dealt to parts of about ``part_windows`` windows. In each of ``rounds`` rounds every part
+    takes the model through its windows once, and the models are averaged by the parts' windows. Only models reach the driver.
+    """
+    spark = labelled.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_batch(batches):
-            langs, parts = [], []
-            for text, lang in zip(raw(batch, "text"), batch.column(2).to_pylist(), strict=True):
-                w = windows_of(text)
-                for i in np.unique(np.linspace(0, len(w) - 1, windows_per_row).astype(int)) if len(w) and has_letter(text) else ():
-                    parts.append(w[i].tobytes())
-                    langs.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
-
-    got = sample.mapInArrow(cut, "lang string, part binary").collect()  # most_rows * windows_per_row * WINDOW bytes
-    if not got:
+        for batch in by_batch(batches, 1 << 20):
+            keys, places, langs, parts = [], [], [], []
+            for text, lang, h in zip(raw(batch, "text"), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if has_letter(text):
+                    found = windows_of(text)
+                    parts += [w.tobytes() for w in found]
+                    places += range(len(found))
+                    langs += [lang] * len(found)
+                    keys += [h] * len(found)
+            columns = [pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "place", "lang", "w"])
+
+    windows = stored(_sample(labelled, most_rows).select("text", "lang", "h").mapInArrow(cut, "h long, place long, lang string, w binary"), "language-windows")
+    sizes = {r.lang: r["count"] for r in windows.groupBy("lang").count().collect()}
+    if not sizes:
         return None
-    got.sort(key=lambda r: (bytes(r.part), r.lang))  # the order in which tasks end doesn't matter
-    languages = sorted({r.lang for r in got})
-    model = ByteCnn(languages)
-    code = {k: i for i, k in enumerate(languages)}
-    model.fit(np.stack([np.frombuffer(r.part, np.uint8) for r in got]), np.array([code[r.lang] for r in got]))
+    model = ByteCnn(sorted(sizes))
+    code = {k: i for i, k in enumerate(model.languages)}
+    parts = max(1, round(sum(sizes.values()) / part_windows))
+    dealt = windows.withColumn("part", F.pmod(F.xxhash64("h", "place"), F.lit(parts)))
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+        got = dealt.groupBy("part").applyInArrow(_learner(shared, code, k), "part long, n long, weights binary").collect()
+        got.sort(key=lambda r: r.part)  # sums of floats shouldn't depend on the order in which tasks end
+        model.unpack(sum(np.frombuffer(r.weights, np.float32).astype(np.float64) * r.n for r in got) / sum(r.n for r in got))
+        shared.destroy()
     return model
 
 
@@ -175,7 +228,7 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, most_rows: int = 4000) -> DataFrame:
+def identify(docs: DataFrame, most_rows: int = 2000) -> DataFrame:
     """The contract: learn from the rows that aren't held out, predict all."""
     model = train(docs.where(~held_out(F.col("doc_id"))), most_rows)
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
