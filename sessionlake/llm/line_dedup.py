@@ -3,18 +3,20 @@
 A run is a table (h1, h2, n_docs, last_doc) with one row per line key, written in sorted buckets: ``LineRuns`` writes it
 as a bucketed table, so that the join of a batch with a run is a merge of sorted buckets and only the batch is
 shuffled. ``add`` merge-anti-joins a batch with the runs: keys that no run has become the batch's own run on level 0; keys that a run
-has go to a run of repeats. When a level holds ``fanout`` runs they are merged into one run of the next level.
+has go to a run of repeats. When a level holds ``fanout`` runs they are merged, bucket by bucket, into one run of the next level; repeats
+likewise.
 
-``frequent`` merges the runs: the keys held by ``least_docs`` documents or more, with the largest document id that holds
+``frequent`` merges the repeats into the runs: the keys held by ``least_docs`` documents or more, with the largest document id that holds
 them. ``drop_lines`` removes such lines everywhere but there.
 
 Scale. Lines are reduced to 128-bit hashes and document ids before anything is shuffled, keys are counted before they are shuffled
 (so a line in a third of all documents is one row per task), the join back to the documents is a sort-merge join that Spark can split
-where a key is hot, and texts are shuffled once, by document. A run's rows are as many as its distinct keys.
+where a key is hot, and texts are shuffled once. A document's losses are gathered by its id and text hash, so that rows which share an id, or
+have none, stay apart. A run's rows are as many as its distinct keys.
 
-Defined results. A null or empty text is one empty line. A null doc_id counts as a document of its own that never is the
-largest. Repeated rows of one doc_id are one document: a line found only in those is found in one document. An empty
-table gives no rows; columns other than doc_id and text are ignored.
+Defined results. A null or empty text is one empty line. All rows without an id count as one document, which never is the
+largest. Repeated rows of one doc_id are one document: a line found only in those is found in one document. Texts and lines of any length are
+read whole. An empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,7 +51,7 @@ def _hash(key: bytes) -> tuple[int, int]:
 
 
 def line_keys(docs: DataFrame, least_chars: int = 20) -> DataFrame:
-    """doc_id, h1, h2 of every different key of at least ``least_chars`` code points of every row."""
+    """doc_id, h (hash of the text), h1 and h2 of every different key of at least ``least_chars`` code points of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_batch(batches):
@@ -62,10 +65,12 @@ def line_keys(docs: DataFrame, least_chars: int = 20) -> DataFrame:
                     rows.append(i)
                     high.append(a)
                     low.append(b)
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "h1", "h2"])
+            at = pa.array(rows, pa.int64())
+            columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(high, pa.int64()), pa.array(low, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "h1", "h2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h1 long, h2 long")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, h1 long, h2 long")
 
 
 class LineRuns:
@@ -104,42 +109,64 @@ class LineRuns:
     def add(self, batch: DataFrame) -> DataFrame:
         """Add a batch of different keys; returns the table, until the next ``add``, of its rows whose keys no earlier run has."""
         self._compact()
-        if self.runs():
-            batch = stored(batch, "lines-batch")
-        fresh = batch
-        for name in self.runs():
-            fresh = fresh.join(self._keys(name), ["h1", "h2"], "left_anti")
-        own = self._write(fresh)
-        if self.runs():
-            seen = batch.join(self._keys(own), ["h1", "h2"], "left_anti")
-            self.repeats.append(self._write(seen))
+        if not self.runs():
+            own = self._write(batch)
+        else:
+            whole = self._write(batch)  # in buckets: the joins below only read
+            fresh, rows = self.spark.table(whole), self.spark.table(whole)
+            for name in self.runs():
+                fresh = fresh.join(self._keys(name), ["h1", "h2"], "left_anti")
+            own = self._write(fresh)
+            self.repeats.append(self._write(rows.join(self._keys(own), ["h1", "h2"], "left_anti")))
+            self._drop(whole)
         self.levels[0].append(own)
         return self.spark.table(own)
 
     def _keys(self, name: str) -> DataFrame:
         return self.spark.table(name).select("h1", "h2").hint("merge")
 
+    def _merge(self, names: list[str]) -> str:
+        """One run of several: pairs of sorted buckets are merged until one run is left."""
+        while len(names) > 1:
+            a, b = (self.spark.table(n).select("h1", "h2", *[F.col(c).alias(f"{c}_{x}") for c in ("n_docs", "last_doc")]) for n, x in zip(names[:2], "ab", strict=True))
+            n_docs = F.coalesce("n_docs_a", F.lit(0)) + F.coalesce("n_docs_b", F.lit(0))
+            both = a.join(b.hint("merge"), ["h1", "h2"], "full").select("h1", "h2", n_docs.alias("n_docs"), F.greatest("last_doc_a", "last_doc_b").alias("last_doc"))
+            merged = self._write(both)
+            for name in names[:2]:
+                self._drop(name)
+            names = [*names[2:], merged]
+        return names[0]
+
     def _compact(self) -> None:
+        if len(self.repeats) >= self.fanout:
+            self.repeats = [self._merge(self.repeats)]
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
-                merged = self._write(summed(self._union(self.levels[k])))
-                for name in self.levels[k]:
-                    self._drop(name)
+                merged = self._merge(self.levels[k])
                 self.levels[k] = []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(merged)
 
-    def _union(self, names: list[str]) -> DataFrame:
-        # As plain files: Spark 4.1 takes a union of bucketed tables to be dealt by the key, and its sums then stay apart.
-        return self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*(self.paths[name] for name in names))
-
     def frequent(self, least_docs: int = 3) -> DataFrame:
-        """h1, h2, n_docs, last_doc of the keys found in ``least_docs`` documents or more, over all batches."""
-        return summed(self._union(self.runs() + self.repeats)).where(F.col("n_docs") >= least_docs)
+        """h1, h2, n_docs, last_doc of the keys found in ``least_docs`` documents or more, over all batches.
+
+        No two runs share a key, so each run takes up its repeats by merge joins and the results are only put together.
+        """
+        found = []
+        for name in self.runs():
+            run = self.spark.table(name)
+            for i, repeat in enumerate(self.repeats):
+                more = self.spark.table(repeat).select("h1", "h2", F.col("n_docs").alias(f"n{i}"), F.col("last_doc").alias(f"d{i}"))
+                run = run.join(more.hint("merge"), ["h1", "h2"], "left")
+            n = len(self.repeats)
+            n_docs = sum((F.coalesce(f"n{i}", F.lit(0)) for i in range(n)), F.col("n_docs"))
+            last = F.greatest("last_doc", *[f"d{i}" for i in range(n)]) if n else F.col("last_doc")
+            found.append(run.select("h1", "h2", n_docs.alias("n_docs"), last.alias("last_doc")).where(F.col("n_docs") >= least_docs))
+        return reduce(DataFrame.unionByName, found)
 
     def drop(self) -> None:
-        for name in self.runs() + self.repeats:
+        for name in list(self.paths):
             self._drop(name)
 
 
@@ -164,22 +191,25 @@ def _with_losses(docs: DataFrame, least_chars: int, least_docs: int, batches: in
     spark = docs.sparkSession
     keys = stored(line_keys(docs, least_chars).distinct(), "line-keys")
     runs = LineRuns(spark, fanout=fanout)
-    for b in range(batches):
-        runs.add(counted(keys.where(batch_of(F.col("doc_id"), batches) == b)))
-    frequent = stored(runs.frequent(least_docs), "frequent-lines")
-    runs.drop()
-    # Only documents that lose lines get a row here; each has its own keys at most.
+    try:
+        for b in range(batches):
+            mine = keys.where(batch_of(F.col("doc_id"), batches) == b).select("doc_id", "h1", "h2").distinct()
+            runs.add(counted(mine))
+        frequent = stored(runs.frequent(least_docs), "frequent-lines")
+    finally:
+        runs.drop()
+    # Only rows that lose lines get a row here; each has the keys of its own text at most.
     lost = "lost"
     while lost in docs.columns:
         lost += "_"
     losses = (
         keys.join(frequent.hint("merge"), ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        .groupBy("doc_id")
+        .groupBy("doc_id", "h")
         .agg(F.collect_list(F.struct("h1", "h2")).alias(lost))
-        .withColumnRenamed("doc_id", f"{lost}_id")
+        .withColumnsRenamed({"doc_id": f"{lost}_id", "h": f"{lost}_h"})
     )
-    same = docs["doc_id"].eqNullSafe(losses[f"{lost}_id"])
+    same = docs["doc_id"].eqNullSafe(losses[f"{lost}_id"]) & (F.xxhash64(docs["text"]) == losses[f"{lost}_h"])
     return docs.join(losses.hint("merge"), same, "left").select(*[docs[c] for c in docs.columns], losses[lost])
 
 
@@ -232,9 +262,9 @@ def digest(deduped: DataFrame) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple]:
+def brute_force(docs: list[tuple[int | None, str | None]]) -> list[tuple]:
     """The contract by plain counting; for tests."""
-    holders: dict[bytes, set[int]] = {}
+    holders: dict[bytes, set[int | None]] = {}
     for k, text in docs:
         for line in (text or "").encode().split(b"\n"):
             if code_points(key_of(line)) >= 20:
@@ -242,7 +272,7 @@ def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple]:
     out = []
     for k, text in docs:
         lines = (text or "").encode().split(b"\n")
-        kept = [x for x in lines if not (len(h := holders.get(key_of(x), ())) >= 3 and k != max(h))]
+        kept = [x for x in lines if not (len(h := holders.get(key_of(x), ())) >= 3 and k != max(h - {None}))]
         out.append((k, len(lines), len(lines) - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()))
     return out
 

@@ -127,8 +127,9 @@ def test_byte_bpe(spark, odd):
 def test_line_dedup(spark, odd):
     # repeated rows of one id are one document, and all null ids are one that is never the largest
     got = rows_of(line_dedup.digest(line_dedup.dedup_lines(table(spark, odd), batches=4, fanout=2)))
-    known = [(i, t) for i, t in odd if i is not None]
-    assert [g for g in got if g[0] is not None] == sorted(line_dedup.brute_force(known), key=repr)
+    assert got == sorted(line_dedup.brute_force(odd), key=repr)
+    crowd = [(i % 3 if i % 2 else None, f"line {i} of this crowd of rows\na line that all of them have in common\n{i}") for i in range(60)] + [(9, "a line that all of them have in common")] * 5
+    assert rows_of(line_dedup.digest(line_dedup.dedup_lines(table(spark, crowd)))) == sorted(line_dedup.brute_force(crowd), key=repr)
     full = line_dedup.replace_lines(table(spark, odd).withColumn("n_chars", F.lit(1)).withColumn("lost_id", F.lit(1)))
     sha = sorted(((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in full.collect()), key=repr)
     assert sha == sorted(((g[0], g[3]) for g in got), key=repr)
