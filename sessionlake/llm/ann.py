@@ -1,19 +1,18 @@
 """Approximate nearest neighbours by additive quantisation, with exact reranking.
 
 A unit vector is approximated by the sum of ``STAGES`` codewords, one of each full-dimensional codebook; a codebook is
-fitted by k-means to what the earlier ones leave. Encoding keeps the ``BEAM`` best partial sums at each stage, by inner products in tables.
-The index holds each row's vector, its code and the norm of its code's sum. A search builds a table of the query's inner
-products with all codewords, scores rows by table lookups and the stored norm, and reranks the best ``pool`` of each block by
-the exact cosine in double precision.
+fitted by k-means to what the earlier ones leave. Encoding keeps the ``BEAM`` best partial sums at each stage. The index holds each row's
+code, the norm of its code's sum and a hash of its vector. A search builds a table of the query's inner products with all codewords and scores
+rows by table lookups and the stored norm; the best ``pool`` rows of a query, over all blocks, are reranked by the exact cosine in double precision.
 
-Scale. The codebooks are fitted to a bounded sample (``most_fit`` vectors by a hash of their ids); every row is indexed. Rows and
-queries are dealt into blocks of bounded size by a hash, and each pair of blocks is one task: queries are a stated set
-against all rows, and no task holds more than two blocks. Each pair of blocks returns ``k`` rows a query. Of equal vectors
-in a block only the ``k + 1`` smallest ids are scored, which is all that any result can hold.
+Scale. The codebooks are fitted to a bounded sample (``most_fit`` vectors by a hash of id and vector); every row is indexed. Rows (codes and
+norms only) and queries are dealt into blocks of bounded size by a hash, and each pair of blocks is one task: queries are a stated set
+against all rows, and no task holds more than two blocks. Only the rows of the pools are joined to their vectors. Of equal vectors
+only the ``k + 1`` smallest ids are scored, which is all that any result can hold.
 
 Defined results. Vectors that are null, zero, hold null or non-finite components, have no id, or are not of the commonest length take
 no part. Repeated rows count once; of several vectors under one id that is a query, the smallest (as an array) asks. Ties go to the smaller
-id. Fewer candidates than ``k`` give fewer rows; an empty table gives none. Other columns are ignored.
+id. Fewer candidates than ``k`` give fewer rows; an empty table gives none. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import in_sample, stored
+from sessionlake.llm.common import stored
 
-STAGES, CODEWORDS, BEAM = 12, 256, 6
+STAGES, CODEWORDS, BEAM = 24, 256, 6
 
 
 def usable(v: Column) -> Column:
@@ -70,33 +70,29 @@ class AdditiveQuantiser:
             rest = rest - book[self._nearest(rest, book)]
             books.append(book)
         self.books = np.stack(books)  # stages, codewords, dimensions
-        flat = self.books.reshape(-1, self.books.shape[2])
-        self.inner = (flat @ flat.T).reshape(STAGES, -1, STAGES, self.books.shape[1])
         self.square = (self.books**2).sum(2)
 
     @staticmethod
     def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
         return np.argmax(x @ book.T - 0.5 * (book**2).sum(1), axis=1)
 
-    def encode(self, unit: np.ndarray, block: int = 512) -> np.ndarray:
+    def encode(self, unit: np.ndarray, block: int = 256) -> np.ndarray:
         """Codes (n, STAGES) by beam search over the stages."""
         return np.concatenate([self._beam(unit[i : i + block]) for i in range(0, len(unit), block)] or [np.zeros((0, STAGES), np.uint8)])
 
     def _beam(self, unit: np.ndarray) -> np.ndarray:
         n, k = len(unit), self.books.shape[1]
-        with_all = np.einsum("nd,skd->nsk", unit.astype(np.float32), self.books, optimize=True)
-        codes, error = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1), np.float32)
+        rows = np.arange(n)[:, None]
+        rest, codes = unit.astype(np.float32)[:, None, :], np.zeros((n, 1, 0), np.uint8)
+        error = (rest**2).sum(2)
         for s in range(STAGES):
-            # |x - sum - c|^2 = |x - sum|^2 - 2 (x - sum).c + |c|^2
-            dot = np.repeat(with_all[:, None, s, :], codes.shape[1], axis=1)
-            for t in range(s):
-                dot -= self.inner[t, codes[:, :, t], s]
-            grown = (error[:, :, None] - 2 * dot + self.square[s]).reshape(n, -1)
+            # |rest - c|^2 = |rest|^2 - 2 rest.c + |c|^2
+            grown = (error[:, :, None] - 2 * (rest @ self.books[s].T) + self.square[s]).reshape(n, -1)
             best = np.argpartition(grown, min(BEAM, grown.shape[1]) - 1, axis=1)[:, :BEAM]
-            rows = np.arange(n)[:, None]
-            error = grown[rows, best]
-            codes = np.concatenate([codes[rows, best // k], (best % k)[:, :, None]], axis=2)
-        return codes[np.arange(n), error.argmin(1)].astype(np.uint8)
+            error, parent, word = grown[rows, best], best // k, best % k
+            rest = rest[rows, parent] - self.books[s][word]
+            codes = np.concatenate([codes[rows, parent], word[:, :, None].astype(np.uint8)], axis=2)
+        return codes[np.arange(n), error.argmin(1)]
 
     def sums(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.books[s, codes[:, s]] for s in range(STAGES))
@@ -111,11 +107,8 @@ class AdditiveQuantiser:
 
 
 def fit(vectors: DataFrame, most_fit: int = 6000) -> AdditiveQuantiser | None:
-    """Codebooks from about ``most_fit`` vectors of a table of usable rows (vec_id, embedding)."""
-    n = vectors.count()
-    rows = vectors.where(in_sample(F.col("vec_id"), most_fit / max(n, 1))).orderBy("vec_id", "embedding").toArrow()
-    if not rows.num_rows:
-        rows = vectors.orderBy("vec_id", "embedding").limit(CODEWORDS).toArrow()
+    """Codebooks from ``most_fit`` vectors at most of a table of different usable rows (vec_id, embedding)."""
+    rows = vectors.orderBy(F.xxhash64("vec_id", "embedding", F.lit("sample")), "vec_id", "embedding").limit(most_fit).toArrow()
     if not rows.num_rows:
         return None
     m = matrix(rows.column("embedding"))
@@ -123,7 +116,7 @@ def fit(vectors: DataFrame, most_fit: int = 6000) -> AdditiveQuantiser | None:
 
 
 def index(vectors: DataFrame, quantiser: AdditiveQuantiser | None) -> DataFrame:
-    """vec_id, embedding, code and sum_norm of every row."""
+    """vec_id, embedding, code, sum_norm and vh (a hash of the vector) of every row."""
     shared = vectors.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,84 +125,89 @@ def index(vectors: DataFrame, quantiser: AdditiveQuantiser | None) -> DataFrame:
                 m = matrix(batch.column(1))
                 codes = shared.value.encode(m / norms(m)[:, None])
                 size = norms(shared.value.sums(codes)).astype(np.float32)
+                same = np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in m], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(size)],
-                    ["vec_id", "embedding", "code", "sum_norm"],
+                    [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(size), pa.array(same)],
+                    ["vec_id", "embedding", "code", "sum_norm", "vh"],
                 )
 
     kind = dict(vectors.dtypes)["embedding"]
-    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id long, embedding {kind}, code binary, sum_norm float")
+    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id long, embedding {kind}, code binary, sum_norm float, vh long")
 
 
 def _block_search(q: AdditiveQuantiser, k: int, pool: int):
-    names = ["query_id", "vec_id", "score"]
+    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("vh", pa.int64()), ("rough", pa.float32())])
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not queries.num_rows or not rows.num_rows:
-            return empty
-        ids, m = rows.column("vec_id").to_numpy(), matrix(rows.column("embedding"))
-        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, STAGES)
-        size = rows.column("sum_norm").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        seen: dict[bytes, list[int]] = {}  # of equal vectors: the places of the smallest ids
-        for i in order.tolist():
-            places = seen.setdefault(m[i].tobytes(), [])
-            if len(places) <= k and not (places and ids[places[-1]] == ids[i]):
-                places.append(i)
-        keep = np.sort(np.array([i for places in seen.values() for i in places]))
+            return kinds.empty_table()
+        ids, same = rows.column("vec_id").to_numpy(), rows.column("vh").to_numpy()
+        order = np.lexsort((ids, same))
+        first = np.flatnonzero(np.append(True, same[order][1:] != same[order][:-1]))
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        keep = order[place <= k]  # of equal vectors the smallest ids
         keep = keep[np.argsort(ids[keep], kind="stable")]
-        ids, m, codes, size = ids[keep], m[keep], codes[keep], size[keep]
-        length = norms(m)
+        ids, same = ids[keep], same[keep]
+        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, STAGES)[keep]
+        size = rows.column("sum_norm").to_numpy()[keep]
         asked, qm = queries.column("vec_id").to_numpy(), matrix(queries.column("embedding"))
-        qlength = norms(qm)
-        found: list[tuple] = []
-        for at in range(0, len(asked), 256):
-            rough = q.scores(qm[at : at + 256] / qlength[at : at + 256, None], codes, size)
-            for j, r in enumerate(rough, at):
-                if len(r) > pool:
-                    least = np.partition(r, len(r) - pool)[len(r) - pool]
-                    near = np.flatnonzero(r >= least)  # with all that tie with the last
-                else:
-                    near = np.arange(len(r))
-                near = near[ids[near] != asked[j]]
-                cosine = (m[near] * qm[j]).sum(axis=1) / (length[near] * qlength[j])
-                top = np.lexsort((ids[near], -cosine))
-                taken: set[int] = set()
-                for t in top.tolist():
-                    if ids[near[t]] not in taken:
-                        taken.add(ids[near[t]])
-                        found.append((asked[j], ids[near[t]], cosine[t]))
-                        if len(taken) == k:
-                            break
-        return pa.table(dict(zip(names, (pa.array(c) for c in zip(*found, strict=True)), strict=True))).cast(empty.schema) if found else empty
+        qm /= norms(qm)[:, None]
+        found = []
+        for at in range(0, len(asked), 64):
+            for j, r in enumerate(q.scores(qm[at : at + 64], codes, size), at):
+                r[ids == asked[j]] = -np.inf
+                near = np.argpartition(-r, pool - 1)[:pool] if len(r) > pool else np.arange(len(r))
+                near = near[r[near] > -np.inf]
+                found.append((np.full(len(near), asked[j]), ids[near], same[near], r[near]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=kinds)
 
     return search
 
 
+def _cosines(pairs: DataFrame) -> DataFrame:
+    """query_id, vec_id and score of pairs with both vectors (asked and embedding)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = matrix(batch.column(2)), matrix(batch.column(3))
+                score = pa.array((b * a).sum(axis=1) / (norms(b) * norms(a)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), score], ["query_id", "vec_id", "score"])
+
+    return pairs.select("query_id", "vec_id", "asked", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 5, pool: int = 256, row_block: int = 4096, query_block: int = 4096, most_fit: int = 6000
+    vectors: DataFrame, is_query: Column, k: int = 5, pool: int = 200, row_block: int = 65_536, query_block: int = 4096, most_fit: int = 6000
 ) -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` nearest rows found of each row that ``is_query`` holds for."""
+    """query_id, rank, vec_id and score of the ``k`` nearest rows found of each row that ``is_query`` (on vec_id) holds for."""
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     lengths = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = rows.where(F.size("embedding") == (lengths["size"] if lengths else 0))
+    rows = rows.where(F.size("embedding") == (lengths["size"] if lengths else 0)).distinct()
     quantiser = fit(rows, most_fit)
     indexed = stored(index(rows, quantiser), "ann-index")
     n = indexed.count()
-    blocks = max(1, math.ceil(n / row_block))
+    # blocks of rows are smaller than row_block only to give every core some
+    blocks = max(1, math.ceil(n / row_block), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 1024)))
     queries = indexed.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     query_blocks = max(1, math.ceil(queries.count() / query_block))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
     block_of = lambda count, *by: F.pmod(F.xxhash64("vec_id", *by), F.lit(count).cast("long"))
     left = queries.withColumn("qb", block_of(query_blocks)).withColumn("rb", every(blocks))
-    right = indexed.withColumn("rb", block_of(blocks, "embedding")).withColumn("qb", every(query_blocks))
-    found = (
+    right = indexed.select("vec_id", "vh", "code", "sum_norm").withColumn("rb", block_of(blocks, "vh")).withColumn("qb", every(query_blocks))
+    rough = (
         left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb"))
-        .applyInArrow(_block_search(quantiser, k, pool), "query_id long, vec_id long, score double")
+        .applyInArrow(_block_search(quantiser, k, pool), "query_id long, vec_id long, vh long, rough float")
+        .repartition("query_id")
     )
-    # Every pair of blocks gave k rows a query at most; an id can come from two blocks if it has two vectors.
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    alike = Window.partitionBy("query_id", "vh").orderBy("vec_id")
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id", "vh")
+    pooled = rough.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= pool)
+    pooled = pooled.select("query_id", "vec_id", "vh")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    pairs = pooled.join(indexed.select("vec_id", "vh", "embedding").hint("merge"), ["vec_id", "vh"]).join(asked.hint("merge"), "query_id")
+    found = _cosines(pairs).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id can have several vectors
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -74,11 +74,6 @@ def id_remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
-def in_sample(doc_id: Column, share: float) -> Column:
-    """A repeatable sample of rows by id, of about ``share`` of them."""
-    return F.pmod(F.xxhash64(doc_id, F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
-
-
 def by_batch(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` at most (single longer rows stay whole)."""
     for batch in batches:
