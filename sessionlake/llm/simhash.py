@@ -62,14 +62,15 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, h (hash of the text) and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_batch(batches):
             found = np.array([fingerprint(t, words) for t in raw(batch, "text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -129,9 +130,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = signature
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # Least neighbours are tables of their own: a join of two plain shuffles is one that Spark can split at a node with many links.
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "simhash-least")
+        large = stored(both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "simhash-large")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "simhash-least")
         small = large.join(least.hint("merge"), "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")
         )
@@ -142,21 +144,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def group_documents(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp and component_id of every row: the smallest doc_id that links reach, its own included."""
+    """doc_id, fp, component_id and h (text hash) of every row; component_id is the smallest doc_id that links reach, its own included."""
     prints = stored(fingerprints(docs, words), "simhash-prints")
     points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-points")
     roots = components(links(points.select("fp")))
     rooted = points.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(named.hint("merge"), "root").select("fp", "component_id")
-    return prints.join(by_print.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print.hint("merge"), "fp").select("doc_id", "fp", "component_id", "h")
+
+
+def without(docs: DataFrame, losers: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text hash are in ``losers`` (doc_id, h); only those few are looked up."""
+    losers = stored(losers.select(F.col("doc_id").alias("loser_id"), F.col("h").alias("loser_h")).distinct(), "losers")
+    mine = docs["doc_id"].eqNullSafe(losers["loser_id"]) & (F.xxhash64(docs["text"]) == losers["loser_h"])
+    return docs.join(losers, mine, "left_anti")
 
 
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; rows without an id stay."""
-    kept = group_documents(docs, words).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi")
-    return with_id.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` whose doc_id is the smallest of its group; rows without an id stay, and so do repeated rows of that id."""
+    return without(docs, group_documents(docs, words).where("doc_id <> component_id"))
 
 
 def digest(grouped: DataFrame) -> DataFrame:
