@@ -13,8 +13,8 @@ Places come from splitting a text at a regex's matches: the lengths of pieces an
 Scale. The index is over the rules' trigrams only, so it has a bounded number of narrow rows per document. Merging postings is a
 grouped sum with partial sums; the join back to the texts is by document id and text hash, a sort-merge join that Spark can split.
 
-Defined results. Null counts as empty: no spans. Repeated rows and null ids stay, an empty table gives no rows, other columns are
-ignored.
+Defined results. Null counts as empty: no spans. Texts of any length are scanned whole, in time that grows with their length. Spans that start together
+come in the order of the rules. Repeated rows and null ids stay, an empty table gives no rows, other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -175,6 +175,9 @@ def candidates(index: DataFrame, queries: dict[str, Query], trigrams: list[str])
     return merged.select("doc_id", "text_hash", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
+_RUN = 256
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, order, end, kind>> of a rule's leftmost matches that are long enough."""
     matches = F.regexp_extract_all(text, F.lit(rule.regex if rule.group else f"({rule.regex})"), F.lit(0))
@@ -189,7 +192,15 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         enough = F.length(x["v"]) >= rule.least
         return F.struct(F.coalesce(end, start).alias("at"), F.when(enough, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), add, lambda s: s["found"])
+    # Growing a list copies it, so lists grow within runs of _RUN parts only; then each run's spans are moved by the length of the runs before it.
+    runs = F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(_RUN)), lambda at: F.aggregate(F.slice(parts, at, _RUN), F.struct(F.lit(0).alias("at"), empty.alias("found")), add))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(runs, zero, lambda s, r: F.struct((s["at"] + r["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+
+    def moved(run: Column, by: Column) -> Column:
+        return F.transform(run["found"], lambda x: F.struct((x["start"] + by).alias("start"), x["order"].alias("order"), (x["end"] + by).alias("end"), x["kind"].alias("kind")))
+
+    return F.flatten(F.zip_with(runs, starts, moved))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
