@@ -106,7 +106,7 @@ class ByteBpe:
     met again moves to the new one, so that frequent entries are never thrown away.
     """
 
-    def __init__(self, table: PerfectHash, pattern: str, remember: int = 600_000):
+    def __init__(self, table: PerfectHash, pattern: str, remember: int = 400_000):
         self.table, self.tokens, self.pattern = table, table.keys, regex.compile(pattern)
         self.cuts = pattern == CUT_PATTERN
         self.longest = max(map(len, self.tokens), default=0)
