@@ -8,13 +8,14 @@ pooling adjacent violators over score bins.
 Scale. Scoring maps the documents once. Learning uses a sample of labelled rows whose size is bounded by ``most_rows``; a
 sampled text becomes statistics where it is read, and only statistics, partition sums and bin counts move.
 
-Defined results. Null counts as empty; empty texts get the score of their statistics (all zero). Rows with a null label or
-id teach nothing; a row with several labels teaches each. Without labelled rows every score is 0.5 (predicted 1). Repeated
-rows stay, an empty table gives no rows, columns other than those named are ignored.
+Defined results. Null counts as empty; empty texts get the score of their statistics (all zero). Texts of any length are read whole. Rows with
+a null label or id teach nothing; a row with several labels teaches each. Without labelled rows every score is 0.5 (predicted 1). A score of
+exactly 0.5 is predicted 1. Repeated rows and null ids stay, an empty table gives no rows, columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,20 +33,22 @@ BINS = 200
 STATISTICS = (
     "log_bytes", "log_words", "mean_word", "short_words", "distinct_words", "top_word", "adjacent_repeats",
     "distinct_sentences", "log_lines", "distinct_lines", "words_per_line", "letters", "upper", "upper_start", "digits", "spaces",
-    "sentence_marks", "commas", "bars", "symbols", "exclamations", "beyond_ascii", "words_with_symbols", "blocks_odd",
+    "sentence_marks", "commas", "symbols", "beyond_ascii", "words_with_symbols", "entropy", "distinct_pairs", "compressed",
+    "uneven_lines",
 )
 
-_KIND = np.zeros(256, np.int64)  # 0 other symbol, then letters, capitals, digits, white space, marks, comma, bar, !, non-ASCII
-for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c", b".?:;'\"-()", b",", b"|", b"!", bytes(range(128, 256))), 1):
+_KIND = np.zeros(256, np.int64)  # 0 symbol, then letters, capitals, digits, white space, marks of sentences, comma, beyond ASCII
+for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c", b".?!:;'\"-()", b",", bytes(range(128, 256))), 1):
     _KIND[list(_chars)] = _i
-_SYMBOL_TO_MARK = bytes(0x23 if _KIND[c] in (0, 7, 8) else c for c in range(256))
+_SYMBOL_TO_MARK = bytes(0x23 if _KIND[c] == 0 else c for c in range(256))
 
 
 def statistics(text: bytes | None) -> list[float]:
     if not text:
         return [0.0] * len(STATISTICS)
     n = len(text)
-    kinds = np.bincount(_KIND, np.bincount(np.frombuffer(text, np.uint8), minlength=256), 10) / n
+    counts_of = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    kinds, share = np.bincount(_KIND, counts_of, 8) / n, counts_of[counts_of > 0] / n
     words = text.split()
     w = max(1, len(words))
     counts = Counter(words)
@@ -53,12 +56,15 @@ def statistics(text: bytes | None) -> list[float]:
     lines = text.split(b"\n")
     upper_start = sum(1 for x in words if 65 <= x[0] <= 90)
     marked = text.translate(_SYMBOL_TO_MARK).split()
-    odd = [x for x in lines if x and (x.count(b"!!") + x.count(b" | ") > 0.1 * (x.count(b" ") + 1) or x.isupper())]
+    squeezer = zlib.compressobj(1)
+    squeezed = sum(len(squeezer.compress(text[at : at + (1 << 20)])) for at in range(0, n, 1 << 20)) + len(squeezer.flush())
+    lengths = np.fromiter(map(len, lines), np.float64, len(lines))
     return [
         np.log1p(n), np.log1p(len(words)), n / w, sum(1 for x in words if len(x) <= 3) / w, len(counts) / w,
         max(counts.values(), default=0) / w, sum(map(eq, words, words[1:])) / w, len(set(sentences)) / max(1, len(sentences)),
         np.log1p(len(lines)), len(set(lines)) / len(lines), np.log1p(len(words) / len(lines)), kinds[1], kinds[2], upper_start / w, kinds[3], kinds[4],
-        kinds[5], kinds[6], kinds[7], kinds[0], kinds[8], kinds[9], sum(1 for x in marked if b"#" in x) / w, sum(map(len, odd)) / n,
+        kinds[5], kinds[6], kinds[0], kinds[7], sum(1 for x in marked if b"#" in x) / w, -(share * np.log2(share)).sum(),
+        len(set(zip(words, words[1:]))) / w, squeezed / n, lengths.std() / (lengths.mean() + 1),
     ]
 
 
