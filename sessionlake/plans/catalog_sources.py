@@ -5,6 +5,8 @@ The transcripts, stores and logs that they read are derived from the driver's ta
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +27,10 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with place, stamp and the JSON text of the text."""
-    c = _read(spark, sf_dir, "conversations").where("text is not null")
-    return c.select(
-        "conv_id", F.col("turn").cast("int").alias("line_no"), "role", "text", F.concat(F.lit("f"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file_path"),
+    """Turns with place, stamp and the JSON text of the text; a null text is an empty one."""
+    return _read(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").cast("int").alias("line_no"), "role", F.coalesce("text", F.lit("")).alias("text"),
+        F.concat(F.lit("f"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file_path"),
         F.concat(F.lit("2026-01-01T00:00:0"), (F.col("turn") % 10).cast("string"), F.lit("Z")).alias("stamp"), F.lit(True).alias("valid"),
         F.timestamp_seconds("conv_id").alias("file_mtime"),
     )
@@ -40,23 +42,46 @@ def _json(**fields):
 
 
 _STAMP = "'2026-01-01T00:00:0' || turn % 10 || 'Z'"
-_CONV = "conversations WHERE text IS NOT NULL"
+_CONV = "(SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations) v WHERE true"
+
+
+def _with_input(line):
+    """A line with its mark "@@" replaced by an input of each JSON type: an object, a list, a text, a number, null, none at all."""
+    n = F.col("line_no").cast("string")
+    kinds = [F.concat(F.lit('{"n":'), n, F.lit("}")), F.concat(F.lit('["x",'), n, F.lit("]")), F.concat(F.lit('"say \\"'), n, F.lit('\\""')), n, F.lit("null")]
+    given = F.element_at(F.array(*kinds), (F.col("conv_id") % 6 + 1).cast("int"))
+    return F.when(F.col("conv_id") % 6 == 5, F.replace(line, F.lit(',"input":"@@"'), F.lit(""))).otherwise(F.replace(line, F.lit('"input":"@@"'), F.concat(F.lit('"input":'), given)))
+
+
+_INDENTED = (
+    "CASE conv_id % 6 WHEN 0 THEN '{{' || chr(10) || '  \"n\": ' || turn || chr(10) || '}}' WHEN 1 THEN '[' || chr(10) || '  \"x\",' || chr(10) || '  ' || turn || chr(10) || ']' "
+    "WHEN 2 THEN '\"say \\\"' || turn || '\\\"\"' WHEN 3 THEN CAST(turn AS VARCHAR) WHEN 4 THEN 'null' ELSE '{{}}' END"
+).replace("{{", "{").replace("}}", "}")
+_SPACED = "CASE conv_id % 6 WHEN 0 THEN '{\"n\": ' || turn || '}' WHEN 1 THEN '[\"x\", ' || turn || ']' WHEN 2 THEN '\"say \\\"' || turn || '\\\"\"' WHEN 3 THEN CASE WHEN turn <> 0 THEN CAST(turn AS VARCHAR) END END"
+
+
+def _between_bad_lines(lines: DataFrame) -> DataFrame:
+    """Every line followed by one that isn't JSON."""
+    lines = lines.withColumn("line_no", 2 * F.col("line_no"))
+    return lines.unionByName(lines.withColumn("line_no", F.col("line_no") + 1).withColumn("line", F.left("line", F.lit(9))).withColumn("valid", F.lit(False)))
 
 
 def _claude_lines(spark, sf_dir):
     t = _turns(spark, sf_dir)
     said = _json(type="user", sessionId=F.col("conv_id").cast("string"), cwd="/w", timestamp=F.col("stamp"), message=F.struct(F.col("text").alias("content")))
+    none = lambda name: F.lit(None).cast("string").alias(name)
     blocks = F.array(
-        F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<n:int>").alias("input")),
-        F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("t"), F.col("line_no").cast("string")).alias("id"), F.lit("Bash").alias("name"), F.struct(F.col("line_no").alias("n")).alias("input")),
+        F.struct(F.lit("text").alias("type"), F.col("text"), none("id"), none("name"), none("input")),
+        F.struct(F.lit("tool_use").alias("type"), none("text"), F.concat(F.lit("t"), F.col("line_no").cast("string")).alias("id"), F.lit("Bash").alias("name"), F.lit("@@").alias("input")),
     )
-    answered = _json(type="assistant", timestamp=F.col("stamp"), message=F.struct(F.lit("m").alias("model"), blocks.alias("content")))
-    return t.withColumn("line", F.when(F.col("role") == "user", said).when(F.col("role") == "assistant", answered).otherwise(_json(type="system")))
+    answered = _with_input(_json(type="assistant", timestamp=F.col("stamp"), message=F.struct(F.lit("m").alias("model"), blocks.alias("content"))))
+    lines = t.withColumn("line", F.when(F.col("role") == "user", said).when(F.col("role") == "assistant", answered).otherwise(_json(type="system")))
+    return _between_bad_lines(lines)
 
 
 _CLAUDE = f"""WITH b AS (
   SELECT conv_id, turn, 0 AS b, role, NULL AS tool_name, text FROM {_CONV} AND role IN ('user', 'assistant') AND text <> ''
-  UNION ALL SELECT conv_id, turn, 1, 'tool_call', 'Bash', '{{' || chr(10) || '  "n": ' || turn || chr(10) || '}}' FROM {_CONV} AND role = 'assistant')
+  UNION ALL SELECT conv_id, turn, 1, 'tool_call', 'Bash', {_INDENTED} FROM {_CONV} AND role = 'assistant')
 """
 
 
@@ -68,8 +93,8 @@ def _(spark, sf_dir):
 
 @register(
     "claude_messages",
-    f"""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN trim(text) ELSE CASE WHEN trim(text) <> '' THEN trim(text) || chr(10) ELSE '' END || '[tool: Bash] {{"n": ' || turn || '}}' END AS t FROM {_CONV} AND role IN ('user', 'assistant'))
-    SELECT 'f' || conv_id || '.jsonl' AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, sha256(t) AS text_sha FROM m WHERE t <> ''""",
+    f"""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN trim(text) ELSE concat_ws(chr(10), nullif(trim(text), ''), '[tool: Bash] ' || {_SPACED}) END AS t FROM {_CONV} AND role IN ('user', 'assistant'))
+    SELECT 'f' || conv_id || '.jsonl' AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, sha256(t) AS text_sha FROM m WHERE t <> '' OR role = 'assistant'""",
     plain=True,
 )
 def _(spark, sf_dir):
@@ -96,14 +121,18 @@ def _codex_lines(spark, sf_dir):
     meta = first.withColumn("line_no", F.lit(0)).withColumn("line", _json(type="session_meta", timestamp="t0", payload=F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.lit("p").alias("model_provider"))))
     call = first.withColumn("line_no", F.lit(1)).withColumn("line", _json(type="response_item", timestamp="t1", payload=F.struct(F.lit("function_call").alias("type"), F.lit("sh").alias("name"), F.lit("k").alias("call_id"), F.lit("ls").alias("arguments"))))
     out = first.withColumn("line_no", F.lit(1000)).withColumn("line", _json(type="response_item", timestamp="t9", payload=F.struct(F.lit("function_call_output").alias("type"), F.lit("k").alias("call_id"), F.lit("done").alias("output"))))
+    patch = _json(type="response_item", timestamp=F.col("stamp"), payload=F.struct(F.lit("custom_tool_call").alias("type"), F.lit("patch").alias("name"), F.lit("@@").alias("input")))
+    patches = t.where("role = 'assistant'").withColumn("line", _with_input(patch)).withColumn("line_no", F.col("line_no") + 500)
     columns = ["file_path", "line_no", "line", "valid", "file_mtime"]
-    return lines.select(columns).unionByName(meta.select(columns)).unionByName(call.select(columns)).unionByName(out.select(columns))
+    parts = [x.select(columns) for x in (lines, meta, call, patches, out)]
+    return _between_bad_lines(reduce(DataFrame.unionByName, parts))
 
 
 @register(
     "codex_entries",
     f"""WITH b AS (SELECT conv_id, turn + 2 AS l, role, NULL AS tool_name, text FROM {_CONV} AND text <> ''
-      UNION ALL SELECT DISTINCT conv_id, 1, 'tool_call', 'sh', 'ls' FROM {_CONV} UNION ALL SELECT DISTINCT conv_id, 1000, 'tool_result', 'sh', 'done' FROM {_CONV})
+      UNION ALL SELECT DISTINCT conv_id, 1, 'tool_call', 'sh', 'ls' FROM {_CONV} UNION ALL SELECT DISTINCT conv_id, 1000, 'tool_result', 'sh', 'done' FROM {_CONV}
+      UNION ALL SELECT conv_id, turn + 500, 'tool_call', 'patch', CASE WHEN conv_id % 6 = 4 OR conv_id % 6 = 3 AND turn = 0 THEN '{{}}' ELSE {_INDENTED} END FROM {_CONV} AND role = 'assistant')
     SELECT 'f' || conv_id || '.jsonl' AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY l) - 1 AS seq, role, tool_name, sha256(text) AS text_sha FROM b""",
     plain=True,
 )
@@ -131,7 +160,11 @@ def _(spark, sf_dir):
 def _cursor_lines(spark, sf_dir):
     t = _turns(spark, sf_dir)
     text = F.when(F.col("role") == "user", F.concat(F.lit("<timestamp>"), "stamp", F.lit("</timestamp><user_query>"), "text", F.lit("</user_query>"))).otherwise(F.col("text"))
-    return t.withColumn("line", _json(role=F.col("role"), message=F.struct(F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content"))))
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    said = F.struct(F.lit("text").alias("type"), text.alias("text"), none("name"), none("input"))
+    call = F.struct(F.lit("tool_use").alias("type"), none("text"), F.lit("Edit").alias("name"), F.lit("@@").alias("input"))
+    blocks = F.when(F.col("role") == "assistant", F.array(said, call)).otherwise(F.array(said))
+    return _between_bad_lines(t.withColumn("line", _with_input(_json(role=F.col("role"), message=F.struct(blocks.alias("content"))))))
 
 
 _STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
@@ -139,8 +172,9 @@ _STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 @register(
     "cursor_entries",
-    f"""WITH b AS (SELECT conv_id, turn, role, {_STRIPPED} AS t, CASE WHEN role = 'user' THEN {_STAMP} END AS ts FROM {_CONV} AND role IN ('user', 'assistant'))
-    SELECT 'f' || conv_id || '.jsonl' AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role, ts, sha256(t) AS text_sha FROM b WHERE t <> ''""",
+    f"""WITH b AS (SELECT conv_id, turn, 0 AS b, role, {_STRIPPED} AS t, CASE WHEN role = 'user' THEN {_STAMP} END AS ts FROM {_CONV} AND role IN ('user', 'assistant')
+      UNION ALL SELECT conv_id, turn, 1, 'tool_call', {_INDENTED}, NULL FROM {_CONV} AND role = 'assistant')
+    SELECT 'f' || conv_id || '.jsonl' AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn, b) - 1 AS seq, role, ts, sha256(t) AS text_sha FROM b WHERE t <> ''""",
     plain=True,
 )
 def _(spark, sf_dir):
@@ -151,19 +185,31 @@ def _(spark, sf_dir):
 @register(
     "cursor_messages",
     f"""WITH b AS (SELECT conv_id, turn, role, {_STRIPPED} AS t FROM {_CONV} AND role IN ('user', 'assistant'))
-    SELECT 'f' || conv_id || '.jsonl' AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, sha256(t) AS text_sha FROM b WHERE t <> ''""",
+    SELECT 'f' || conv_id || '.jsonl' AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, sha256(t) AS text_sha FROM b WHERE t <> '' OR role = 'assistant'""",
     plain=True,
 )
 def _(spark, sf_dir):
     return S.cursor_messages(_cursor_lines(spark, sf_dir)).select("file_path", F.col("idx").cast("long").alias("idx"), "role", F.sha2("text", 256).alias("text_sha"))
 
 
-@register("read_raw_lines", f"SELECT count(*) AS lines, count(*) FILTER (conv_id % 5 <> 0) AS valid_lines FROM {_CONV}", plain=True)
+@register(
+    "read_raw_lines",
+    f"""SELECT conv_id % 32 AS part, row_number() OVER (PARTITION BY conv_id % 32 ORDER BY conv_id, turn, role, text) AS line_no, conv_id % 5 <> 0 AS valid,
+    sha256(conv_id || role || text) AS text_sha FROM {_CONV}""",
+    plain=True,
+)
 def _(spark, sf_dir):
-    lines, path = _claude_lines(spark, sf_dir), _scratch(spark, "transcripts")
-    broken = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("x"), "line")).otherwise(F.col("line"))
-    lines.select(broken.alias("value")).write.option("maxRecordsPerFile", 1000).text(path)
-    return S.read_raw_lines(spark, path).agg(F.count("*").alias("lines"), F.count_if("valid").alias("valid_lines"))
+    """Files of many conversations, begun by a blank line; lines end in a carriage return, those of every fifth conversation aren't JSON."""
+    t, path = _turns(spark, sf_dir).withColumn("part", F.col("conv_id") % 32), _scratch(spark, "transcripts")
+    line = F.concat(F.when(F.col("conv_id") % 5 == 0, "x").otherwise(""), _json(id=F.col("conv_id"), role=F.col("role"), text=F.col("text")), F.lit("\r"))
+    blank = spark.range(32).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("conv_id"), F.lit(0).alias("line_no"), F.lit("").alias("role"), F.lit("").alias("value"))
+    rows = t.select("part", "conv_id", "line_no", "role", line.alias("value")).unionByName(blank)
+    rows = rows.repartition(32, "part").sortWithinPartitions("part", "conv_id", "line_no", "role", "value")
+    rows.select("part", "value").write.partitionBy("part").text(path)
+    body = F.when(F.col("valid"), F.col("line")).otherwise(F.substring("line", 2, 1 << 30))
+    text = F.concat(*[F.get_json_object(body, f"$.{k}") for k in ("id", "role", "text")])
+    part = F.regexp_extract("file_path", "part=([0-9]+)", 1).cast("long")
+    return S.read_raw_lines(spark, path).select(part.alias("part"), F.col("line_no").cast("long").alias("line_no"), "valid", F.sha2(text, 256).alias("text_sha"))
 
 
 @register(

@@ -20,14 +20,19 @@ MOST_INPUT = 2000
 
 
 def read_raw_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """file_path, file_mtime, file_size, line_no (from 0), line and valid of every line that isn't blank."""
-    files = spark.read.option("recursiveFileLookup", "true").text(list(paths), wholetext=True)
-    meta = files.select(
-        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("file_mtime"), F.col("_metadata.file_size").alias("file_size")
-    )
-    lines = meta.select("file_path", "file_mtime", "file_size", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """file_path, file_mtime, file_size, line_no (from 0), line and valid of every line that isn't blank.
+
+    Files are read in splits; lines are numbered by the place of their split and their order in it.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(list(paths))
+    m = F.col("_metadata")
+    lines = read.select(
+        m.file_path.alias("file_path"), m.file_modification_time.alias("file_mtime"), m.file_size.alias("file_size"),
+        m.file_block_start.alias("start"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
+    )
+    lines = _numbered(lines, "line_no", "start", "place").drop("start", "place")
     lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "\r$", ""))).where("line <> ''")
-    return lines.withColumn("valid", F.try_parse_json("line").isNotNull())
+    return lines.select("file_path", "file_mtime", "file_size", "line_no", "line", F.try_parse_json("line").isNotNull().alias("valid"))
 
 
 def classify_transcript_paths(lines: DataFrame) -> DataFrame:
@@ -82,6 +87,23 @@ def _blocks(c: Column | str, path: str) -> Column:
     return F.when(kind.startswith("ARRAY"), listed).when((kind == "STRING") & (_at(c, path) != ""), one)
 
 
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+
+
+def _value(c: Column | str, path: str) -> Column:
+    """The JSON text of the value at a path, strings with their quotes; null if it is absent."""
+    kind = _kind(c, path)
+    return F.when(kind == "STRING", _quoted(_at(c, path))).when(kind == "VOID", "null").otherwise(_at(c, path))
+
+
+def _something(c: Column | str, path: str) -> Column:
+    """Like ``_value``; null also for what counts as nothing: an empty text, list or object, zero, false and null."""
+    value = _value(c, path)
+    return F.when(~value.isin('""', "[]", "{}", "0", "0.0", "-0.0", "false", "null"), value)
+
+
 def _time(c: Column | str, path: str) -> Column:
     """A time stamp as text; a number is epoch milliseconds."""
     text = nonempty(_at(c, path))
@@ -138,7 +160,7 @@ def claude_entries(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("call_id", F.coalesce(_at("block", "$.tool_use_id"), _at("block", "$.id")))
     rows = rows.withColumn("tool_name", F.when(F.col("role") == "tool_call", F.coalesce(nonempty(_at("block", "$.name")), F.lit("unknown"))))
     text = (
-        F.when(F.col("role") == "tool_call", indented_json(F.coalesce(_at("block", "$.input"), F.lit("{}"))))
+        F.when(F.col("role") == "tool_call", indented_json(F.coalesce(_value("block", "$.input"), F.lit("{}"))))
         .when(F.col("role") == "tool_result", result)
         .when(F.col("role") == "thinking", _at("block", "$.thinking"))
         .otherwise(_at("block", "$.text"))
@@ -180,8 +202,7 @@ def claude_messages(lines: DataFrame) -> DataFrame:
     )
     used = (F.col("type") == "assistant") & (F.col("kind") == "tool_use")
     name = F.coalesce(_at("block", "$.name"), F.lit("unknown"))
-    is_object = _kind("block", "$.input").startswith("OBJECT") | _kind("block", "$.input").startswith("ARRAY")
-    given = nonempty(F.when(~_at("block", "$.input").isin("{}", "[]", '""'), F.when(is_object, spaced_json(F.when(is_object, _at("block", "$.input")))).otherwise(_at("block", "$.input"))))
+    given = spaced_json(_something("block", "$.input"))
     rows = rows.withColumn("tool", F.when(used, name))
     part = F.when(used, F.concat(F.lit("[tool: "), name, F.lit("] "), F.left(given, F.lit(MOST_INPUT)))).otherwise(said)
     out = _joined(rows, part, "type", "ts")
@@ -223,10 +244,9 @@ def codex_entries(lines: DataFrame) -> DataFrame:
     role = F.when(kind == "message", F.coalesce(nonempty(_at("payload", "$.role")), F.lit("unknown"))).when(kind == "reasoning", "reasoning").when(call, "tool_call").when(output, "tool_result")
     thought = F.concat_ws("\n", nonempty(_texts_of("$.summary", None)), nonempty(_texts_of("$.content", None)))
     sealed = F.when(nonempty(_at("payload", "$.encrypted_content")).isNotNull(), SEALED).otherwise("")
-    given = F.coalesce(_at("payload", "$.arguments"), indented_json(F.coalesce(_at("payload", "$.input"), _at("payload", "$.action"), F.lit("{}"))))
-    plain_input = F.when(_at("payload", "$.arguments").isNull() & (_kind("payload", "$.input") == "STRING"), F.to_json(F.struct(_at("payload", "$.input").alias("x"))))
-    given = F.when(plain_input.isNotNull(), F.regexp_extract(plain_input, r'(?s)^\{"x":(.*)\}$', 1)).otherwise(given)
-    got = F.coalesce(_at("payload", "$.output"), indented_json(F.coalesce(_at("payload", "$.tools"), F.lit("{}"))))
+    given = indented_json(F.coalesce(_something("payload", "$.input"), _something("payload", "$.action"), F.lit("{}")))
+    given = F.coalesce(_at("payload", "$.arguments"), given)
+    got = F.coalesce(_at("payload", "$.output"), indented_json(F.coalesce(_something("payload", "$.tools"), F.lit("{}"))))
     text = F.when(kind == "message", _texts_of("$.content")).when(kind == "reasoning", F.coalesce(nonempty(thought), sealed)).when(call, given).when(output, got)
     rows = rows.withColumn("role", role).where("role is not null")
     rows = rows.withColumn("call_id", F.coalesce(_at("payload", "$.call_id"), F.when(call, _at("payload", "$.id"))))
@@ -302,7 +322,7 @@ def cursor_entries(lines: DataFrame) -> DataFrame:
     rows = rows.where(text | called).select(
         "file_path", "line_no", "block_no", F.when(called, "tool_call").otherwise(F.col("role")).alias("role"),
         F.when(text & user, user_time(raw)).alias("ts"), F.when(called, F.coalesce(nonempty(_at("block", "$.name")), F.lit("unknown"))).alias("tool_name"),
-        F.when(called, indented_json(F.coalesce(_at("block", "$.input"), F.lit("{}")))).otherwise(_unredacted(F.when(user, user_text(raw)).otherwise(raw))).alias("text"),
+        F.when(called, indented_json(F.coalesce(_value("block", "$.input"), F.lit("{}")))).otherwise(_unredacted(F.when(user, user_text(raw)).otherwise(raw))).alias("text"),
         F.col("block").alias("raw"),
     )
     return _numbered(rows.where("role = 'tool_call' or text <> ''"), "seq", "line_no", "block_no").select(*_ENTRY)

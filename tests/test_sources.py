@@ -2,7 +2,7 @@ import json
 
 
 from sessionlake.plans import catalog, catalog_sources  # noqa: F401
-from sessionlake.sources import stores, transcripts
+from sessionlake.sources import stores
 from sessionlake.sources import transcripts as S
 
 
@@ -176,8 +176,32 @@ def test_workspaces_are_bounded(spark, tmp_path, monkeypatch):
     assert seen[0].count() == 10 and seen[0].selectExpr("max(length(value)) n").first().n < 100 * 30
 
 
-def test_raw_line_files_are_bounded(spark, tmp_path, monkeypatch):
-    seen, real = [], transcripts.read_raw_lines
-    monkeypatch.setattr(transcripts, "read_raw_lines", lambda *a: seen.append(real(*a)) or seen[-1])
-    assert catalog.QUERIES["read_raw_lines"](spark, _conversations(spark, tmp_path, 2500)).first().lines == 2500
-    assert seen[0].groupBy("file_path").count().selectExpr("max(count) n").first().n <= 1000
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """A file that is read in many splits; only line feeds end lines, and blank ones count but aren't returned."""
+    rows = [f'{{"n": {i}, "x": "{"y" * (i % 90)}"}}' if i % 7 else "" for i in range(3000)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("\r\n".join(rows) + "\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = S.read_raw_lines(spark, str(tmp_path))
+        got = sorted((r.file_path[-7:], r.line_no, r.line, r.valid) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(f"{name}.jsonl", i, row, True) for name in "ab" for i, row in enumerate(rows) if row]
+
+
+def test_inputs_of_every_type(spark, tmp_path):
+    inputs = [{"a": [1, "é"]}, [], ["x", 2], "*** Begin Patch\n\"q\" \x1f é", "", 0, 1.5, True, False, None]
+    calls = [{"type": "tool_use", "name": "T", "input": v} for v in inputs] + [{"type": "tool_use", "name": "T"}]
+    write(tmp_path / "p/a.jsonl", {"type": "assistant", "message": {"content": calls}}, "{broken", {"type": "assistant", "message": {"content": [{"type": "text", "text": "after"}]}})
+    write(tmp_path / "agent-transcripts/c.jsonl", "[1", {"role": "assistant", "message": {"content": calls}})
+    write(tmp_path / "rollout-1.jsonl", *[{"type": "response_item", "payload": {"type": "custom_tool_call", "name": "T", "input": v}} for v in inputs], {"type": "response_item", "payload": {"type": "custom_tool_call", "name": "T", "action": "go"}}, "nope")
+    shown = lambda v: json.dumps(v, indent=2, ensure_ascii=False)
+    want = [("tool_call", "T", shown(v)) for v in [*inputs, {}]]
+    read = lambda p: S.read_raw_lines(spark, str(tmp_path / p))
+    assert entries(S.claude_entries(read("p"))) == [*want, ("assistant", None, "after")]
+    assert entries(S.cursor_entries(read("agent-transcripts"))) == want
+    assert entries(S.codex_entries(read("rollout-1.jsonl"))) == [("tool_call", "T", shown(v or {})) for v in inputs] + [("tool_call", "T", '"go"')]
+    said = S.claude_messages(read("p")).orderBy("idx").first().text
+    assert said == "\n".join(f"[tool: T] {json.dumps(v)}" for v in inputs if v)
