@@ -76,21 +76,31 @@ def scope_sessions(sessions: DataFrame, cwd: str | None = None, project: str | N
     return sessions.join(F.broadcast(some)).where(inside | ~F.col("some_inside")).drop("some_inside")
 
 
-def budget_blocks(lines: DataFrame, max_chars: int = 80_000, least: int = 8_000) -> DataFrame:
-    """lines (rank, line_no, text) with kept and cut_reason: each conversation gets max(least, max_chars // n) characters, all
-    together ``max_chars``; conversations are taken by rank."""
+#: Fixed value: what stands for the rest of a conversation that is cut, with eight characters of its id.
+MORE_LINES = "  [... more matches in this conversation — run: session 12345678]"
+
+
+def budget_blocks(lines: DataFrame, max_chars: int = 80_000, least: int = 8_000, before: int = 0) -> DataFrame:
+    """lines (rank, line_no, text and, if there, header) with kept and cut_reason.
+
+    Each conversation gets max(least, max_chars // n) characters; its header lines always stay and count, its other lines stay up to the first that would
+    exceed them. Conversations are taken whole, by rank, until one makes the total (with ``before`` characters, headers and the marks of cuts)
+    exceed ``max_chars``: that one still stays, those after it don't.
+    """
+    header = F.coalesce("header", F.lit(False)) if "header" in lines.columns else F.lit(False)
     n = lines.agg(F.count_distinct("rank").alias("n"))  # one row
-    size = F.length("text")
-    own = Window.partitionBy("rank").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    head, said = F.when(header, F.length("text")).otherwise(0), F.when(header, 0).otherwise(F.length("text"))
+    whole = Window.partitionBy("rank")
+    own = whole.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     share = F.greatest(F.lit(least), F.floor(F.lit(max_chars) / F.greatest("n", F.lit(1))))
-    within = lines.join(F.broadcast(n)).withColumn("fits", F.sum(size).over(own) <= share)
-    taken = within.groupBy("rank").agg(F.sum(F.when(F.col("fits"), size).otherwise(0)).alias("used"))
-    before = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # one row for each ranked conversation
-    offsets = taken.select("rank", F.coalesce(F.sum("used").over(before), F.lit(0)).alias("offset"))
-    total = F.col("offset") + F.sum(F.when(F.col("fits"), size).otherwise(0)).over(own)
-    reason = F.when(~F.col("fits"), "conversation_budget").when(F.col("total") > max_chars, "total_budget")
-    out = within.join(offsets, "rank").withColumn("total", total).withColumn("cut_reason", reason)
-    return out.withColumn("kept", F.col("cut_reason").isNull()).drop("fits", "n", "offset", "total")
+    within = lines.join(F.broadcast(n)).withColumn("fits", header | (F.sum(head).over(whole) + F.sum(said).over(own) <= share))
+    taken = within.groupBy("rank").agg(F.sum(F.when(F.col("fits"), F.length("text")).otherwise(0)).alias("chars"), F.bool_and("fits").alias("uncut"))
+    used = F.col("chars") + F.when(F.col("uncut"), 0).otherwise(len(MORE_LINES))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # one row for each ranked conversation
+    offsets = taken.select("rank", (F.coalesce(F.sum(used).over(earlier), F.lit(0)) + before).alias("offset"))
+    reason = F.when(F.col("offset") > max_chars, "total_budget").when(~F.col("fits"), "conversation_budget")
+    out = within.join(offsets, "rank").withColumn("cut_reason", reason)
+    return out.withColumn("kept", F.col("cut_reason").isNull()).drop("fits", "n", "offset")
 
 
 def recent_sessions(sessions: DataFrame, messages: DataFrame, n: int) -> DataFrame:

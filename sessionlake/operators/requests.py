@@ -133,8 +133,22 @@ def pending_bytes(uploads: DataFrame, but: str | None = None) -> DataFrame:
     return rows.groupBy("owner").agg(F.sum("nbytes").alias("pending_bytes"))
 
 
-def quota_violations(uploads: DataFrame, most: int) -> DataFrame:
-    return pending_bytes(uploads).where(F.col("pending_bytes") > most)
+def quota_violations(uploads: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """upload_id, owner, pending_bytes and asked_bytes of prepared uploads (upload_id, owner, nbytes) that would exceed an owner's ``most`` bytes.
+
+    Pending are the owner's other uploads. An upload that is pending itself is only asked for again, which is always allowed.
+    """
+    pending = uploads.where(F.col("status").isin(*PENDING))
+    new = asked.join(pending.select("upload_id"), "upload_id", "left_anti")
+    sums = pending.groupBy("owner").agg(F.sum("nbytes").alias("pending_bytes"))
+    both = new.join(sums, "owner", "left").select("upload_id", "owner", F.coalesce("pending_bytes", F.lit(0)).alias("pending_bytes"), F.col("nbytes").alias("asked_bytes"))
+    return both.where(F.col("pending_bytes") + F.col("asked_bytes") > most)
+
+
+def request_total(requests: DataFrame, since: str | None = None) -> DataFrame:
+    """requestCount of the request statistics: one row."""
+    requests = requests.where(F.col("started_at") >= since) if since else requests
+    return requests.agg(F.count("*").alias("request_count"))
 
 
 def expire_abandoned(uploads: DataFrame, now: float, ttl: float, receiving: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

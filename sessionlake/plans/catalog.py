@@ -461,42 +461,41 @@ def _(t):
     return relevance.order_by_density(relevance.prefilter_files(lines, ["thing", "Th"])).drop("density")
 
 
-@register(
-    "budget_blocks",
-    """, l AS (SELECT dense_rank() OVER (ORDER BY session_id) AS rank, seq AS line_no, length(body) AS size FROM entries WHERE session_id < 30),
+def _budget_sql(second: str) -> str:
+    """Ranked conversations with a header line each and the budget's rules."""
+    mark = len(relevance.MORE_LINES)
+    return f""", c AS (SELECT session_id, max(contains(lower(body), 'tion')::INT) + max(contains(body, 'The')::INT) AS coverage, count(*) FILTER ({_ANY}) AS match_count, count(*) AS total_messages FROM entries GROUP BY session_id),
+    k AS (SELECT session_id, source, row_number() OVER (ORDER BY coverage DESC, {second} DESC, started_at DESC, session_id) AS rank FROM c JOIN sessions USING (session_id) WHERE match_count > 0 ORDER BY rank LIMIT 25),
+    l AS (SELECT rank, session_id, seq AS line_no, length(body) AS size, 0 AS head FROM entries JOIN k USING (session_id) UNION ALL SELECT rank, session_id, -1, 0, length('[' || source || '] ' || session_id) FROM k),
     n AS (SELECT greatest(8000, floor(40000 / count(DISTINCT rank))) AS share FROM l),
-    f AS (SELECT *, sum(size) OVER (PARTITION BY rank ORDER BY line_no) <= share AS fits FROM l, n),
-    u AS (SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (ORDER BY rank, line_no) AS total FROM f)
-    SELECT rank, line_no, CASE WHEN NOT fits THEN 'conversation_budget' WHEN total > 40000 THEN 'total_budget' END AS cut_reason FROM u""",
-)
-def _(t):
+    f AS (SELECT *, line_no = -1 OR sum(head) OVER (PARTITION BY rank) + sum(size) OVER (PARTITION BY rank ORDER BY line_no) <= share AS fits FROM l, n),
+    u AS (SELECT rank, sum(CASE WHEN fits THEN size + head ELSE 0 END) + CASE WHEN bool_and(fits) THEN 0 ELSE {mark} END AS used FROM f GROUP BY rank),
+    o AS (SELECT rank, coalesce(sum(used) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 60 AS earlier FROM u)
+    SELECT rank, session_id, line_no, CASE WHEN earlier > 40000 THEN 'total_budget' WHEN NOT fits THEN 'conversation_budget' END AS cut_reason FROM f JOIN o USING (rank)"""
+
+
+def _budgeted(t, by_density: bool):
     from pyspark.sql import Window
 
-    few = t["entries"].where("session_id < 30")
-    ranks = few.select("session_id").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("session_id")))
-    lines = few.join(ranks, "session_id").select("rank", F.col("seq").alias("line_no"), F.col("body").alias("text"))
-    return relevance.budget_blocks(lines, 40_000).select(F.col("rank").cast("long").alias("rank"), "line_no", "cut_reason")
+    scores = relevance.score_sessions(_messages(t), _TERMS).join(t["sessions"], "session_id").withColumn("sort_ts", T.sort_ts(F.col("started_at")))
+    best = relevance.rank_conversations(scores, 25, by_density)  # 25 rows
+    second = T.match_density(F.col("match_count"), F.col("total_messages")) if by_density else F.col("match_count")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("coverage"), F.desc(second), F.desc("sort_ts"), "session_id")
+    ranks = best.select("session_id", "source", F.row_number().over(order).cast("long").alias("rank"))
+    said = t["entries"].join(F.broadcast(ranks), "session_id").select("rank", "session_id", F.col("seq").alias("line_no"), F.col("body").alias("text"), F.lit(False).alias("header"))
+    title = F.concat(F.lit("["), "source", F.lit("] "), F.col("session_id").cast("string"))
+    heads = ranks.select("rank", "session_id", F.lit(-1).alias("line_no"), title.alias("text"), F.lit(True).alias("header"))
+    return relevance.budget_blocks(said.unionByName(heads), 40_000, before=60).select("rank", "session_id", "line_no", "cut_reason")
 
 
-@register(
-    "budget_blocks_ranked",
-    f""", c AS (SELECT session_id, max(contains(lower(body), 'tion')::INT) + max(contains(body, 'The')::INT) AS coverage, count(*) FILTER ({_ANY}) AS match_count FROM entries GROUP BY session_id),
-    k AS (SELECT session_id, row_number() OVER (ORDER BY coverage DESC, match_count DESC, started_at DESC, session_id) AS rank FROM c JOIN sessions USING (session_id) WHERE match_count > 0 ORDER BY rank LIMIT 25),
-    l AS (SELECT rank, session_id, seq AS line_no, length(body) AS size FROM entries JOIN k USING (session_id)),
-    n AS (SELECT greatest(8000, floor(40000 / count(DISTINCT rank))) AS share FROM l),
-    f AS (SELECT *, sum(size) OVER (PARTITION BY rank ORDER BY line_no) <= share AS fits FROM l, n),
-    u AS (SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (ORDER BY rank, line_no) AS total FROM f)
-    SELECT rank, session_id, line_no, CASE WHEN NOT fits THEN 'conversation_budget' WHEN total > 40000 THEN 'total_budget' END AS cut_reason FROM u""",
-)
+@register("budget_blocks", _budget_sql("match_count / (total_messages + 10)"))
 def _(t):
-    from pyspark.sql import Window
+    return _budgeted(t, by_density=True)
 
-    scores = relevance.score_sessions(_messages(t), _TERMS).join(t["sessions"], "session_id").withColumn("sort_ts", T.sort_ts(F.col("started_at")))
-    best = relevance.rank_conversations(scores, 25)  # 25 rows
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("coverage"), F.desc("match_count"), F.desc("sort_ts"), "session_id")
-    ranks = best.select("session_id", F.row_number().over(order).cast("long").alias("rank"))
-    lines = t["entries"].join(F.broadcast(ranks), "session_id").select("rank", "session_id", F.col("seq").alias("line_no"), F.col("body").alias("text"))
-    return relevance.budget_blocks(lines, 40_000).select("rank", "session_id", "line_no", "cut_reason")
+
+@register("budget_blocks_ranked", _budget_sql("match_count"))
+def _(t):
+    return _budgeted(t, by_density=False)
 
 
 @register(
@@ -517,12 +516,12 @@ def _(t):
 
 @register(
     "search_prompts",
-    "SELECT session_id AS session, started_at AS ts FROM entries JOIN sessions USING (session_id) WHERE role = 'user' AND seq = 0 AND contains(lower(body), 'tion') AND contains(body, 'The') ORDER BY started_at DESC, session_id LIMIT 30",
+    "SELECT session_id AS session, started_at AS ts, seq FROM entries JOIN sessions USING (session_id) WHERE role = 'user' AND contains(lower(cwd), '/r1') AND contains(lower(body), 'tion') AND contains(body, 'The') ORDER BY started_at DESC, session_id, seq LIMIT 30",
 )
 def _(t):
-    p = t["entries"].where("role = 'user' AND seq = 0").join(t["sessions"], "session_id")
-    p = p.select(F.col("session_id").alias("session"), F.col("started_at").alias("ts"), F.col("cwd").alias("project"), F.col("body").alias("prompt"))
-    return relevance.search_prompts(p, _TERMS).select("session", "ts")
+    p = t["entries"].where("role = 'user'").join(t["sessions"], "session_id")
+    p = p.select(F.col("session_id").alias("session"), F.col("started_at").alias("ts"), "seq", F.col("cwd").alias("project"), F.col("body").alias("prompt"))
+    return relevance.search_prompts(p, _TERMS, "/R1").select("session", "ts", "seq")
 
 
 @register(
@@ -584,13 +583,45 @@ def _(t):
     return requests.retain_latest(t["requests"], 500).select("id")
 
 
+_JSON = [  # operation, arguments and what is kept of them; @A and @I stand for a request's actor and id
+    ("search", '{"query":"find @A","person":"\u00e9@A","limit":@I,"includeSubagents":true,"maxHitsPerSession":"3","roles":["a","b"],"secret":"x"}', None),
+    ("browse", '{"person":5,"since":"2026\\n@I","limit":1.5}', '{"since":"2026\\n@I"}'),
+    ("read_session", '{"uuid":"' + "u" * 201 + '","sessionId":@I,"maxChars":null,"offset":false}', '{"uuid":"' + "u" * 200 + '","sessionId":@I,"offset":false}'),
+    ("prepare_upload", '{"archiveSha256":"s@I","archiveBytes":@I,"scope":{"repositories":["r\u00e9@I"],"since":7,"sessionCount":@I,"notes":"private"}}',
+     '{"archiveSha256":"s@I","archiveBytes":@I,"scope":{"repositories":["r\\u00e9@I"],"sources":null,"since":null,"until":null,"sessionCount":@I,"visibility":null}}'),
+    ("upload_status", "{}", '{"uploadId":null}'),
+    ("list_my_uploads", '{"limit":@I,"x":1}', '{"limit":@I}'),
+    ("admin_requests", '{"statusCode":"x\\"@I","name":"@A","limit":null,"other":1}', '{"limit":null,"name":"@A","statusCode":"x\\"@I"}'),
+    ("stats", '{"since":"@I"}', '{"since":"@I"}'),
+    ("plan_upload", '{"sessionFingerprints":["@I","b"]}', '{"sessionFingerprintCount":2}'),
+    ("missing_blobs", '{"blobHashes":{}}', '{"argumentNames":["blobHashes"]}'),
+    ("mystery", '{"b":"@I","a\\t\u00e9":2}', '{"argumentNames":["a\\t\\u00e9","b"]}'),
+    ("search", '["@I"]', None),
+]
+
+
+def _sql_text(text: str) -> str:
+    return "replace(replace('" + text.replace("'", "''") + "', '@A', actor), '@I', CAST(id AS VARCHAR))"
+
+
+_SEARCHED = "'{\"queryChars\":' || length('find ' || actor) || ',\"querySha256\":\"' || sha256('find ' || actor) || '\",\"person\":\"\\u00e9' || actor || '\",\"includeSubagents\":true,\"limit\":' || id || ',\"roleCount\":2}'"
+_REDACTED = " ".join(f"WHEN {i} THEN {_SEARCHED if i == 0 else 'NULL' if kept is None else _sql_text(kept)}" for i, (_, _, kept) in enumerate(_JSON))
+_BODIES = ('{"error":{"code":1}}', '{"result":{"isError":true}}', "{}", "not json")
+
+
 @register(
     "redacted_requests",
-    """SELECT id, '{"argumentNames":["k"]}' AS arguments_json, CASE WHEN status_code < 400 THEN NULL ELSE 'request_failed' END AS error_code FROM requests WHERE arguments_json IS NOT NULL
-    UNION ALL SELECT id, NULL, CASE WHEN status_code < 400 THEN NULL ELSE 'request_failed' END FROM requests WHERE arguments_json IS NULL""",
+    f"""SELECT id, 'given' AS kind, CASE WHEN arguments_json IS NOT NULL THEN '{{"argumentNames":["k"]}}' END AS arguments_json, CASE WHEN status_code < 400 THEN NULL ELSE 'request_failed' END AS error_code FROM requests
+    UNION ALL SELECT id, 'made', CASE id % 12 {_REDACTED} END, CASE id % 4 WHEN 0 THEN 'mcp_protocol_error' WHEN 1 THEN 'mcp_tool_error' ELSE CASE WHEN status_code < 400 THEN NULL ELSE 'request_failed' END END FROM requests""",
 )
 def _(t):
-    return requests.redacted_requests(t["requests"].withColumn("response_body", F.lit("{}"))).select("id", "arguments_json", "error_code")
+    given = t["requests"].withColumn("response_body", F.lit("{}")).withColumn("kind", F.lit("given"))
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
+    i = F.col("id")
+    arguments = F.replace(F.replace(pick([a for _, a, _ in _JSON], i % 12), F.lit("@A"), F.col("actor")), F.lit("@I"), i.cast("string"))
+    made = given.withColumn("mcp_name", pick([n for n, _, _ in _JSON], i % 12)).withColumn("arguments_json", arguments)
+    made = made.withColumn("response_body", pick(_BODIES, i % 4)).withColumn("kind", F.lit("made"))
+    return requests.redacted_requests(given.unionByName(made)).select("id", "kind", "arguments_json", "error_code")
 
 
 def _uploads(t):
@@ -607,6 +638,24 @@ def _(t):
     return requests.pending_bytes(_uploads(t), but="r5").where("pending_bytes > 1000")
 
 
+@register(
+    "quota_violations",
+    f"""{_UP}, p AS (SELECT owner, sum(nbytes)::BIGINT AS pending_bytes FROM u WHERE status <> 'complete' GROUP BY owner)
+    SELECT upload_id, owner, coalesce(pending_bytes, 0)::BIGINT AS pending_bytes, nbytes AS asked_bytes FROM u LEFT JOIN p USING (owner) WHERE status = 'complete' AND coalesce(pending_bytes, 0) + nbytes > 5000
+    UNION ALL SELECT 'new' || upload_id, owner, coalesce(pending_bytes, 0)::BIGINT, nbytes FROM u LEFT JOIN p USING (owner) WHERE coalesce(pending_bytes, 0) + nbytes > 5000""",
+)
+def _(t):
+    """Every upload asked for again, and again under a new id: pending ones are allowed."""
+    u = _uploads(t)
+    again = u.select("upload_id", "owner", "nbytes")
+    return requests.quota_violations(u, again.unionByName(again.withColumn("upload_id", F.concat(F.lit("new"), "upload_id"))), 5000)
+
+
+@register("request_total", "SELECT count(*) AS request_count FROM requests WHERE started_at >= '2024-01-05'")
+def _(t):
+    return requests.request_total(t["requests"].withColumn("started_at", F.col("started_at").cast("string")), "2024-01-05")
+
+
 @register("expire_abandoned", f"{_UP} SELECT count(*) AS expired, sum(nbytes)::BIGINT AS expired_bytes FROM u WHERE status IN ('prepared', 'receiving', 'uploaded', 'failed') AND updated_at < 400 AND upload_id <> 'r8'")
 def _(t):
     return requests.expire_abandoned(_uploads(t), 500, 100, ["r8"])[1]

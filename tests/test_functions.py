@@ -106,6 +106,20 @@ def test_redaction(spark):
     big = json.loads(redact("mystery", {f"{i:04d}" + "k" * 190: 1 for i in range(60)}))
     assert big["omitted"] is True and big["jsonBytes"] > 8192
     assert one(spark, T.redact_arguments(F.lit("search"), F.col("a")), "[1]") is None
+    # exact texts: compact, ASCII, nulls where a field is always written
+    exact = {
+        ("prepare_upload", '{"scope": {"repositories": ["é😀"], "until": "u", "api_key": "secret"}, "archiveBytes": "7"}'): {"archiveSha256": None, "archiveBytes": "7", "scope": {"repositories": ["é😀"], "sources": None, "since": None, "until": "u", "sessionCount": None, "visibility": None}},
+        ("prepare_upload", '{"scope": "private"}'): {"archiveSha256": None, "archiveBytes": None, "scope": None},
+        ("search", '{"query": "a\\u0001\\n", "limit": "3", "includeSubagents": 1, "since": "x\\ty\\u001f\\u00e9"}'): {"queryChars": 3, "querySha256": hashlib.sha256(b"a\x01\n").hexdigest(), "since": "x\ty\x1fé", "includeSubagents": 1},
+        ("search", '{"query": 5, "roles": "no", "limit": 2.0}'): {},
+        ("read_session", '{"sessionId": true, "offset": null}'): {"sessionId": True},
+        ("cancel_upload", '{"uploadId": 5}'): {"uploadId": None},
+        ("access", "{}"): {}, ("stats", '{"since": null}'): {"since": None},
+        ("admin_requests", '{"limit": {"a": [1, "x y"]}, "since": null}'): {"limit": {"a": [1, "x y"]}, "since": None},
+        ("unknown", '{"é\\n": 1, "a\\"": 2}'): {"argumentNames": ['a"', "é\n"]},
+    }
+    for (name, arguments), want in exact.items():
+        assert one(spark, T.redact_arguments(F.lit(name), F.col("a")), arguments) == json.dumps(want, separators=(",", ":")), (name, arguments)
 
 
 def test_errors(spark):

@@ -153,7 +153,10 @@ def test_upload_states(spark):
     got = {r.upload_id: (r.status, r.rejected) for r in requests.upload_state(df).collect()}
     assert got == {"u": ("prepared", 2), "v": ("cancelled", 0)}
     state = requests.upload_state(df)
-    assert requests.quota_violations(state, 9).count() == 1 and requests.pending_bytes(state, but="u").count() == 0
+    asked = spark.createDataFrame([("u", "o", 99), ("v", "o", 5), ("w", "o", 1), ("x", "p", 5)], "upload_id string, owner string, nbytes long")
+    over = requests.quota_violations(state, asked, 14).collect()  # u is pending itself; v would add 5 to 10, w only 1
+    assert [(r.upload_id, r.pending_bytes, r.asked_bytes) for r in over] == [("v", 10, 5)]
+    assert requests.pending_bytes(state, but="u").count() == 0
 
 
 def test_empty_corpus(spark):
