@@ -8,12 +8,14 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from sessionlake.functions import text as T
 
@@ -186,60 +188,170 @@ def import_ledger(imports: DataFrame, person: str, archive_sha256: str, offered:
 
 @dataclass(frozen=True)
 class Corpus:
-    """The tables of a corpus. entries refer to blobs by hash, bodies hold the text of each hash once."""
+    """The tables of a corpus. entries refer to blobs by hash, bodies hold the text of each hash once, postings index the bodies."""
 
     sessions: DataFrame
     entries: DataFrame
     blobs: DataFrame
     bodies: DataFrame
     skipped: DataFrame
+    postings: DataFrame | None = None
+    imports: DataFrame | None = None
 
 
-def merge_import(corpus: Corpus, sessions: DataFrame, entries: DataFrame, bodies: DataFrame, person: str, allow: DataFrame | None) -> Corpus:
-    """The corpus after one bundle of ``person``. Sessions of the bundle have globally new session_ids and an arrival.
+@dataclass(frozen=True)
+class Delta:
+    """What one import adds: new rows, the session_ids that it replaces, and the change of each touched blob's nrefs."""
+
+    sessions: DataFrame
+    removed: DataFrame
+    entries: DataFrame
+    blobs: DataFrame
+    bodies: DataFrame
+    skipped: DataFrame
+    postings: DataFrame
+
+
+IMPORTS = "person string, archive_sha256 string, imported_at string, sessions_kept long, sessions_skipped long"
+#: The analyzer of a corpus's own index.
+ANALYZER = "porter"
+
+
+class BundleRefused(ValueError):
+    """A bundle that breaks a rule is refused as a whole."""
+
+
+def with_defaults(sessions: DataFrame) -> DataFrame:
+    """Manifest rows with what they may leave out: the repository in lower case, source ``unknown``, the uuid from the export path."""
+    named = F.substring_index(F.substring_index(F.coalesce("export_path", F.lit("")), "/", -1), "__", 1)
+    return sessions.withColumns({
+        "repository": F.lower(F.coalesce("repository", F.lit(""))), "source": F.coalesce(T.nonempty(F.col("source")), F.lit("unknown")),
+        "uuid": F.coalesce(T.nonempty(F.col("uuid")), named), "export_path": F.coalesce("export_path", F.lit("")),
+    })
+
+
+def bundle_violations(corpus: Corpus, sessions: DataFrame, entries: DataFrame, bodies: DataFrame, allow: DataFrame | None) -> DataFrame:
+    """subject and violation: why a bundle has to be refused. Sessions that are skipped anyway aren't looked at, but all bodies are."""
+    judged, _ = filter_allowed_repositories(with_defaults(sessions), allow)
+    judged, _ = split_missing_entries(judged, entries)
+    mine = entries.join(judged.select("session_id"), "session_id", "left_semi")
+    mine = mine if "body_sha256" in mine.columns else mine.withColumn("body_sha256", F.col("blob_hash"))
+    mapped = mine if "file_pos" in mine.columns else mine.withColumn("file_pos", F.col("seq"))
+    named = [df.select(F.col(df.columns[0]).cast("string").alias("subject"), "violation") for df in (verify_session_identity(judged, mine), validate_entry_maps(mapped), verify_bodies(bodies))]
+    needed = mine.select("blob_hash").distinct().join(bodies.select("blob_hash"), "blob_hash", "left_anti").join(corpus.blobs.select("blob_hash"), "blob_hash", "left_anti")
+    absent = needed.select(F.col("blob_hash").alias("subject"), F.lit("missing_body").alias("violation"))
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(absent)
+
+
+def import_delta(
+    corpus: Corpus, sessions: DataFrame, entries: DataFrame, bodies: DataFrame, person: str, allow: DataFrame | None, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> Delta:
+    """What one bundle of ``person`` changes. ``keep`` may store the decisions about sessions, on which all the rest builds. Sessions of the bundle have globally new session_ids and an arrival.
 
     Not allowed repositories, sessions without entries, known content and stale generations are skipped; a newer generation replaces
-    the live one with its entries, while bodies stay. The bundle must have passed the verify and validate functions.
+    the live one with its entries, while bodies stay. The bundle must have no ``bundle_violations``. Of the corpus, only sessions of touched keys,
+    entries of replaced sessions and the narrow blobs table are read.
     """
-    incoming = sessions.withColumn("person", F.lit(person)).withColumn("is_subagent", F.contains("export_path", F.lit("subagent")))
+    incoming = with_defaults(sessions).withColumn("person", F.lit(person)).withColumn("is_subagent", F.contains("export_path", F.lit("subagent")))
     allowed, denied = filter_allowed_repositories(incoming, allow)
     present, missing = split_missing_entries(allowed, entries)
-    new, again = split_duplicate_content(present, corpus.sessions)
+    new, again = split_duplicate_content(present, corpus.sessions.where(F.col("person") == person))
     counts = entries.groupBy("session_id").agg(F.count("*").cast("int").alias("counted"))
-    new = new.join(counts, "session_id").withColumn("entry_count", F.coalesce("entry_count", "counted")).drop("counted")
-    columns = corpus.sessions.columns
-    live = corpus.sessions.withColumn("arrival", F.lit(-1).cast("long"))
-    newest, stale = latest_generation(live.unionByName(new.select(*columns, F.col("arrival").cast("long").alias("arrival"))))
-    kept = newest.select(*columns)
-    all_entries = corpus.entries.unionByName(entries.select(corpus.entries.columns)).join(kept.select("session_id"), "session_id", "left_semi")
-    arrived = new.join(kept.select("session_id"), "session_id", "left_semi").select("session_id")
-    used = entries.join(arrived, "session_id", "left_semi").select("blob_hash").distinct()
-    fresh = bodies.join(used, "blob_hash", "left_semi").join(corpus.bodies, "blob_hash", "left_anti")
-    all_bodies = corpus.bodies.unionByName(fresh.select(corpus.bodies.columns))
-    blobs = recount_references(all_bodies.select("blob_hash", F.octet_length("body").cast("long").alias("nbytes")), all_entries)
+    new = new.join(counts, "session_id").withColumn("entry_count", F.coalesce(F.when(F.col("entry_count") > 0, F.col("entry_count")), "counted")).drop("counted")
+    columns, key = corpus.sessions.columns, ["person", "source", "session_key"]
+    live = corpus.sessions.join(new.select(*key).distinct(), key, "left_semi").select(*columns, F.lit(-1).cast("long").alias("arrival"))
+    ranked = latest_generation(live.unionByName(new.select(*columns, F.col("arrival").cast("long").alias("arrival"))))
+    decided = keep(ranked[0].withColumn("reason", F.lit(None).cast("string")).unionByName(ranked[1]))
+    newest, stale = decided.where("reason is null").drop("reason"), decided.where("reason is not null")
+    kept, removed = newest.where("arrival >= 0").select(*columns), stale.where("arrival < 0").select("session_id")
+    added = entries.join(kept.select("session_id"), "session_id", "left_semi").select(corpus.entries.columns)
+    known = corpus.blobs.select("blob_hash")
+    fresh = bodies.dropDuplicates(["blob_hash"]).join(added.select("blob_hash").distinct(), "blob_hash", "left_semi").join(known, "blob_hash", "left_anti").select(corpus.bodies.columns)
+    gone = corpus.entries.join(removed, "session_id", "left_semi")
+    changes = added.select("blob_hash", F.lit(1).alias("n")).unionByName(gone.select("blob_hash", F.lit(-1).alias("n"))).groupBy("blob_hash").agg(F.sum("n").alias("nrefs"))
+    sizes = fresh.select("blob_hash", F.octet_length("body").cast("long").alias("nbytes"))
+    blobs = changes.join(sizes, "blob_hash", "left").select("blob_hash", "nbytes", "nrefs")
     lost = stale.where("arrival >= 0")
-    columns = ["export_path", "reason", "cwd"]
-    skipped = corpus.skipped.select(columns)
-    for part in (denied, missing, again, lost.join(sessions.select("session_id"), "session_id", "left_semi")):
-        skipped = skipped.unionByName(part.select(columns))
-    return replace(corpus, sessions=kept, entries=all_entries, blobs=blobs, bodies=all_bodies, skipped=skipped)
+    why = ["export_path", "reason", "cwd"]
+    skipped = denied.select(why).unionByName(missing.select(why)).unionByName(again.select(why)).unionByName(lost.join(incoming.select("session_id", F.col("cwd").alias("own_cwd")), "session_id").select("export_path", "reason", F.col("own_cwd").alias("cwd")))
+    return Delta(kept, removed, added, blobs, fresh, skipped, build_postings(fresh, ANALYZER))
 
 
-def build_postings(bodies: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """bucket, term, blob_hash and positions: the words of each different body. ``porter`` folds accents and stems the vocabulary."""
-    words = bodies.select("blob_hash", F.posexplode(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("pos", "word"))
-    if analyzer == "porter":
-        vocabulary = words.select("word").distinct().mapInPandas(_stemmed, "word string, term string")
-        words = words.join(vocabulary, "word").select("blob_hash", "pos", "term")
-    else:
-        words = words.withColumnRenamed("word", "term")
-    postings = words.groupBy("term", "blob_hash").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return postings.select((F.crc32(F.col("term").cast("binary")) % POSTING_BUCKETS).cast("int").alias("bucket"), "term", "blob_hash", "positions")
-
-
-def _stemmed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def summed_blobs(changes: DataFrame) -> DataFrame:
+    """One row per blob of all changes: its size and its number of references."""
+    return changes.groupBy("blob_hash").agg(F.max("nbytes").alias("nbytes"), F.sum("nrefs").alias("nrefs")).select("blob_hash", "nbytes", "nrefs")
+
+
+def applied(corpus: Corpus, delta: Delta) -> Corpus:
+    """The corpus after an import."""
+    stay = lambda df: df.join(delta.removed, "session_id", "left_anti")
+    return replace(
+        corpus, sessions=stay(corpus.sessions).unionByName(delta.sessions), entries=stay(corpus.entries).unionByName(delta.entries),
+        blobs=summed_blobs(corpus.blobs.unionByName(delta.blobs)), bodies=corpus.bodies.unionByName(delta.bodies),
+        skipped=corpus.skipped.select("export_path", "reason", "cwd").unionByName(delta.skipped),
+        postings=delta.postings if corpus.postings is None else corpus.postings.unionByName(delta.postings),
+    )
+
+
+def merge_import(corpus: Corpus, sessions: DataFrame, entries: DataFrame, bodies: DataFrame, person: str, allow: DataFrame | None) -> Corpus:
+    """The corpus after one bundle of ``person``, as ``import_delta`` and ``applied`` have it."""
+    return applied(corpus, import_delta(corpus, sessions, entries, bodies, person, allow))
+
+
+def bundle_digest(sessions: DataFrame) -> str:
+    """What tells a bundle from others, whatever the order of its rows."""
+    each = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("session_key", "session_fingerprint", "export_path")]), 256)
+    parts = [F.bit_xor(F.conv(F.substring(each, 1 + 15 * i, 15), 16, 10).cast("long")) for i in range(4)]
+    return sessions.agg(F.sha2(F.concat_ws("|", F.count("*"), *parts), 256)).first()[0]
+
+
+# Postings.
+
+
+def index_word(word: str) -> str:
+    """A word as the stemming index has it: without accents, stemmed."""
     from sessionlake.functions.porter import stem
 
-    for part in parts:
-        folded = part["word"].map(lambda w: "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)))
-        yield pd.DataFrame({"word": part["word"], "term": folded.map(stem)})
+    return stem("".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)))
+
+
+@lru_cache(maxsize=1 << 18)
+def _indexed(word: str) -> str:
+    return index_word(word)
+
+
+def query_words(text: str, analyzer: str = "simple") -> list[str]:
+    """The words of a query as an index of that analyzer has them."""
+    words = postings_tokens(text)
+    return list(map(index_word, words)) if analyzer == "porter" else words
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(lambda row: None if row is None else list(map(_indexed, row)))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("term", StringType()), StructField("positions", ArrayType(IntegerType()))])))
+def _runs(words: pd.Series) -> pd.Series:
+    """The places of each word of a list."""
+
+    def places(row: list[str] | None) -> list[dict]:
+        found: dict[str, list[int]] = {}
+        for i, word in enumerate(() if row is None else row):
+            found.setdefault(word, []).append(i)
+        return [{"term": w, "positions": at} for w, at in found.items()]
+
+    return words.map(places)
+
+
+def build_postings(bodies: DataFrame, analyzer: str = "simple") -> DataFrame:
+    """bucket, term, blob_hash and positions: the words of each different body. ``porter`` folds accents and stems.
+
+    A body's words are gathered inside its row, in Arrow batches, so nothing is shuffled.
+    """
+    words = F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = _stems(words) if analyzer == "porter" else words
+    rows = bodies.select("blob_hash", _runs(words).alias("runs"))
+    return rows.select("blob_hash", F.explode("runs").alias("r")).select(
+        (F.crc32(F.col("r.term").cast("binary")) % POSTING_BUCKETS).cast("int").alias("bucket"), "r.term", "blob_hash", "r.positions"
+    )

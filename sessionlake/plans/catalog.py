@@ -386,11 +386,16 @@ def _(t):
     return ingest.backfill_session_keys(s).select("session_id", "session_key")
 
 
-@register("import_ledger", "SELECT 'person1' AS person, 'abc' AS archive_sha256, count(*) FILTER (person = 'person1') AS sessions_kept, count(*) FILTER (person <> 'person1') AS sessions_skipped FROM sessions")
+@register(
+    "import_ledger",
+    """SELECT 'person1' AS person, 'abc' AS archive_sha256, 'first' AS imported_at, count(*) FILTER (person = 'person1' AND session_id % 2 = 0) AS sessions_kept, count(*) FILTER (person <> 'person1' OR session_id % 2 = 1) AS sessions_skipped FROM sessions
+    UNION ALL SELECT 'person1', 'other', 'second', 3, 4 UNION ALL SELECT 'person2', 'abc', 'third', 5, 6""",
+)
 def _(t):
+    """One bundle's row renewed in a ledger of three: half of its person's sessions are still live."""
     f = _with_prints(t)
-    empty = f.sparkSession.createDataFrame([], "person string, archive_sha256 string, imported_at string, sessions_kept long, sessions_skipped long")
-    return ingest.import_ledger(empty, "person1", "abc", f, f, "2026-01-01").drop("imported_at")
+    rows = [("person1", "abc", "first", 1, 2), ("person1", "other", "second", 3, 4), ("person2", "abc", "third", 5, 6)]
+    return ingest.import_ledger(f.sparkSession.createDataFrame(rows, ingest.IMPORTS), "person1", "abc", f, f.where("session_id % 2 = 0"), "first")
 
 
 # Relevance.
@@ -722,7 +727,7 @@ def _(spark, sf_dir):
     """SELECT doc_id, contains(lower(text), 'thing') AS lower_term, contains(text, 'The') AS exact_term,
     length(CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 200) || chr(10) || '…[truncated]' END) AS hit_chars,
     sha256(CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 200) || '... [truncated, ' || length(text) || ' chars total]' END) AS block_sha,
-    sha256(regexp_replace(text, 'The|tion', '>>>\\0<<<', 'g')) AS marked_sha, sha256(text) AS body_sha, round(n_chars / (n_chars + 10), 9) AS density FROM documents""",
+    sha256(regexp_replace(text, 'The|tioN', '>>>\\0<<<', 'g')) AS marked_sha, sha256(text) AS body_sha, round(n_chars / (n_chars + 10), 9) AS density FROM documents""",
     plain=True,
 )
 def _(spark, sf_dir):
@@ -730,6 +735,6 @@ def _(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select(
         "doc_id", T.contains_term(c, "thing").alias("lower_term"), T.contains_term(c, "The").alias("exact_term"),
         F.length(T.truncate_hit(c, 200)).cast("long").alias("hit_chars"), F.sha2(T.truncate_block(c, 200), 256).alias("block_sha"),
-        F.sha2(F.regexp_replace(c, "The|tion", ">>>$0<<<"), 256).alias("marked_sha"), T.body_hash(c).alias("body_sha"),
+        F.sha2(T.highlight(c, ["The", "tioN"]), 256).alias("marked_sha"), T.body_hash(c).alias("body_sha"),
         F.round(T.match_density(F.col("n_chars"), F.col("n_chars")), 9).alias("density"),
     )

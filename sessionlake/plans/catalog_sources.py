@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
-from sessionlake.operators import ingest, relevance
+from sessionlake.operators import ingest, relevance, search
+from sessionlake.operators.requests import DIMENSIONS
 from sessionlake.plans.catalog import _bodies, _read, register
 from sessionlake.sources import bundles, stores
 from sessionlake.sources import transcripts as S
@@ -387,6 +388,29 @@ def _empty(spark: SparkSession) -> ingest.Corpus:
     )
 
 
+_STEMMED = """, w AS (SELECT session_id, seq, role, body, regexp_extract_all(lower(strip_accents(body)), '[\\p{L}\\p{N}]+') AS t FROM entries),
+    h AS (SELECT w.session_id, seq, role, body, s.* EXCLUDE (session_id) FROM w JOIN sessions s USING (session_id)
+      WHERE len(list_filter(t, lambda x: regexp_full_match(x, 'thing(s|e|es|ed|ing|ings|ness|ful)?'))) > 0 AND len(list_filter(t, lambda x: regexp_full_match(x, 'rest(s|e|es|ed|ing|ings|ness|ful)?'))) > 0
+      AND NOT is_subagent AND role IN ('user', 'assistant')),
+    r AS (SELECT session_id, count(*) AS hit_count FROM h GROUP BY session_id ORDER BY 2 DESC, max(started_at) DESC, 1 LIMIT 20),
+    c AS (SELECT session_id, count(*) AS entry_count FROM entries GROUP BY session_id)
+    SELECT session_id, hit_count, CAST(entry_count AS INTEGER) AS entry_count, git_branch, cwd, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS hit_rank, seq, 't' || seq AS ts, sha256(body) AS body_sha
+    FROM h JOIN r USING (session_id) JOIN c USING (session_id) QUALIFY hit_rank <= 20"""
+
+
+@register("search_stemmed", _STEMMED)
+def _(t):
+    """The stemming index written by bucket, read back and searched for inflected words."""
+    spark, path, texts = t["entries"].sparkSession, _scratch(t["entries"].sparkSession, "postings"), _bodies(t)
+    bundles.write_postings(ingest.build_postings(texts, "porter"), path)
+    sessions = t["sessions"].join(t["entries"].groupBy("session_id").agg(F.count("*").cast("int").alias("entry_count")), "session_id")
+    entries = t["entries"].withColumn("ts", F.concat(F.lit("t"), F.col("seq").cast("string")))
+    found = search.search(bundles.read_postings(spark, path), entries, sessions, texts, "Things resting", limit=20, hits_per_session=20, max_chars=1 << 30, analyzer="porter")
+    return found.select("session_id", "hit_count", "entry_count", "git_branch", "cwd", F.explode("hits").alias("h")).select(
+        "session_id", "hit_count", "entry_count", "git_branch", "cwd", F.col("h.hit_rank").cast("long").alias("hit_rank"), "h.seq", "h.ts", F.sha2("h.body", 256).alias("body_sha")
+    )
+
+
 @register("verify_session_identity", "SELECT session_id, 'session_key_mismatch' AS violation FROM sessions WHERE session_id % 10 = 3 UNION ALL SELECT session_id, 'session_fingerprint_mismatch' FROM sessions WHERE session_id % 10 = 4")
 def _(t):
     s, e, _ = _bundle(t)
@@ -395,44 +419,109 @@ def _(t):
     return ingest.verify_session_identity(s, e)
 
 
-@register("backfill_fingerprints", "SELECT session_id FROM sessions")
+@register("backfill_fingerprints", "SELECT session_id FROM sessions UNION ALL SELECT 5000000 + session_id FROM sessions WHERE session_id % 4 = 1")
 def _(t):
+    """Every session without a fingerprint; every third again under a larger id, which goes, every fourth again with other lines, which stays."""
     s, e, _ = _bundle(t)
+    again = lambda df, at, rest: df.where(f"session_id % {rest[0]} = {rest[1]}").withColumn("session_id", F.col("session_id") + at)
+    s = s.unionByName(again(s, 9_000_000, (3, 0))).unionByName(again(s, 5_000_000, (4, 1)))
+    other = again(e, 5_000_000, (4, 1)).withColumn("header_line", F.concat("header_line", F.lit(" again")))
+    e = e.unionByName(again(e, 9_000_000, (3, 0))).unionByName(other)
     s = s.withColumn("person", F.lit("p")).withColumn("session_fingerprint", F.lit(None).cast("string"))
     return ingest.backfill_fingerprints(s, e)[0].select("session_id")
 
 
-_MERGED = """, ok AS (SELECT session_id FROM sessions WHERE repository <> 'github.com/acme/r3'), e AS (SELECT blob_hash FROM entries WHERE session_id IN (SELECT session_id FROM ok))
-    SELECT (SELECT count(*) FROM ok) AS sessions, (SELECT count(*) FROM e) AS entries, (SELECT count(DISTINCT blob_hash) FROM e) AS blobs,
-    (SELECT count(*) FROM sessions WHERE repository = 'github.com/acme/r3') AS skipped"""
-
-
-def _sizes(c: ingest.Corpus) -> DataFrame:
-    parts = [getattr(c, n).agg(F.count("*").alias(n)) for n in ("sessions", "entries", "blobs", "skipped")]  # one row each
-    return parts[0].join(parts[1]).join(parts[2]).join(parts[3])
-
-
 def _allowed(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"github.com/acme/r{i}",) for i in range(3)], "repository string")
+    return spark.createDataFrame([(f"GitHub.com/acme/R{i}",) for i in range(3)], "repository string")
+
+
+def _bundles(t):
+    """Two bundles: the even sessions; then the odd ones, and of the even ones a third again as they are, a third as a newer generation (without its
+    first entry, with one more) and a third as an older one. Repositories are in capitals here."""
+    s, e, bodies = _bundle(t)
+    s = s.withColumn("repository", F.upper("repository")).drop("session_fingerprint")
+    part = lambda df, rest, at: df.where(f"session_id % 6 = {rest}").withColumn("session_id", F.col("session_id") + at)
+    newer = part(s, 2, 20_000_000).withColumn("ended_at", F.lit("2027-01-01T00:00:00Z"))
+    older = part(s, 4, 30_000_000).withColumn("ended_at", F.lit("2020-01-01T00:00:00Z"))
+    sessions = s.where("session_id % 2 = 1").unionByName(part(s, 0, 10_000_000)).unionByName(newer).unionByName(older).withColumn("arrival", F.col("session_id"))
+    text = F.concat(F.lit("extra "), F.col("session_id").cast("string"))
+    extra = newer.select("session_id", F.lit(9999).alias("seq"), F.lit("user").alias("role"), F.lit(None).cast("string").alias("ts"), F.lit("### [9999]").alias("header_line"), text.alias("body"))
+    added, extra_bodies = ingest.content_address(extra)
+    changed = part(e, 4, 30_000_000).withColumn("header_line", F.concat("header_line", F.lit("!")))
+    entries = e.where("session_id % 2 = 1").unionByName(part(e, 0, 10_000_000)).unionByName(part(e, 2, 20_000_000).where("seq > 0")).unionByName(changed)
+    entries = entries.unionByName(added.withColumn("body_sha256", F.col("blob_hash")))
+    first = (s.where("session_id % 2 = 0"), e.where("session_id % 2 = 0"), bodies)
+    second = (sessions, entries, bodies.unionByName(extra_bodies.select("blob_hash", "body")))
+    printed = lambda x: (x[0].join(ingest.session_fingerprints(x[0], x[1]).withColumnRenamed("fingerprint", "session_fingerprint"), "session_id"), *x[1:])
+    return printed(first), printed(second)
+
+
+_MERGED = """, ok AS (SELECT session_id AS id, session_id % 6 AS k FROM sessions WHERE repository <> 'github.com/acme/r3'),
+    e AS (SELECT CASE WHEN k = 2 THEN 20000000 + id ELSE id END AS session_id, blob_hash FROM entries JOIN ok ON session_id = id WHERE k <> 2 OR seq > 0
+      UNION ALL SELECT 20000000 + id, sha256('extra ' || 20000000 + id) FROM ok WHERE k = 2),
+    b AS (SELECT DISTINCT blob_hash FROM entries JOIN ok ON session_id = id UNION SELECT blob_hash FROM e),
+    w AS (SELECT CASE WHEN repository = 'github.com/acme/r3' THEN 'repository_not_allowed' WHEN session_id % 6 = 0 THEN 'duplicate_session_content' ELSE 'stale_session_generation' END AS reason
+      FROM sessions WHERE repository = 'github.com/acme/r3' OR session_id % 6 IN (0, 4)
+      UNION ALL SELECT 'repository_not_allowed' FROM sessions WHERE repository = 'github.com/acme/r3' AND session_id % 2 = 0)
+    SELECT 'session' AS kind, CAST(session_id AS VARCHAR) AS name, count(*) AS n FROM e GROUP BY session_id
+    UNION ALL SELECT 'blob', b.blob_hash, count(e.blob_hash) FROM b LEFT JOIN e USING (blob_hash) GROUP BY b.blob_hash
+    UNION ALL SELECT 'skipped', reason, count(*) FROM w GROUP BY reason
+    UNION ALL SELECT 'posting', 'extra', count(DISTINCT blob_hash) FROM e WHERE blob_hash IN (SELECT sha256('extra ' || 20000000 + id) FROM ok)"""
+
+
+def _contents(c: ingest.Corpus) -> DataFrame:
+    """kind, name and n: entries of each session, references of each blob, skipped sessions by reason, bodies under one word of the index."""
+    row = lambda kind, name: (F.lit(kind).alias("kind"), name.cast("string").alias("name"))
+    return (
+        c.entries.join(c.sessions.select("session_id"), "session_id").groupBy(*row("session", F.col("session_id"))).agg(F.count("*").alias("n"))
+        .unionByName(c.blobs.select(*row("blob", F.col("blob_hash")), F.col("nrefs").cast("long").alias("n")))
+        .unionByName(c.skipped.groupBy(*row("skipped", F.col("reason"))).agg(F.count("*").alias("n")))
+        .unionByName(c.postings.where("term = 'extra'").groupBy(*row("posting", F.col("term"))).agg(F.count("*").alias("n")))
+    )
 
 
 @register("merge_import", _MERGED)
 def _(t):
+    """The second bundle merged into the corpus that the first one made."""
     spark = t["entries"].sparkSession
-    return _sizes(ingest.merge_import(_empty(spark), *_bundle(t), "ann", _allowed(spark)))
+    at = _scratch(spark, "merge")
+    for n, bundle in enumerate(_bundles(t)):
+        bundles.write_bundle(*bundle, f"{at}/{n}")
+    first, second = (bundles.read_bundle(spark, f"{at}/{n}") for n in range(2))
+    bundles.write_snapshot(ingest.merge_import(_empty(spark), *first, "ann", _allowed(spark)), f"{at}/corpus")
+    live = bundles.read_snapshot(spark, f"{at}/corpus")
+
+    def keep(df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{at}/decided")
+        return spark.read.schema(df.schema).parquet(f"{at}/decided")
+
+    return _contents(ingest.applied(live, ingest.import_delta(live, *second, "ann", _allowed(spark), keep)))
+
+
+_IMPORTED = f"""{_MERGED}
+    UNION ALL SELECT 'kept', '1', count(*) FILTER (k IN (0, 4)) FROM ok
+    UNION ALL SELECT 'kept', '2', count(*) FILTER (k % 2 = 1 OR k = 2) FROM ok
+    UNION ALL SELECT 'refused', 'session_key_mismatch', 1"""
 
 
-@register("stream_ingest", _MERGED)
+@register("stream_ingest", _IMPORTED)
 def _(t):
-    """A bundle written, queued on a stream, merged into a snapshot, and read back."""
+    """A queue of the first bundle, one with a forged key, the second bundle and the first one again: the last is known and only renews its ledger row."""
     spark = t["entries"].sparkSession
     at = _scratch(spark, "ingest")
-    bundles.write_bundle(*_bundle(t), f"{at}/bundle")
-    spark.createDataFrame([(0, f"{at}/bundle", "ann"), (1, f"{at}/bundle", "ann")], "queued_at int, path string, person string").write.parquet(f"{at}/queue")
+    first, second = _bundles(t)
+    bundles.write_bundle(*first, f"{at}/1")
+    bundles.write_bundle(*second, f"{at}/2")
+    bundles.write_bundle(second[0].withColumn("session_key", F.lit("0" * 64)), *second[1:], f"{at}/forged")
+    rows = [(0, f"{at}/1", "ann"), (1, f"{at}/forged", "ann"), (2, f"{at}/2", "ann"), (3, f"{at}/1", "ann")]
+    spark.createDataFrame(rows, "queued_at int, path string, person string").write.parquet(f"{at}/queue")
     queue = spark.readStream.schema("queued_at int, path string, person string").parquet(f"{at}/queue")
-    first = ledger.stream_ingest(queue.where("queued_at = 0"), f"{at}/corpus", f"{at}/state", _allowed(spark), lambda: _empty(spark))
-    first.awaitTermination()
-    return _sizes(bundles.read_snapshot(spark, f"{at}/corpus"))
+    ledger.stream_ingest(queue, f"{at}/corpus", f"{at}/state", _allowed(spark), lambda: _empty(spark)).awaitTermination()
+    c = bundles.read_snapshot(spark, f"{at}/corpus")
+    order = F.row_number().over(Window.orderBy("imported_at"))  # two rows
+    kept = c.imports.select(F.lit("kept").alias("kind"), order.cast("string").alias("name"), F.col("sessions_kept").alias("n"))
+    refused = spark.read.parquet(f"{at}/corpus/refused").select(F.lit("refused").alias("kind"), F.substring_index("reason", " ", 1).alias("name"), F.lit(1).cast("long").alias("n"))
+    return _contents(c).unionByName(kept).unionByName(refused)
 
 
 # Column functions.
@@ -461,8 +550,8 @@ def _(t):
 # Streams over the tables: each runs until the table is read, into a table of the shared folder.
 
 
-def _drained(df: DataFrame, mode: str) -> DataFrame:
-    spark, at = df.sparkSession, _scratch(df.sparkSession, "stream")
+def _drained(df: DataFrame, mode: str, at: str | None = None) -> DataFrame:
+    spark, at = df.sparkSession, at or _scratch(df.sparkSession, "stream")
     query = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{at}/out")).outputMode(mode)
     idle = "spark.sql.streaming.noDataMicroBatches.enabled"  # else timers keep a query going after its last row
     before = spark.conf.get(idle)
@@ -481,11 +570,14 @@ def _streamed(df: DataFrame) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(at)
 
 
-@register("stream_request_counts", "SELECT 'mcp_name' AS dimension, mcp_name AS value, count(*) AS n FROM requests GROUP BY mcp_name")
+@register(
+    "stream_request_counts",
+    " UNION ALL ".join(f"SELECT '{d}' AS dimension, coalesce(CAST({d} AS VARCHAR), 'unknown') AS value, count(*) AS n FROM requests GROUP BY 2" for d in DIMENSIONS),
+)
 def _(t):
     requests = t["requests"].withColumn("started_at", F.col("started_at").cast("timestamp"))
     twice = requests.unionByName(requests.where("id % 3 = 0"))
-    return _drained(ledger.stream_request_counts(_streamed(twice)), "update").where("dimension = 'mcp_name'")
+    return _drained(ledger.stream_request_counts(_streamed(twice)), "update")
 
 
 @register("stream_upload_state", "SELECT 'u' || id // 4 AS upload_id, CASE max(id % 4) WHEN 0 THEN 'prepared' WHEN 1 THEN 'receiving' WHEN 2 THEN 'uploaded' ELSE 'queued' END AS status FROM requests GROUP BY id // 4")
@@ -498,10 +590,21 @@ def _(t):
     return _drained(ledger.stream_upload_state(_streamed(events)), "update").select("upload_id", "status")
 
 
-@register("stream_capture_messages", f"SELECT 'th' || conv_id AS thread, role, sha256(t) AS text_sha FROM ({_CAPTURED}) c WHERE role = 'user' OR turn % 2 = 0", plain=True)
+@register(
+    "stream_capture_messages",
+    f"SELECT 'th' || conv_id AS thread, role, role = 'user' OR turn % 2 = 0 AS complete, sha256(t) AS text_sha FROM ({_CAPTURED}) c",
+    plain=True,
+)
 def _(spark, sf_dir):
-    out = _drained(captures.stream_capture_messages(_streamed(_capture_lines(spark, sf_dir))), "append")
-    return out.where("complete").select("thread", "role", F.sha2("text", 256).alias("text_sha"))
+    """The stream is read to its end, then one more line of another thread comes, by when the others' open items are due."""
+    at, lines = _scratch(spark, "capture"), _capture_lines(spark, sf_dir)
+    lines.write.parquet(f"{at}/in")
+    read = lambda: captures.stream_capture_messages(spark.readStream.schema(lines.schema).parquet(f"{at}/in"), idle=1)
+    _drained(read(), "append", at)
+    late = _json(type="rpc", captured_at="2026-01-01T00:00:00Z", sequence=1, direction="client_to_server", message=F.struct(F.lit("turn/start").alias("method"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.lit("").alias("text"))).alias("input")).alias("params")))
+    spark.range(1).select(F.lit("last").alias("thread"), F.lit(1).alias("line_no"), late.alias("line")).write.mode("append").parquet(f"{at}/in")
+    out = _drained(read(), "append", at)
+    return out.select("thread", "role", "complete", F.sha2("text", 256).alias("text_sha"))
 
 
 @register("correlate_forks", "SELECT 's' || event_id AS side_thread, 'p' || user_id AS parent FROM events WHERE event_id % 2 = 0", plain=True)

@@ -1,16 +1,20 @@
-"""Bundles (what a client publishes) and snapshots (what readers of the corpus see), as Parquet datasets."""
+"""Bundles (what a client publishes) and snapshots (what readers of the corpus see), as Parquet datasets.
+
+A snapshot is a list of versions. Each import writes a version of its own with what it adds and names the sessions that it replaces; readers
+put the versions together. ``write_snapshot`` makes one version of them all when they have become many.
+"""
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionlake.operators.ingest import Corpus
-
-TABLES = ("sessions", "entries", "blobs", "bodies", "skipped")
-
+from sessionlake.operators.ingest import ANALYZER, IMPORTS, POSTING_BUCKETS, Corpus, Delta, build_postings, summed_blobs
 
 def write_bundle(sessions: DataFrame, entries: DataFrame, bodies: DataFrame, path: str) -> None:
     """Manifest rows, entry maps and every body once."""
@@ -29,34 +33,92 @@ def _file(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def write_snapshot(corpus: Corpus, root: str) -> str:
-    """Write all tables under a new version, then point at it: readers see the old corpus until the new one is complete.
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _file(spark, path)
+    fs.delete(at, True)
+
+
+def write_postings(postings: DataFrame, path: str) -> None:
+    """An index as a table partitioned by bucket and sorted by term; a frequent term is spread over files by its bodies."""
+    spread = max(1, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // POSTING_BUCKETS)
+    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("blob_hash"), F.lit(spread))).sortWithinPartitions("bucket", "term")
+    dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+
+
+def read_postings(spark: SparkSession, *paths: str) -> DataFrame:
+    """The index of one path or several; a filter on the bucket reaches the scans."""
+    read = spark.read.schema("term string, blob_hash string, positions array<int>, bucket int")
+    return reduce(DataFrame.unionByName, [read.parquet(p).select("bucket", "term", "blob_hash", "positions") for p in paths])
+
 
-    There is one writer at a time. Versions of failed writes are never pointed at.
+def write_delta(delta: Delta, imports: DataFrame, root: str, postings: DataFrame | None = None) -> str:
+    """Write what an import adds under a new version. Nothing that is there is written again but the small ledger of imports.
+
+    The index is built from the bodies as they were written, if ``postings`` doesn't have it.
     """
-    spark = corpus.sessions.sparkSession
-    version = uuid.uuid4().hex
-    for name in TABLES:
-        getattr(corpus, name).write.option("compression", "zstd").parquet(f"{root}/v={version}/{name}")
-    fs, new = _file(spark, f"{root}/.current-{version}")
-    out = fs.create(new, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
+    version = f"{root}/v={uuid.uuid4().hex}"
+    delta.sessions.write.parquet(f"{version}/sessions")
+    for name in ("removed", "entries", "blobs", "bodies", "skipped"):
+        getattr(delta, name).write.option("compression", "zstd").parquet(f"{version}/{name}")
+    spark = imports.sparkSession
+    bodies = spark.read.schema(delta.bodies.schema).parquet(f"{version}/bodies")
+    write_postings(build_postings(bodies, ANALYZER) if postings is None else postings, f"{version}/postings")
+    imports.coalesce(1).write.parquet(f"{version}/imports")
+    return version.rsplit("/", 1)[1]
+
+
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """The versions that the highest complete commit names, oldest first; none before the first."""
+    fs, at = _file(spark, f"{root}/commits")
+    if not fs.exists(at):
+        return []
+    names = sorted((f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")), reverse=True)
+    for name in names:
+        with contextlib.suppress(ValueError, TypeError):  # an unfinished file is not a commit
+            return json.loads("".join(r.value for r in spark.read.text(f"{root}/commits/{name}").collect()))["versions"]
+    return []
+
+
+def commit(spark: SparkSession, root: str, names: list[str]) -> None:
+    """Make ``names`` the corpus: a numbered file appears under its final name in one step, and the highest complete one counts.
+
+    There is one writer at a time. No earlier commit is touched, so readers always find one, and a failed import leaves the corpus as it was.
+    """
+    fs, at = _file(spark, f"{root}/commits")
+    taken = [int(f.getPath().getName()[:-5]) for f in (fs.listStatus(at) if fs.exists(at) else []) if f.getPath().getName()[:-5].isdigit()]
+    number = max(taken, default=0) + 1
+    _, new = _file(spark, f"{root}/commits/.{uuid.uuid4().hex}")
+    out = fs.create(new, False)
+    out.write(bytearray(json.dumps({"versions": names}).encode()))
     out.close()
-    _, current = _file(spark, f"{root}/current")
-    if fs.exists(current):
-        fs.delete(current, False)
-    fs.rename(new, current)
-    return version
+    _, final = _file(spark, f"{root}/commits/{number:012d}.json")
+    if not fs.rename(new, final):
+        raise OSError(f"commit {number} of {root} exists already")
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    fs, current = _file(spark, f"{root}/current")
-    if not fs.exists(current):
-        return None
-    return json.loads(spark.read.text(f"{root}/current").first()[0])["version"]
+def read_versions(spark: SparkSession, root: str, names: list[str]) -> Corpus:
+    """The corpus of the given versions: their rows, without the sessions that a later one replaced."""
+    paths = lambda table: [f"{root}/{v}/{table}" for v in names]
+    rows = {t: spark.read.parquet(*paths(t)) for t in ("sessions", "removed", "entries", "blobs", "bodies", "skipped")}
+    live = lambda t: rows[t].join(rows["removed"].distinct(), "session_id", "left_anti")
+    return Corpus(
+        live("sessions"), live("entries"), summed_blobs(rows["blobs"]), rows["bodies"], rows["skipped"], read_postings(spark, *paths("postings")),
+        spark.read.parquet(f"{root}/{names[-1]}/imports"),
+    )
 
 
 def read_snapshot(spark: SparkSession, root: str) -> Corpus | None:
-    """The corpus that the pointer names when this is called; None before the first."""
-    version = current_version(spark, root)
-    return version and Corpus(**{name: spark.read.parquet(f"{root}/v={version}/{name}") for name in TABLES})
+    """The corpus as of the last commit; None before the first."""
+    names = versions(spark, root)
+    return read_versions(spark, root, names) if names else None
+
+
+def write_snapshot(corpus: Corpus, root: str) -> str:
+    """Write a whole corpus as one new version and commit it alone: a first version, or many small ones made one (compaction)."""
+    spark = corpus.sessions.sparkSession
+    nothing = corpus.sessions.select("session_id").limit(0)
+    delta = Delta(corpus.sessions, nothing, corpus.entries, corpus.blobs, corpus.bodies, corpus.skipped, corpus.postings)
+    imports = corpus.imports if corpus.imports is not None else spark.createDataFrame([], IMPORTS)
+    version = write_delta(delta, imports, root, corpus.postings)
+    commit(spark, root, [version])
+    return version

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sessionlake.operators.ingest import Corpus, merge_import
+from sessionlake.operators.ingest import IMPORTS, BundleRefused, Corpus, Delta, bundle_digest, bundle_violations, import_delta, import_ledger
 from sessionlake.operators.requests import ABANDONED, DIMENSIONS, STATE, step
-from sessionlake.sources.bundles import read_bundle, read_snapshot, write_snapshot
+from sessionlake.sources.bundles import commit, delete, read_bundle, read_versions, versions, write_delta
 
 
 def stream_request_counts(requests: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -48,18 +50,56 @@ def stream_upload_state(events: DataFrame, ttl: int = 86_400_000) -> DataFrame:
     return events.groupBy("upload_id").applyInPandasWithState(fold, STATE, _UPLOAD, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def ingest_one(spark: SparkSession, root: str, bundle: str, person: str, allow: DataFrame | None, empty: Callable[[], Corpus]) -> str:
-    """Merge one bundle into the snapshot at ``root``; a failure leaves the snapshot as it was."""
-    corpus = read_snapshot(spark, root) or empty()
-    return write_snapshot(merge_import(corpus, *read_bundle(spark, bundle), person, allow), root)
+def ingest_one(spark: SparkSession, root: str, bundle: str, person: str, allow: DataFrame | None, empty: Callable[[], Corpus], now: str | None = None) -> str:
+    """Import one bundle into the snapshot at ``root``: ``imported``, or ``replayed`` if the ledger has it, when only its row is renewed.
+
+    A bundle that breaks a rule is refused as a whole (``BundleRefused``); that and any failure leave the snapshot as it was.
+    """
+    names = versions(spark, root)
+    corpus = read_versions(spark, root, names) if names else empty()
+    sessions, entries, bodies = read_bundle(spark, bundle)
+    digest, at = bundle_digest(sessions), now or datetime.now(UTC).isoformat()
+    imports = corpus.imports if corpus.imports is not None else spark.createDataFrame([], IMPORTS)
+    mine = (F.col("person") == person) & (F.col("archive_sha256") == digest)
+    old = imports.where(mine).first()
+    if old:
+        renewed = import_ledger(imports, person, digest, sessions, corpus.sessions, old["imported_at"])
+        none = Delta(*[getattr(corpus, t).limit(0) if t != "removed" else corpus.sessions.select("session_id").limit(0) for t in ("sessions", "removed", "entries", "blobs", "bodies", "skipped", "postings")])
+        commit(spark, root, [*names, write_delta(none, renewed, root)])
+        return "replayed"
+    wrong = bundle_violations(corpus, sessions, entries, bodies, allow).orderBy("violation", "subject").limit(5).collect()
+    if wrong:
+        raise BundleRefused("; ".join(f"{r['violation']} ({r['subject']})" for r in wrong))
+    work = f"{root}/work/{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        df.write.parquet(work)
+        return spark.read.schema(df.schema).parquet(work)
+
+    delta = import_delta(corpus, sessions, entries, bodies, person, allow, keep)
+    counts = delta.sessions.agg(F.count("*").alias("sessions_kept")).join(delta.skipped.agg(F.count("*").alias("sessions_skipped")))  # one row each
+    row = counts.select(F.lit(person).alias("person"), F.lit(digest).alias("archive_sha256"), F.lit(at).alias("imported_at"), "sessions_kept", "sessions_skipped")
+    commit(spark, root, [*names, write_delta(delta, imports.unionByName(row), root)])
+    delete(spark, work)
+    return "imported"
+
+
+REFUSED = "queued_at string, path string, person string, reason string"
 
 
 def stream_ingest(queue: DataFrame, root: str, checkpoint: str, allow: DataFrame | None, empty: Callable[[], Corpus]) -> StreamingQuery:
-    """Ingest a stream of queued bundles (queued_at, path, person), one at a time, oldest first. Replays of a bundle change nothing, as
-    its content is known by then."""
+    """Ingest a stream of queued bundles (queued_at, path, person), one at a time, oldest first.
+
+    A batch that runs again finds its bundles in the ledger. Refused bundles are noted in ``root``/refused, by batch, and the stream goes on.
+    """
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
+        spark, refused = batch.sparkSession, []
         for row in batch.orderBy("queued_at", "path").toLocalIterator():  # a queue of bundles, not of their rows
-            ingest_one(batch.sparkSession, root, row["path"], row["person"], allow, empty)
+            try:
+                ingest_one(spark, root, row["path"], row["person"], allow, empty)
+            except BundleRefused as error:
+                refused.append((str(row["queued_at"]), row["path"], row["person"], str(error)))
+        spark.createDataFrame(refused, REFUSED).write.mode("overwrite").parquet(f"{root}/refused/batch={number}")
 
     return queue.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -200,3 +200,64 @@ def test_budget_of_ranked_conversations(spark, tmp_path):
 def test_prompts_of_every_turn(spark, tmp_path):
     rows = catalog.QUERIES["search_prompts_all"](spark, _tables(spark, tmp_path)).collect()
     assert {(r.session, r.seq) for r in rows} == {*((i, 1) for i in range(35, 40)), (1_000_000, 0), (1_000_000, 4)}
+
+
+def test_entry_without_the_pipeline_operators(tmp_path):
+    """Their folders are gone, or only a cache folder of them is left: the rest imports."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(entry.__file__).parent
+    for left_over in (False, True):
+        at = tmp_path / str(left_over)
+        shutil.copytree(root / "sessionlake", at / "sessionlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(root / "__spark_entry__.py", at)
+        if (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", at)
+        if left_over:
+            (at / "sessionlake/llm/__pycache__").mkdir(parents=True)
+        told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"], cwd=at, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
+        assert told.stdout.split() == [str(len(catalog.QUERIES)), "False"], told.stderr[-500:]
+
+
+def test_stored_index_is_read_by_bucket(spark, tmp_path):
+    bodies = spark.createDataFrame([("1", "They were deploying services"), ("2", "Déployed, at rest"), ("3", "nothing")], "blob_hash string, body string")
+    bundles.write_postings(ingest.build_postings(bodies, "porter"), str(tmp_path / "index"))
+    index = bundles.read_postings(spark, str(tmp_path / "index"))
+    for query, want in {"deploying": ["1", "2"], "deploys services": ["1"], '"deployed service"': ["1"], "rests": ["2"]}.items():
+        found = search.match_query(index, query, "porter")
+        assert sorted(r.blob_hash for r in found.collect()) == want, query
+    plan = search.match_terms(index, ["deploying"], "porter")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [" in plan and "EqualTo(term,deploi)" in plan
+
+
+def test_refused_bundles(spark, tmp_path):
+    """Each broken rule refuses the whole bundle and leaves the corpus as it was; a known bundle only renews its ledger row."""
+    from sessionlake.streaming import ledger
+
+    root, n = str(tmp_path / "corpus"), iter(range(100))
+
+    def offer(s, e, b):
+        path = str(tmp_path / f"b{next(n)}")
+        bundles.write_bundle(s, e, b, path)
+        return ledger.ingest_one(spark, root, path, PERSON, None, lambda: empty(spark))
+
+    good = session(spark, (1, "u1", None, "R/X", ["a", "b"]), (2, "u2", None, "r", ["c"]))
+    assert offer(*good) == "imported" and offer(*good) == "replayed"
+    s, e, b = session(spark, (11, "u3", None, "r", ["d", "e"]))
+    for bad in (
+        (s.withColumn("session_fallback", F.lit("")), e, b), (s.withColumn("session_key", F.lit("0" * 64)), e, b), (s.withColumn("session_fingerprint", F.lit("0" * 64)), e, b),
+        (s, e.withColumn("seq", F.lit(0)), b), (s, e, b.withColumn("body", F.concat("body", F.lit("!")))), (s, e, b.where("body = 'd'")),
+    ):
+        with pytest.raises(ingest.BundleRefused):
+            offer(*bad)
+    corpus = bundles.read_snapshot(spark, root)
+    assert sorted((r.session_id, r.repository) for r in corpus.sessions.collect()) == [(1, "r/x"), (2, "r")] and corpus.skipped.count() == 0
+    assert [(r.sessions_kept, r.sessions_skipped) for r in corpus.imports.collect()] == [(2, 0)]
+    (tmp_path / "corpus/commits/000000000099.json").write_text("{")  # a commit that was never finished
+    assert bundles.read_snapshot(spark, root).sessions.count() == 2
+    plain = session(spark, (21, "u4", None, "r", ["f"]))
+    named = ingest.with_defaults(plain[0].withColumn("uuid", F.lit("")).withColumn("source", F.lit(None).cast("string")).withColumn("export_path", F.lit("a/u9__x__y.json"))).first()
+    assert (named.uuid, named.source) == ("u9", "unknown")
+    assert search.search_corpus(corpus, "c").first().uuid == "u2"
