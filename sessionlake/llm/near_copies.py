@@ -8,11 +8,14 @@ similarity 0.8 differs in about 10 of 64 bits, and two bits of 64 would be met o
 grid can't see are named by ``BANDS`` fingerprints of ``ROWS`` minwise hashes each (a pair at similarity s agrees in none of them with probability
 (1 - s^ROWS)^BANDS: 2e-6 at 0.8, less above).
 
-Verification. First the grid's links, and each text of a band's cell with the cell's smallest, are verified and contracted. Texts of cells that still hold
+Verification. First the grid's links, and each text of a band's cell with the cell's hub (the one that shares most cells with most texts, so that in a
+group of edited copies it is close to what they were made from), are verified and contracted. Texts of cells that still hold
 several groups are then joined by prefix filtering: with shingles in order of frequency (those that only one group has come first, as they can't
 match), two similar texts share one of their first few. A crowd of texts that share half their words but have edits of their own thus meets nowhere.
 
-Scale. No pair is made but of a text and its cell's smallest, or of texts that share a rare shingle; sets are shuffled once, and for
+Sets are kept as 32-bit hashes: a pair of texts of n shingles then has n^2 / 2^32 shingles in common by accident, which is none.
+
+Scale. No pair is made but of a text and its cell's hub, or of texts that share a rare shingle; sets are shuffled once, and for
 candidates only. Defined results: null and empty texts have no shingles and are copies of each other; a null doc_id is never the smallest, and rows
 without an id stay; repeated rows of the smallest id all stay; an empty table gives no rows; other columns are carried, whatever their names.
 """
@@ -79,21 +82,22 @@ def sketch(found: np.ndarray) -> int:
 def prints(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), fp (digest of the set), n (its size), sim (its fingerprint), bands and shingles of every row."""
 
-    def lists(found: list[np.ndarray]) -> pa.Array:
+    def lists(found: list[np.ndarray], kind: type) -> pa.Array:
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(kind) if found else np.empty(0, kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_batch(batches):
             found = [shingles(t) for t in raw(batch, "text")]
             fps = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
             sims = pa.array(np.array([sketch(s) for s in found], np.uint64).view(np.int64))
-            sizes = pa.array([len(s) for s in found], pa.int32())
-            columns = [batch.column(0), batch.column(2), fps, sizes, sims, lists([bands(s) for s in found]), lists(found)]
+            short = [np.unique(s.astype(np.uint32)) for s in found]
+            sizes = pa.array([len(s) for s in short], pa.int32())
+            columns = [batch.column(0), batch.column(2), fps, sizes, sims, lists([bands(s) for s in found], np.int64), lists(short, np.int32)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "fp", "n", "sim", "bands", "shingles"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    return keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, fp binary, n int, sim long, bands array<long>, shingles array<long>")
+    return keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, fp binary, n int, sim long, bands array<long>, shingles array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -146,9 +150,13 @@ def _by_prefix(sets: DataFrame) -> DataFrame:
 def links(points: DataFrame, rows: DataFrame) -> DataFrame:
     """a > b: links that connect all points within reach (points: row, n, sim, bands; rows: row, shingles)."""
     cells = points.select("row", "n", F.explode("bands").alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"), F.min(F.struct("row", "n")).alias("hub")).where("size > 1")
-    shared = stored(cells.join(sizes.hint("merge"), "cell").select("cell", "row", "n", F.col("hub.row").alias("hub"), F.col("hub.n").alias("m")), "near-cells")
-    by_band = shared.where(F.col("row") > F.col("hub")).where(_lengths_allow("n", "m")).select(F.col("row").alias("a"), F.col("hub").alias("b"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = stored(cells.join(sizes.hint("merge"), "cell"), "near-crowded")
+    scored = crowded.join(crowded.groupBy("row").agg(F.sum("size").alias("score")).hint("merge"), "row")
+    hubs = scored.groupBy("cell").agg(F.max(F.struct("score", (-F.col("row")).alias("least"), "n")).alias("hub"))
+    hubs = stored(hubs.select("cell", (-F.col("hub.least")).alias("hub"), F.col("hub.n").alias("m")), "near-hubs")
+    shared = stored(crowded.select("cell", "row", "n").join(hubs.hint("merge"), "cell"), "near-cells")
+    by_band = shared.where("row <> hub").where(_lengths_allow("n", "m")).select(F.greatest("row", "hub").alias("a"), F.least("row", "hub").alias("b"))
     tried = stored(by_band.unionByName(_alike(points)).distinct(), "near-tried")
     wanted = shared.select("row").unionByName(tried.select(F.explode(F.array("a", "b")).alias("row"))).distinct()
     sets = stored(rows.join(wanted.hint("merge"), "row"), "near-sets")
