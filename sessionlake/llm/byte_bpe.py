@@ -11,8 +11,8 @@ cut for that pattern only.
 Scale. Documents are only mapped. The vocabulary file is read on the driver (its size is checked against
 ``most_bytes``) and broadcast; it is a parameter and never part of this repository.
 
-Defined results. Null and empty texts have no ids and decode to empty bytes. Repeated rows stay; an empty table gives no
-rows; columns other than doc_id and text are ignored.
+Defined results. Null and empty texts have no ids and decode to empty bytes. Texts and pre-tokens of any length are encoded whole. Of equal
+pairs the leftmost merges first. Repeated rows stay; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

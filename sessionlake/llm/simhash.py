@@ -19,7 +19,7 @@ Scale. Equal fingerprints are one point from the start, so a group of copies cos
 group of unbounded size is, and the join back to the documents is one that Spark can split at a hot fingerprint.
 
 Defined results. Null and empty texts have no words, fingerprint zero, and are linked like any other. A null doc_id is never the
-smallest; a component of null ids only has a null id. Repeated rows stay, an empty table gives no rows, other columns are ignored.
+smallest; a component of null ids only has a null id. Texts of any length are read whole. Repeated rows stay, an empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
