@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,24 +103,23 @@ def step(state: dict | None, event: dict) -> dict:
 
 
 def upload_state(events: DataFrame) -> DataFrame:
-    """The current row of each upload; its events are taken one at a time in order of event_no."""
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, last = None, None
-        for part in parts:  # sorted by upload within the partition: one upload's state is held at a time
-            done = []
-            for event in part.to_dict("records"):
-                if event["upload_id"] != last:
-                    if state:
-                        done.append(state)
-                    state, last = None, event["upload_id"]
-                state = step(state, event)
-            yield pd.DataFrame(done, columns=[c.split()[0] for c in STATE.split(", ")])
-        if state:
-            yield pd.DataFrame([state])
-
-    ordered = events.repartition("upload_id").sortWithinPartitions("upload_id", "event_no")
-    return ordered.select("upload_id", "event", "owner", "nbytes", "at").mapInPandas(fold, STATE)
+    """The current row of each upload; its events (a few for each) are folded in order of event_no."""
+    moves = F.create_map(*[F.lit(x) for event, (legal, status) in TRANSITIONS.items() for old in legal for x in (f"{old or ''}>{event}", status)])
+    listed = F.sort_array(F.collect_list(F.struct("event_no", "event", "owner", "nbytes", "at")))
+    first = lambda c: F.element_at("e", 1)[c].alias("updated_at" if c == "at" else c)
+    begin = F.struct(first("owner"), F.lit(None).cast("string").alias("status"), first("nbytes"), first("at"), F.lit(0).alias("rejected"))
+
+    def folded(now: Column, event: Column) -> Column:
+        status = moves[F.concat(F.coalesce(now["status"], F.lit("")), F.lit(">"), event["event"])]
+        anew = status.isNotNull() & (event["event"] == "prepare")
+        return F.struct(
+            F.when(anew, event["owner"]).otherwise(now["owner"]).alias("owner"), F.coalesce(status, now["status"]).alias("status"),
+            F.when(anew, event["nbytes"]).otherwise(now["nbytes"]).alias("nbytes"), F.when(status.isNotNull(), event["at"]).otherwise(now["updated_at"]).alias("updated_at"),
+            F.when(status.isNull(), now["rejected"] + 1).otherwise(now["rejected"]).alias("rejected"),
+        )
+
+    typed = events.select("upload_id", "event_no", "event", "owner", F.col("nbytes").cast("long").alias("nbytes"), F.col("at").cast("double").alias("at"))
+    return typed.groupBy("upload_id").agg(listed.alias("e")).select("upload_id", F.aggregate("e", begin, folded).alias("s")).select("upload_id", "s.*")
 
 
 def pending_bytes(uploads: DataFrame, but: str | None = None) -> DataFrame:
