@@ -260,4 +260,4 @@ def test_refused_bundles(spark, tmp_path):
     plain = session(spark, (21, "u4", None, "r", ["f"]))
     named = ingest.with_defaults(plain[0].withColumn("uuid", F.lit("")).withColumn("source", F.lit(None).cast("string")).withColumn("export_path", F.lit("a/u9__x__y.json"))).first()
     assert (named.uuid, named.source) == ("u9", "unknown")
-    assert search.search_corpus(corpus, "c").first().uuid == "u2"
+    assert search.search_corpus(corpus, "'c'").first().uuid == "u2"
