@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,13 @@ def raw(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers (unsigned) spread over all 64-bit numbers, different ones to different ones."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, other characters unchanged (``lower`` would change those beyond ASCII)."""
     return F.translate(c, UPPER, LOWER)

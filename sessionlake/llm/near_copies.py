@@ -100,16 +100,16 @@ def prints(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, fp binary, n int, sim long, bands array<long>, shingles array<int>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """The pairs (a > b) whose sets are similar enough."""
     a, b = (sets.select(F.col("row").alias(x), F.col("shingles").alias(f"s{x}")).hint("merge") for x in "ab")
     common, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    part, whole = SHARE  # common / (both - common) >= part / whole
+    part, whole = share  # common / (both - common) >= part / whole
     return pairs.join(b, "b").join(a, "a").where(common * (whole + part) >= both * part).select("a", "b")
 
 
-def _lengths_allow(n: str, m: str) -> Column:
-    part, whole = SHARE
+def _lengths_allow(n: str, m: str, share: tuple[int, int] = SHARE) -> Column:
+    part, whole = share
     return F.least(n, m) * whole >= F.greatest(n, m) * part
 
 
@@ -123,15 +123,15 @@ def _alike(points: DataFrame) -> DataFrame:
     return linked.unionByName(same)
 
 
-def _needed(n: Column, m: Column) -> Column:
+def _needed(n: Column, m: Column, share: tuple[int, int]) -> Column:
     """The overlap that sets of n and m shingles need, rounded up."""
-    part, whole = SHARE
+    part, whole = share
     return F.ceil(part * (n + m) / (part + whole) - 1e-9)
 
 
-def _by_prefix(sets: DataFrame) -> DataFrame:
+def by_prefix(sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """a > b: candidate pairs of different roots (sets: row, root, n, shingles), by a rare shingle that both have among their first."""
-    part, whole = SHARE
+    part, whole = share
     each = sets.select("row", "root", "n", F.explode("shingles").alias("s"))
     alive = each.groupBy("s").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     alive = stored(alive.select("s", "df"), "near-alive")
@@ -141,9 +141,9 @@ def _by_prefix(sets: DataFrame) -> DataFrame:
     probes = ordered.select("row", "root", "n", dead.alias("dead"), F.posexplode(first).alias("k", "x")).select("row", "root", "n", (F.col("dead") + F.col("k")).alias("i"), "x.s")
     probes = stored(probes, "near-prefixes")
     larger = probes.select("s", F.col("row").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    smaller = probes.where(F.col("i") <= F.col("n") - _needed(F.col("n"), F.col("n"))).select("s", F.col("row").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    pairs = larger.join(smaller.hint("merge"), "s").where("ra <> rb and na >= nb").where(_lengths_allow("na", "nb"))
-    pairs = pairs.where(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= _needed(F.col("na"), F.col("nb")))
+    smaller = probes.where(F.col("i") <= F.col("n") - _needed(F.col("n"), F.col("n"), share)).select("s", F.col("row").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    pairs = larger.join(smaller.hint("merge"), "s").where("ra <> rb and na >= nb").where(_lengths_allow("na", "nb", share))
+    pairs = pairs.where(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= _needed(F.col("na"), F.col("nb"), share))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -160,14 +160,14 @@ def links(points: DataFrame, rows: DataFrame) -> DataFrame:
     tried = stored(by_band.unionByName(_alike(points)).distinct(), "near-tried")
     wanted = shared.select("row").unionByName(tried.select(F.explode(F.array("a", "b")).alias("row"))).distinct()
     sets = stored(rows.join(wanted.hint("merge"), "row"), "near-sets")
-    roots = stored(components(stored(_verified(tried, sets), "near-links")), "near-roots")
+    roots = stored(components(stored(verified(tried, sets), "near-links")), "near-roots")
     rooted = shared.select("cell", "row").join(roots.withColumnRenamed("node", "row").hint("merge"), "row", "left")
     rooted = stored(rooted.select("cell", "row", F.coalesce("root", "row").alias("root")), "near-rooted")
     mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
     left = stored(rooted.join(mixed.hint("merge"), "cell", "left_semi").select("row", "root").distinct(), "near-mixed")
-    rest = _by_prefix(sets.join(left.hint("merge"), "row").select("row", "root", F.size("shingles").alias("n"), "shingles"))
+    rest = by_prefix(sets.join(left.hint("merge"), "row").select("row", "root", F.size("shingles").alias("n"), "shingles"))
     rest = stored(rest.join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(rest, sets))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest, sets))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

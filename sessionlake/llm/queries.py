@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import ann, byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality, secret_scan, simhash, url_filter
+from sessionlake.llm import (
+    ann, byte_bpe, decontaminate, hard_negatives, language_id, license_scan, line_dedup, minhash, quality, secret_scan, simhash, url_filter, word_runs,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +57,25 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digest(word_runs.find_runs(_table(spark, sf_dir, "documents"), rewrite=word_runs.repeat_tail))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.numbered(hard_negatives.corrupted(_table(spark, sf_dir, "embeddings")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_license_scan, op3_byte_bpe, op4_line_dedup, op5_language_id, op6_secret_scan, op7_simhash, op8_url_filter, op9_quality, op10_nearest)
+    for f in (
+        op1_decontaminate, op2_license_scan, op3_byte_bpe, op4_line_dedup, op5_language_id, op6_secret_scan, op7_simhash, op8_url_filter, op9_quality, op10_nearest,
+        op11_minhash, op12_word_runs, op13_hard_negatives,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -65,4 +83,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_secret_scan": secret_scan.oracle(),
     "op8_url_filter": url_filter.ORACLE,
+    "op11_minhash": minhash.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
