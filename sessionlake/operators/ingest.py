@@ -5,6 +5,7 @@ Every function takes and returns DataFrames; corpus tables are replaced by new o
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -298,11 +299,17 @@ def merge_import(corpus: Corpus, sessions: DataFrame, entries: DataFrame, bodies
     return applied(corpus, import_delta(corpus, sessions, entries, bodies, person, allow))
 
 
-def bundle_digest(sessions: DataFrame) -> str:
-    """What tells a bundle from others, whatever the order of its rows."""
-    each = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("session_key", "session_fingerprint", "export_path")]), 256)
-    parts = [F.bit_xor(F.conv(F.substring(each, 1 + 15 * i, 15), 16, 10).cast("long")) for i in range(4)]
-    return sessions.agg(F.sha2(F.concat_ws("|", F.count("*"), *parts), 256)).first()[0]
+def bundle_digest(sessions: DataFrame, entries: DataFrame, bodies: DataFrame) -> str:
+    """What tells a bundle from others: every column of every row that was sent, whatever the order of rows and columns."""
+
+    def summed(df: DataFrame) -> DataFrame:
+        columns = {c: F.sha2("body", 256) if c == "body" else F.col(c) for c in sorted(df.columns)}
+        each = F.sha2(F.to_json(F.struct(*[c.cast("string").alias(name) for name, c in columns.items()])), 256)
+        parts = [F.sum(F.conv(F.substring(each, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")) for i in range(4)]  # sums: equal rows don't cancel
+        return df.agg(F.concat_ws("|", F.lit(",".join(columns)), F.count("*").cast("string"), *[x.cast("string") for x in parts]).alias("digest"))
+
+    told = [summed(df).first()[0] for df in (sessions, entries, bodies)]
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()
 
 
 # Postings.

@@ -89,6 +89,7 @@ TRANSITIONS = {
     "expire": (("prepared", "uploaded", "failed", "cancelled"), "expired"),
 }
 PENDING = ("prepared", "receiving", "uploaded", "queued", "processing", "failed")
+UNDER_WAY = ("prepared", "receiving", "uploaded", "queued", "processing")
 ABANDONED = ("prepared", "receiving", "uploaded", "failed")
 STATE = "upload_id string, owner string, status string, nbytes long, updated_at double, rejected int"
 
@@ -132,12 +133,15 @@ def pending_bytes(uploads: DataFrame, but: str | None = None) -> DataFrame:
 def quota_violations(uploads: DataFrame, asked: DataFrame, most: int) -> DataFrame:
     """upload_id, owner, pending_bytes and asked_bytes of prepared uploads (upload_id, owner, nbytes) that would exceed an owner's ``most`` bytes.
 
-    Pending are the owner's other uploads. An upload that is pending itself is only asked for again, which is always allowed.
+    Pending are the owner's other uploads, failed ones included. An upload of the owner that is under way is only asked for again, which is always
+    allowed; one that is complete, failed, cancelled or expired is prepared anew and is checked like a new one.
     """
-    pending = uploads.where(F.col("status").isin(*PENDING))
-    new = asked.join(pending.select("upload_id"), "upload_id", "left_anti")
-    sums = pending.groupBy("owner").agg(F.sum("nbytes").alias("pending_bytes"))
-    both = new.join(sums, "owner", "left").select("upload_id", "owner", F.coalesce("pending_bytes", F.lit(0)).alias("pending_bytes"), F.col("nbytes").alias("asked_bytes"))
+    sums = uploads.where(F.col("status").isin(*PENDING)).groupBy("owner").agg(F.sum("nbytes").alias("held"))
+    known = uploads.select("upload_id", "owner", "status", F.col("nbytes").alias("own"))
+    anew = asked.select("upload_id", "owner", "nbytes").join(known, ["upload_id", "owner"], "left")
+    anew = anew.where(F.col("status").isNull() | ~F.col("status").isin(*UNDER_WAY)).join(sums, "owner", "left")
+    others = F.coalesce("held", F.lit(0)) - F.when(F.col("status").isin(*PENDING), F.col("own")).otherwise(0)
+    both = anew.select("upload_id", "owner", others.alias("pending_bytes"), F.col("nbytes").alias("asked_bytes"))
     return both.where(F.col("pending_bytes") + F.col("asked_bytes") > most)
 
 

@@ -643,15 +643,21 @@ def _(t):
     return requests.pending_bytes(_uploads(t), but="r5").where("pending_bytes > 1000")
 
 
+_STATUSES = ("prepared", "receiving", "uploaded", "queued", "processing", "failed", "complete", "cancelled", "expired")
+
+
 @register(
     "quota_violations",
-    f"""{_UP}, p AS (SELECT owner, sum(nbytes)::BIGINT AS pending_bytes FROM u WHERE status <> 'complete' GROUP BY owner)
-    SELECT upload_id, owner, coalesce(pending_bytes, 0)::BIGINT AS pending_bytes, nbytes AS asked_bytes FROM u LEFT JOIN p USING (owner) WHERE status = 'complete' AND coalesce(pending_bytes, 0) + nbytes > 5000
-    UNION ALL SELECT 'new' || upload_id, owner, coalesce(pending_bytes, 0)::BIGINT, nbytes FROM u LEFT JOIN p USING (owner) WHERE coalesce(pending_bytes, 0) + nbytes > 5000""",
+    f""", u AS (SELECT request_id AS upload_id, actor AS owner, {list(_STATUSES)}[id % 9 + 1] AS status, id AS nbytes FROM requests),
+    p AS (SELECT owner, sum(nbytes)::BIGINT AS held FROM u WHERE status IN ('prepared', 'receiving', 'uploaded', 'queued', 'processing', 'failed') GROUP BY owner),
+    a AS (SELECT upload_id, owner, nbytes, status, CASE WHEN status = 'failed' THEN nbytes ELSE 0 END AS own FROM u WHERE status IN ('failed', 'complete', 'cancelled', 'expired')
+      UNION ALL SELECT 'new' || upload_id, owner, nbytes, NULL, 0 FROM u)
+    SELECT upload_id, owner, (coalesce(held, 0) - own)::BIGINT AS pending_bytes, nbytes AS asked_bytes FROM a LEFT JOIN p USING (owner) WHERE coalesce(held, 0) - own + nbytes > 5000""",
 )
 def _(t):
-    """Every upload asked for again, and again under a new id: pending ones are allowed."""
-    u = _uploads(t)
+    """Every upload, of every status, asked for again, and again under a new id: those under way are allowed."""
+    status = F.element_at(F.array(*map(F.lit, _STATUSES)), (F.col("id") % 9 + 1).cast("int"))
+    u = _uploads(t).drop("status").join(t["requests"].select(F.col("request_id").alias("upload_id"), status.alias("status")), "upload_id")
     again = u.select("upload_id", "owner", "nbytes")
     return requests.quota_violations(u, again.unionByName(again.withColumn("upload_id", F.concat(F.lit("new"), "upload_id"))), 5000)
 

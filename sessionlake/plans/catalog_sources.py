@@ -86,9 +86,26 @@ _CLAUDE = f"""WITH b AS (
 """
 
 
-@register("claude_entries", f"{_CLAUDE} SELECT 'f' || conv_id || '.jsonl' AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn, b) - 1 AS seq, role, tool_name, sha256(text) AS text_sha FROM b", plain=True)
+def _claude_results(spark, sf_dir):
+    """After all turns: for each call its result, a second call under the same id, and that one's result."""
+    t = _turns(spark, sf_dir).where("role = 'assistant'").withColumn("line_no", 10_000 + 10 * F.col("line_no"))
+    id_ = F.concat(F.lit("t"), ((F.col("line_no") - 10_000) / 10).cast("int").cast("string"))
+    result = lambda text: _json(type="user", message=F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), id_.alias("tool_use_id"), F.lit(text).alias("content"))).alias("content")))
+    call = _json(type="assistant", message=F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), id_.alias("id"), F.lit("Read").alias("name"))).alias("content")))
+    lines = [t.withColumn("line", line).withColumn("line_no", F.col("line_no") + n) for n, line in enumerate((result("r1"), call, result("r2")))]
+    return reduce(DataFrame.unionByName, lines)
+
+
+_RESULTS = "".join(f" UNION ALL SELECT conv_id, 10000 + 10 * turn + {n}, 0, '{role}', '{name}', '{text}' FROM {_CONV} AND role = 'assistant'" for n, role, name, text in ((0, "tool_result", "Bash", "r1"), (1, "tool_call", "Read", "{}"), (2, "tool_result", "Read", "r2")))
+
+
+@register(
+    "claude_entries",
+    f"{_CLAUDE}, r AS (SELECT * FROM b {_RESULTS}) SELECT 'f' || conv_id || '.jsonl' AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn, b) - 1 AS seq, role, tool_name, sha256(text) AS text_sha FROM r",
+    plain=True,
+)
 def _(spark, sf_dir):
-    e = S.claude_entries(_claude_lines(spark, sf_dir))
+    e = S.claude_entries(_claude_lines(spark, sf_dir).unionByName(_claude_results(spark, sf_dir)))
     return e.select("file_path", F.col("seq").cast("long").alias("seq"), "role", "tool_name", F.sha2("text", 256).alias("text_sha"))
 
 
@@ -133,12 +150,18 @@ def _codex_lines(spark, sf_dir):
     "codex_entries",
     f"""WITH b AS (SELECT conv_id, turn + 2 AS l, role, NULL AS tool_name, text FROM {_CONV} AND text <> ''
       UNION ALL SELECT DISTINCT conv_id, 1, 'tool_call', 'sh', 'ls' FROM {_CONV} UNION ALL SELECT DISTINCT conv_id, 1000, 'tool_result', 'sh', 'done' FROM {_CONV}
-      UNION ALL SELECT conv_id, turn + 500, 'tool_call', 'patch', CASE WHEN conv_id % 6 = 4 OR conv_id % 6 = 3 AND turn = 0 THEN '{{}}' ELSE {_INDENTED} END FROM {_CONV} AND role = 'assistant')
+      UNION ALL SELECT conv_id, turn + 500, 'tool_call', 'patch', CASE WHEN conv_id % 6 = 4 OR conv_id % 6 = 3 AND turn = 0 THEN '{{}}' ELSE {_INDENTED} END FROM {_CONV} AND role = 'assistant'
+      UNION ALL SELECT DISTINCT conv_id, 3001, 'tool_call', 'sh2', 'ls' FROM {_CONV} UNION ALL SELECT DISTINCT conv_id, 3002, 'tool_result', 'sh2', 'done' FROM {_CONV})
     SELECT 'f' || conv_id || '.jsonl' AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY l) - 1 AS seq, role, tool_name, sha256(text) AS text_sha FROM b""",
     plain=True,
 )
 def _(spark, sf_dir):
-    e = S.codex_entries(_codex_lines(spark, sf_dir))
+    lines = _codex_lines(spark, sf_dir)
+    first = _turns(spark, sf_dir).select("file_path", "valid", "file_mtime").distinct()  # the same id is called again, under another name
+    call = _json(type="response_item", payload=F.struct(F.lit("function_call").alias("type"), F.lit("sh2").alias("name"), F.lit("k").alias("call_id"), F.lit("ls").alias("arguments")))
+    out = _json(type="response_item", payload=F.struct(F.lit("function_call_output").alias("type"), F.lit("k").alias("call_id"), F.lit("done").alias("output")))
+    again = [first.withColumn("line_no", F.lit(n)).withColumn("line", x) for n, x in ((3001, call), (3002, out))]
+    e = S.codex_entries(lines.unionByName(again[0]).unionByName(again[1]))
     return e.select("file_path", F.col("seq").cast("long").alias("seq"), "role", "tool_name", F.sha2("text", 256).alias("text_sha"))
 
 
@@ -524,6 +547,26 @@ def _(t):
     return _contents(c).unionByName(kept).unionByName(refused)
 
 
+@register(
+    "repaired_bundle",
+    """SELECT 'outcome' AS kind, 'imported' AS name, 2 AS n UNION ALL SELECT 'outcome', 'replayed', 1
+    UNION ALL SELECT 'session', CAST(session_id AS VARCHAR), count(*) FROM entries GROUP BY session_id
+    UNION ALL SELECT 'skipped', CASE WHEN session_id % 3 = 0 THEN 'missing_entries_member' ELSE 'duplicate_session_content' END, count(*) FROM sessions GROUP BY 1, 2
+    UNION ALL SELECT 'blob', blob_hash, count(*) FROM entries GROUP BY blob_hash""",
+)
+def _(t):
+    """A bundle without the entries of every third session, then whole, then whole again: the second is another bundle, the third a replay."""
+    spark = t["entries"].sparkSession
+    at = _scratch(spark, "repaired")
+    s, e, bodies = _bundle(t)
+    s = s.withColumn("arrival", F.col("session_id"))
+    bundles.write_bundle(s, e.where("session_id % 3 <> 0"), bodies, f"{at}/1")
+    bundles.write_bundle(s, e, bodies, f"{at}/2")
+    told = [ledger.ingest_one(spark, f"{at}/corpus", f"{at}/{n}", "ann", None, lambda: _empty(spark)) for n in (1, 2, 2)]
+    outcomes = spark.createDataFrame([("outcome", x, told.count(x)) for x in sorted(set(told))], "kind string, name string, n long")
+    return outcomes.unionByName(_contents(bundles.read_snapshot(spark, f"{at}/corpus")).where("kind in ('session', 'skipped', 'blob')"))
+
+
 # Column functions.
 
 

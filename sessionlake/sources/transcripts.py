@@ -119,16 +119,14 @@ def _numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
 
 
 def _named_results(rows: DataFrame) -> DataFrame:
-    """tool_name of results (call_id) from the latest earlier call of that id in the file."""
-    place = F.struct("line_no", "block_no")
-    calls = rows.where("role = 'tool_call' and call_id is not null").select(
-        "file_path", "call_id", place.alias("called"), F.col("tool_name").alias("called_name")
-    )
-    results = rows.where("role = 'tool_result' and call_id is not null").select("file_path", "call_id", "line_no", "block_no", place.alias("at"))
-    found = results.join(calls, ["file_path", "call_id"]).where("called < at").groupBy("file_path", "line_no", "block_no")
-    names = found.agg(F.max_by("called_name", "called").alias("result_name"))
-    named = rows.join(names, ["file_path", "line_no", "block_no"], "left")
-    return named.withColumn("tool_name", F.when(F.col("role") == "tool_result", F.col("result_name")).otherwise(F.col("tool_name")))
+    """tool_name of results (call_id) from the latest earlier call of that id in the file: the last name is carried forward in one sorted sweep."""
+    result = F.col("role") == "tool_result"
+    tied = F.col("role").isin("tool_call", "tool_result") & F.col("call_id").isNotNull()
+    before = Window.partitionBy("file_path", "call_id").orderBy("line_no", "block_no").rowsBetween(Window.unboundedPreceding, -1)
+    called = F.last(F.when(F.col("role") == "tool_call", F.struct("tool_name")), ignorenulls=True).over(before)
+    named = rows.where(tied).withColumn("called", called).withColumn("tool_name", F.when(result, F.col("called.tool_name")).otherwise(F.col("tool_name"))).drop("called")
+    others = rows.where(~F.coalesce(tied, F.lit(False)))  # they have no part in the sweep, so they aren't one group
+    return named.unionByName(others.withColumn("tool_name", F.when(result, F.lit(None)).otherwise(F.col("tool_name"))))
 
 
 _ENTRY = ("file_path", "seq", "role", "ts", "tool_name", "text", "raw")

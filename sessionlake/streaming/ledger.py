@@ -58,7 +58,7 @@ def ingest_one(spark: SparkSession, root: str, bundle: str, person: str, allow:
     names = versions(spark, root)
     corpus = read_versions(spark, root, names) if names else empty()
     sessions, entries, bodies = read_bundle(spark, bundle)
-    digest, at = bundle_digest(sessions), now or datetime.now(UTC).isoformat()
+    digest, at = bundle_digest(sessions, entries, bodies), now or datetime.now(UTC).isoformat()
     imports = corpus.imports if corpus.imports is not None else spark.createDataFrame([], IMPORTS)
     mine = (F.col("person") == person) & (F.col("archive_sha256") == digest)
     old = imports.where(mine).first()

@@ -261,3 +261,34 @@ def test_refused_bundles(spark, tmp_path):
     named = ingest.with_defaults(plain[0].withColumn("uuid", F.lit("")).withColumn("source", F.lit(None).cast("string")).withColumn("export_path", F.lit("a/u9__x__y.json"))).first()
     assert (named.uuid, named.source) == ("u9", "unknown")
     assert search.search_corpus(corpus, "'c'").first().uuid == "u2"
+
+
+def test_repaired_bundles_are_imported(spark, tmp_path):
+    """A bundle that comes again with what it lacked, or with another end, is another bundle; an equal one, in any order, is a replay."""
+    from sessionlake.streaming import ledger
+
+    root, n = str(tmp_path / "corpus"), iter(range(100))
+
+    def offer(s, e, b):
+        path = str(tmp_path / f"b{next(n)}")
+        bundles.write_bundle(s, e, b, path)
+        return ledger.ingest_one(spark, root, path, PERSON, None, lambda: empty(spark))
+
+    s, e, b = session(spark, (1, "u1", None, "r", ["a", "b"]), (2, "u2", None, "r", ["c"]))
+    assert offer(s, e.where("session_id = 1"), b) == "imported"
+    assert [r.uuid for r in bundles.read_snapshot(spark, root).sessions.collect()] == ["u1"]
+    assert offer(s, e, b) == "imported"
+    assert sorted(r.uuid for r in bundles.read_snapshot(spark, root).sessions.collect()) == ["u1", "u2"]
+    assert offer(s.orderBy(F.desc("session_id")), e.orderBy(F.desc("body_sha256")), b.orderBy("body")) == "replayed"
+    assert offer(s.withColumn("ended_at", F.lit("2026-05-01T00:00:00Z")), e, b) == "imported"
+    rows = spark.createDataFrame([(1, "x")], "session_id long, k string")
+    twice = rows.unionByName(rows)
+    digests = {ingest.bundle_digest(a, c, b) for a in (rows, twice, rows.limit(0), twice.unionByName(rows), rows.withColumn("k", F.lit(None).cast("string"))) for c in (e, e.limit(0))}
+    assert len(digests) == 10
+
+
+def test_quota_looks_at_failed_uploads(spark):
+    uploads = spark.createDataFrame([("a", "p", "failed", 60), ("b", "p", "queued", 50), ("c", "q", "failed", 90), ("a", "q", "complete", 5)], "upload_id string, owner string, status string, nbytes long")
+    asked = spark.createDataFrame([("a", "p", 40), ("b", "p", 999), ("c", "q", 100), ("a", "q", 11), ("new", "r", 101), ("new", "p", 0)], "upload_id string, owner string, nbytes long")
+    got = requests.quota_violations(uploads, asked, 100)
+    assert sorted(map(tuple, got.select("upload_id", "owner", "pending_bytes", "asked_bytes").collect())) == [("a", "q", 90, 11), ("new", "p", 110, 0), ("new", "r", 0, 101)]

@@ -205,3 +205,18 @@ def test_inputs_of_every_type(spark, tmp_path):
     assert entries(S.codex_entries(read("rollout-1.jsonl"))) == [("tool_call", "T", shown(v or {})) for v in inputs] + [("tool_call", "T", '"go"')]
     said = S.claude_messages(read("p")).orderBy("idx").first().text
     assert said == "\n".join(f"[tool: T] {json.dumps(v)}" for v in inputs if v)
+
+
+def test_results_take_the_last_call_before_them(spark):
+    """One id used over and over: each result has the name of the last call before it, in one sorted sweep."""
+    import time
+
+    n = 3000
+    rows = [("f", 2 * i, 0, role, "same", name) for i in range(n) for role, name in [("tool_call", f"call{i}")]] + [("f", 2 * i + 1, 0, "tool_result", "same", None) for i in range(n)]
+    rows += [("f", -1, 0, "tool_result", "same", "own"), ("f", 9000, 0, "tool_result", None, "own"), ("f", 9001, 0, "user", None, None), ("g", 5, 0, "tool_result", "same", None)]
+    df = spark.createDataFrame(rows, "file_path string, line_no int, block_no int, role string, call_id string, tool_name string")
+    began = time.time()
+    got = {(r.file_path, r.line_no): r.tool_name for r in S._named_results(df).collect()}
+    assert time.time() - began < 15 and len(got) == len(rows)
+    assert all(got["f", 2 * i + 1] == f"call{i}" == got["f", 2 * i] for i in range(n))
+    assert got["f", -1] is None and got["f", 9000] is None and got["g", 5] is None
