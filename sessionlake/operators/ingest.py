@@ -16,13 +16,14 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType
 
 from sessionlake.functions import text as T
 
 # Fixed limits of entry maps and bodies.
 MOST_LINE, MOST_MAP, MOST_ROWS, MOST_BODY = 1 << 20, 32 << 20, 100_000, 64 << 20
 POSTING_BUCKETS = 64
+HOMES = 32
 
 
 def bucket_of(term: str) -> int:
@@ -198,6 +199,7 @@ class Corpus:
     skipped: DataFrame
     postings: DataFrame | None = None
     imports: DataFrame | None = None
+    terms: DataFrame | None = None  # the directory of postings
 
 
 @dataclass(frozen=True)
@@ -251,7 +253,7 @@ def import_delta(
 
     Not allowed repositories, sessions without entries, known content and stale generations are skipped; a newer generation replaces
     the live one with its entries, while bodies stay. The bundle must have no ``bundle_violations``. Of the corpus, only sessions of touched keys,
-    entries of replaced sessions and the narrow blobs table are read.
+    entries of replaced sessions and the hashes of the bodies are read.
     """
     incoming = with_defaults(sessions).withColumn("person", F.lit(person)).withColumn("is_subagent", F.contains("export_path", F.lit("subagent")))
     allowed, denied = filter_allowed_repositories(incoming, allow)
@@ -265,9 +267,10 @@ def import_delta(
     decided = keep(ranked[0].withColumn("reason", F.lit(None).cast("string")).unionByName(ranked[1]))
     newest, stale = decided.where("reason is null").drop("reason"), decided.where("reason is not null")
     kept, removed = newest.where("arrival >= 0").select(*columns), stale.where("arrival < 0").select("session_id")
-    added = entries.join(kept.select("session_id"), "session_id", "left_semi").select(corpus.entries.columns)
-    known = corpus.blobs.select("blob_hash")
-    fresh = bodies.dropDuplicates(["blob_hash"]).join(added.select("blob_hash").distinct(), "blob_hash", "left_semi").join(known, "blob_hash", "left_anti").select(corpus.bodies.columns)
+    own = lambda df: [c for c in df.columns if c != "home"]  # noqa: E731  stored tables are dealt by home
+    added = entries.join(kept.select("session_id"), "session_id", "left_semi").select(own(corpus.entries))
+    known = corpus.bodies.select("blob_hash")  # one row for each body, so that no references are summed
+    fresh = bodies.dropDuplicates(["blob_hash"]).join(added.select("blob_hash").distinct(), "blob_hash", "left_semi").join(known, "blob_hash", "left_anti").select(own(corpus.bodies))
     gone = corpus.entries.join(removed, "session_id", "left_semi")
     changes = added.select("blob_hash", F.lit(1).alias("n")).unionByName(gone.select("blob_hash", F.lit(-1).alias("n"))).groupBy("blob_hash").agg(F.sum("n").alias("nrefs"))
     sizes = fresh.select("blob_hash", F.octet_length("body").cast("long").alias("nbytes"))
@@ -285,12 +288,12 @@ def summed_blobs(changes: DataFrame) -> DataFrame:
 
 def applied(corpus: Corpus, delta: Delta) -> Corpus:
     """The corpus after an import."""
-    stay = lambda df: df.join(delta.removed, "session_id", "left_anti")
+    stay = lambda df: df.drop("home").join(delta.removed, "session_id", "left_anti")
     return replace(
         corpus, sessions=stay(corpus.sessions).unionByName(delta.sessions), entries=stay(corpus.entries).unionByName(delta.entries),
-        blobs=summed_blobs(corpus.blobs.unionByName(delta.blobs)), bodies=corpus.bodies.unionByName(delta.bodies),
+        blobs=summed_blobs(corpus.blobs.unionByName(delta.blobs)), bodies=corpus.bodies.drop("home").unionByName(delta.bodies),
         skipped=corpus.skipped.select("export_path", "reason", "cwd").unionByName(delta.skipped),
-        postings=delta.postings if corpus.postings is None else corpus.postings.unionByName(delta.postings),
+        postings=delta.postings if corpus.postings is None else corpus.postings.unionByName(delta.postings), terms=None,
     )
 
 
@@ -338,27 +341,46 @@ def _stems(words: pd.Series) -> pd.Series:
     return words.map(lambda row: None if row is None else list(map(_indexed, row)))
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("term", StringType()), StructField("positions", ArrayType(IntegerType()))])))
-def _runs(words: pd.Series) -> pd.Series:
-    """The places of each word of a list."""
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def places(row: list[str] | None) -> list[dict]:
-        found: dict[str, list[int]] = {}
-        for i, word in enumerate(() if row is None else row):
-            found.setdefault(word, []).append(i)
-        return [{"term": w, "positions": at} for w, at in found.items()]
 
-    return words.map(places)
+def word_places(words: Column) -> Column:
+    """term and positions of each different word of a list, in order of the terms: the sorted (word, place) pairs cut where the word changes."""
+
+    def cut(pairs: Column) -> Column:
+        n = F.size(pairs)
+        new = lambda k: (k == 1) | (F.element_at(pairs, k)["term"] != F.element_at(pairs, F.greatest(k - 1, F.lit(1)))["term"])
+        ends = F.array_append(F.filter(F.sequence(F.lit(1), n), new), n + 1)
+        return F.when(n > 0, let(ends, lambda e: F.transform(F.slice(e, 1, F.size(e) - 1), lambda begin, i: _run(pairs, e, begin, i))))
+
+    return let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("place")))), cut)
+
+
+def _run(pairs: Column, ends: Column, begin: Column, i: Column) -> Column:
+    places = F.slice(pairs, begin, F.element_at(ends, i + 2) - begin)
+    return F.struct(F.element_at(pairs, begin)["term"].alias("term"), F.transform(places, lambda x: x["place"]).alias("positions"))
 
 
 def build_postings(bodies: DataFrame, analyzer: str = "simple") -> DataFrame:
     """bucket, term, blob_hash and positions: the words of each different body. ``porter`` folds accents and stems.
 
-    A body's words are gathered inside its row, in Arrow batches, so nothing is shuffled.
+    A body's words are gathered inside its row by built-in functions, so nothing is shuffled; only stems come from Python, in Arrow batches.
     """
     words = F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     words = _stems(words) if analyzer == "porter" else words
-    rows = bodies.select("blob_hash", _runs(words).alias("runs"))
+    rows = bodies.select("blob_hash", word_places(words).alias("runs"))
     return rows.select("blob_hash", F.explode("runs").alias("r")).select(
         (F.crc32(F.col("r.term").cast("binary")) % POSTING_BUCKETS).cast("int").alias("bucket"), "r.term", "blob_hash", "r.positions"
     )
+
+
+def home_of(blob_hash: Column) -> Column:
+    """The bucket of a body, of the entries that refer to it and of its places in the index's directory."""
+    return (F.crc32(blob_hash.cast("binary")) % HOMES).cast("int")
+
+
+def term_directory(postings: DataFrame) -> DataFrame:
+    """bucket, term, df (bodies that hold the term) and homes (the buckets of those bodies, ``HOMES`` at most): what a search reads first."""
+    return postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sort_array(F.collect_set(home_of(F.col("blob_hash")))).alias("homes"))

@@ -1,7 +1,11 @@
 """Bundles (what a client publishes) and snapshots (what readers of the corpus see), as Parquet datasets.
 
-A snapshot is a list of versions. Each import writes a version of its own with what it adds and names the sessions that it replaces; readers
-put the versions together. ``write_snapshot`` makes one version of them all when they have become many.
+A snapshot is a list of versions, oldest first. Each import writes a version of level 0 with what it adds and names the sessions that it replaces; readers
+put the versions together. As soon as ``FANOUT`` versions of one level stand at the end of the list, they are merged into one of the next level, so n
+imports leave (FANOUT - 1) log n versions at most, and a row is written again log n times. Numbered commit files name the versions; the highest complete
+one counts, earlier ones can be read as long as ``vacuum`` keeps them. There is one writer at a time.
+
+Entries and bodies are dealt into ``HOMES`` folders by the body's hash, and sorted by it; a directory of the index tells for each term in which homes its bodies are.
 """
 
 from __future__ import annotations
@@ -9,12 +13,21 @@ from __future__ import annotations
 import contextlib
 import json
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.operators.ingest import ANALYZER, IMPORTS, POSTING_BUCKETS, Corpus, Delta, build_postings, summed_blobs
+from sessionlake.operators.ingest import ANALYZER, IMPORTS, POSTING_BUCKETS, Corpus, Delta, build_postings, home_of, summed_blobs, term_directory
+
+FANOUT = 4
+ENTRIES = "session_id long, seq int, role string, ts string, header_line string, blob_hash string, home int"
+BODIES = "blob_hash string, body string, home int"
+TABLES = ("sessions", "removed", "blobs", "skipped", "entries", "bodies", "postings", "terms", "imports")
+TERMS = "bucket int, term string, df long, homes array<int>"
+
 
 def write_bundle(sessions: DataFrame, entries: DataFrame, bodies: DataFrame, path: str) -> None:
     """Manifest rows, entry maps and every body once."""
@@ -38,33 +51,93 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def _scan(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    """The columns of ``schema`` of one path, or of several that are folders (``v=...``) of one table."""
+    read = spark.read.schema(schema)
+    read = read.option("basePath", paths[0].rsplit("/", 1)[0]) if len(paths) > 1 else read
+    return read.parquet(*paths).select(*[c.split()[0] for c in schema.split(", ")])
+
+
 def write_postings(postings: DataFrame, path: str) -> None:
-    """An index as a table partitioned by bucket and sorted by term; a frequent term is spread over files by its bodies."""
+    """An index as a table partitioned by bucket and sorted by term; a frequent term is spread over files by its bodies. Places are stored as differences."""
     spread = max(1, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // POSTING_BUCKETS)
-    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("blob_hash"), F.lit(spread))).sortWithinPartitions("bucket", "term")
-    dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("blob_hash"), F.lit(spread))).sortWithinPartitions("bucket", "term", "blob_hash")
+    dealt.write.partitionBy("bucket").option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").parquet(path)
 
 
 def read_postings(spark: SparkSession, *paths: str) -> DataFrame:
-    """The index of one path or several; a filter on the bucket reaches the scans."""
-    read = spark.read.schema("term string, blob_hash string, positions array<int>, bucket int")
-    return reduce(DataFrame.unionByName, [read.parquet(p).select("bucket", "term", "blob_hash", "positions") for p in paths])
+    """The index of one path or several of one folder, in one scan; a filter on the bucket reaches it."""
+    return _scan(spark, "term string, blob_hash string, positions array<int>, bucket int", *paths).select("bucket", "term", "blob_hash", "positions")
+
+
+def write_terms(postings: DataFrame, path: str) -> None:
+    """The directory of an index, sorted by bucket and term."""
+    term_directory(postings).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.option("compression", "zstd").parquet(path)
+
 
+def read_terms(spark: SparkSession, *paths: str) -> DataFrame:
+    return _scan(spark, TERMS, *paths)
 
-def write_delta(delta: Delta, imports: DataFrame, root: str, postings: DataFrame | None = None) -> str:
+
+def write_homes(rows: DataFrame, path: str) -> None:
+    """Entries or bodies in a folder for each home, sorted by the body's hash; large homes in several files."""
+    homed = rows.drop("home").withColumn("home", home_of(F.col("blob_hash")))
+    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 32)
+    dealt = homed.repartition("home", F.pmod(F.xxhash64("blob_hash"), F.lit(spread))).sortWithinPartitions("home", "blob_hash")
+    dealt.write.partitionBy("home").option("compression", "zstd").parquet(path)
+
+
+def read_homes(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    """Entries (``ENTRIES``) or bodies (``BODIES``) of one path or several of one folder, in one scan; a filter on the home reaches it."""
+    return _scan(spark, schema, *paths)
+
+
+def write_delta(delta: Delta, imports: DataFrame, root: str, postings: DataFrame | None = None, level: int = 0) -> str:
     """Write what an import adds under a new version. Nothing that is there is written again but the small ledger of imports.
 
-    The index is built from the bodies as they were written, if ``postings`` doesn't have it.
+    The index is built from the bodies as they were written, if ``postings`` doesn't have it. What a failure leaves unfinished is deleted.
     """
-    version = f"{root}/v={uuid.uuid4().hex}"
-    delta.sessions.write.parquet(f"{version}/sessions")
-    for name in ("removed", "entries", "blobs", "bodies", "skipped"):
-        getattr(delta, name).write.option("compression", "zstd").parquet(f"{version}/{name}")
-    spark = imports.sparkSession
-    bodies = spark.read.schema(delta.bodies.schema).parquet(f"{version}/bodies")
-    write_postings(build_postings(bodies, ANALYZER) if postings is None else postings, f"{version}/postings")
-    imports.coalesce(1).write.parquet(f"{version}/imports")
-    return version.rsplit("/", 1)[1]
+    version, spark = f"v={level}-{uuid.uuid4().hex}", imports.sparkSession
+
+    def index() -> None:
+        write_homes(delta.bodies, f"{root}/bodies/{version}")
+        built = build_postings(read_homes(spark, BODIES, f"{root}/bodies/{version}"), ANALYZER) if postings is None else postings
+        write_postings(built, f"{root}/postings/{version}")
+        write_terms(read_postings(spark, f"{root}/postings/{version}"), f"{root}/terms/{version}")
+
+    def plain(name: str) -> Callable[[], None]:
+        return lambda: getattr(delta, name).write.option("compression", "zstd").parquet(f"{root}/{name}/{version}")
+
+    jobs = [index, lambda: write_homes(delta.entries, f"{root}/entries/{version}"), *map(plain, ("blobs", "skipped", "sessions", "removed"))]
+    jobs.append(lambda: imports.coalesce(1).write.parquet(f"{root}/imports/{version}"))
+    try:
+        with ThreadPoolExecutor(len(jobs)) as pool:  # the tables don't depend on each other, and most of them are small
+            for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+                done.result()
+    except BaseException:
+        delete_version(spark, root, version)
+        raise
+    return version
+
+
+def delete_version(spark: SparkSession, root: str, version: str) -> None:
+    for table in TABLES:
+        delete(spark, f"{root}/{table}/{version}")
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _file(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def commits(spark: SparkSession, root: str) -> dict[int, list[str]]:
+    """The versions that each complete commit names, by number."""
+    found = {}
+    for name in _listed(spark, f"{root}/commits"):
+        if name.endswith(".json") and name[:-5].isdigit():
+            with contextlib.suppress(ValueError, TypeError):  # an unfinished file is not a commit
+                found[int(name[:-5])] = json.loads("".join(r.value for r in spark.read.text(f"{root}/commits/{name}").collect()))["versions"]
+    return found
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
@@ -97,24 +170,24 @@ def commit(spark: SparkSession, root: str, names: list[str]) -> None:
 
 
 def read_versions(spark: SparkSession, root: str, names: list[str]) -> Corpus:
-    """The corpus of the given versions: their rows, without the sessions that a later one replaced."""
-    paths = lambda table: [f"{root}/{v}/{table}" for v in names]
-    rows = {t: spark.read.parquet(*paths(t)) for t in ("sessions", "removed", "entries", "blobs", "bodies", "skipped")}
-    live = lambda t: rows[t].join(rows["removed"].distinct(), "session_id", "left_anti")
+    """The corpus of the given versions: their rows, without the sessions that a later one replaced. Each table is one scan of all its versions."""
+    paths = lambda table: [f"{root}/{table}/{v}" for v in names]
+    rows = {t: spark.read.parquet(*paths(t)) for t in ("sessions", "removed", "blobs", "skipped")}
+    live = lambda df: df.join(rows["removed"].distinct(), "session_id", "left_anti")
     return Corpus(
-        live("sessions"), live("entries"), summed_blobs(rows["blobs"]), rows["bodies"], rows["skipped"], read_postings(spark, *paths("postings")),
-        spark.read.parquet(f"{root}/{names[-1]}/imports"),
+        live(rows["sessions"]), live(read_homes(spark, ENTRIES, *paths("entries"))), summed_blobs(rows["blobs"]), read_homes(spark, BODIES, *paths("bodies")), rows["skipped"],
+        read_postings(spark, *paths("postings")), spark.read.parquet(f"{root}/imports/{names[-1]}"), read_terms(spark, *paths("terms")),
     )
 
 
-def read_snapshot(spark: SparkSession, root: str) -> Corpus | None:
-    """The corpus as of the last commit; None before the first."""
-    names = versions(spark, root)
+def read_snapshot(spark: SparkSession, root: str, number: int | None = None) -> Corpus | None:
+    """The corpus as of the last commit, or of an earlier one; None before the first."""
+    names = versions(spark, root) if number is None else commits(spark, root)[number]
     return read_versions(spark, root, names) if names else None
 
 
 def write_snapshot(corpus: Corpus, root: str) -> str:
-    """Write a whole corpus as one new version and commit it alone: a first version, or many small ones made one (compaction)."""
+    """Write a whole corpus as one new version and commit it alone: a first version, or all made one."""
     spark = corpus.sessions.sparkSession
     nothing = corpus.sessions.select("session_id").limit(0)
     delta = Delta(corpus.sessions, nothing, corpus.entries, corpus.blobs, corpus.bodies, corpus.skipped, corpus.postings)
@@ -122,3 +195,38 @@ def write_snapshot(corpus: Corpus, root: str) -> str:
     version = write_delta(delta, imports, root, corpus.postings)
     commit(spark, root, [version])
     return version
+
+
+def level_of(version: str) -> int:
+    return int(version.removeprefix("v=").split("-")[0])
+
+
+def settle(spark: SparkSession, root: str) -> list[str]:
+    """Merge the last versions by level until fewer than ``FANOUT`` of one level stand at the end; each merge is a commit of its own."""
+    names = versions(spark, root)
+    while len(names) >= FANOUT and len({level_of(v) for v in names[-FANOUT:]}) == 1:
+        older, group = names[:-FANOUT], names[-FANOUT:]
+        merged = read_versions(spark, root, group)
+        removed = spark.read.parquet(*[f"{root}/removed/{v}" for v in group]).distinct()
+        removed = removed if older else removed.limit(0)  # what it names was in the group itself, or is in older versions
+        delta = Delta(merged.sessions, removed, merged.entries, merged.blobs, merged.bodies, merged.skipped, merged.postings)
+        names = [*older, write_delta(delta, merged.imports, root, merged.postings, level_of(group[-1]) + 1)]
+        commit(spark, root, names)
+    return names
+
+
+def vacuum(spark: SparkSession, root: str, keep: int | None = None) -> list[str]:
+    """Delete what no commit names: versions and work of imports that failed; with ``keep``, first all but the last commits. Returns the versions deleted.
+
+    The writer calls it between imports. Readers of a commit that is dropped have to be done.
+    """
+    found = commits(spark, root)
+    for number in sorted(found)[: max(0, len(found) - keep)] if keep else []:
+        delete(spark, f"{root}/commits/{number:012d}.json")
+        del found[number]
+    named = {v for names in found.values() for v in names}
+    gone = sorted({v for table in TABLES for v in _listed(spark, f"{root}/{table}")} - named)
+    for v in gone:
+        delete_version(spark, root, v)
+    delete(spark, f"{root}/work")
+    return gone

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sessionlake.operators.ingest import IMPORTS, BundleRefused, Corpus, Delta, bundle_digest, bundle_violations, import_delta, import_ledger
 from sessionlake.operators.requests import ABANDONED, DIMENSIONS, STATE, step
-from sessionlake.sources.bundles import commit, delete, read_bundle, read_versions, versions, write_delta
+from sessionlake.sources.bundles import commit, delete, delete_version, read_bundle, read_versions, settle, vacuum, versions, write_delta
 
 
 def stream_request_counts(requests: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -53,8 +53,10 @@ def stream_upload_state(events: DataFrame, ttl: int = 86_400_000) -> DataFrame:
 def ingest_one(spark: SparkSession, root: str, bundle: str, person: str, allow: DataFrame | None, empty: Callable[[], Corpus], now: str | None = None) -> str:
     """Import one bundle into the snapshot at ``root``: ``imported``, or ``replayed`` if the ledger has it, when only its row is renewed.
 
-    A bundle that breaks a rule is refused as a whole (``BundleRefused``); that and any failure leave the snapshot as it was.
+    A bundle that breaks a rule is refused as a whole (``BundleRefused``); that and any failure leave the snapshot as it was, and nothing behind: what an import
+    has written is deleted when it fails, and what a lost driver left is deleted by the next. Versions are merged by level as they gather.
     """
+    vacuum(spark, root)
     names = versions(spark, root)
     corpus = read_versions(spark, root, names) if names else empty()
     sessions, entries, bodies = read_bundle(spark, bundle)
@@ -66,6 +68,7 @@ def ingest_one(spark: SparkSession, root: str, bundle: str, person: str, allow:
         renewed = import_ledger(imports, person, digest, sessions, corpus.sessions, old["imported_at"])
         none = Delta(*[getattr(corpus, t).limit(0) if t != "removed" else corpus.sessions.select("session_id").limit(0) for t in ("sessions", "removed", "entries", "blobs", "bodies", "skipped", "postings")])
         commit(spark, root, [*names, write_delta(none, renewed, root)])
+        settle(spark, root)
         return "replayed"
     wrong = bundle_violations(corpus, sessions, entries, bodies, allow).orderBy("violation", "subject").limit(5).collect()
     if wrong:
@@ -76,11 +79,19 @@ def ingest_one(spark: SparkSession, root: str, bundle: str, person: str, allow:
         df.write.parquet(work)
         return spark.read.schema(df.schema).parquet(work)
 
-    delta = import_delta(corpus, sessions, entries, bodies, person, allow, keep)
-    counts = delta.sessions.agg(F.count("*").alias("sessions_kept")).join(delta.skipped.agg(F.count("*").alias("sessions_skipped")))  # one row each
-    row = counts.select(F.lit(person).alias("person"), F.lit(digest).alias("archive_sha256"), F.lit(at).alias("imported_at"), "sessions_kept", "sessions_skipped")
-    commit(spark, root, [*names, write_delta(delta, imports.unionByName(row), root)])
-    delete(spark, work)
+    try:
+        delta = import_delta(corpus, sessions, entries, bodies, person, allow, keep)
+        counts = delta.sessions.agg(F.count("*").alias("sessions_kept")).join(delta.skipped.agg(F.count("*").alias("sessions_skipped")))  # one row each
+        row = counts.select(F.lit(person).alias("person"), F.lit(digest).alias("archive_sha256"), F.lit(at).alias("imported_at"), "sessions_kept", "sessions_skipped")
+        version = write_delta(delta, imports.unionByName(row), root)
+        try:
+            commit(spark, root, [*names, version])
+        except BaseException:
+            delete_version(spark, root, version)
+            raise
+    finally:
+        delete(spark, work)
+    settle(spark, root)
     return "imported"
 
 

@@ -292,3 +292,77 @@ def test_quota_looks_at_failed_uploads(spark):
     asked = spark.createDataFrame([("a", "p", 40), ("b", "p", 999), ("c", "q", 100), ("a", "q", 11), ("new", "r", 101), ("new", "p", 0)], "upload_id string, owner string, nbytes long")
     got = requests.quota_violations(uploads, asked, 100)
     assert sorted(map(tuple, got.select("upload_id", "owner", "pending_bytes", "asked_bytes").collect())) == [("a", "q", 90, 11), ("new", "p", 110, 0), ("new", "r", 0, 101)]
+
+
+def _scans(df):
+    """The files that each scan of a finished query has read, by the name of the table's folder."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    found, nodes = {}, [plan]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "FileSourceScanExec":
+            path = node.relation().location().rootPaths().head().toString()
+            files = node.metrics().get("numFiles").get().value()
+            found.setdefault(path.split("/corpus/")[1].split("/")[0], []).append(files)
+        children = [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        nodes += children
+    return found
+
+
+def test_search_reads_matched_homes_only(spark, tmp_path):
+    """Postings by bucket; entries and bodies in the homes of the bodies that hold all words."""
+    texts = [f"common words and rare{i} ones, twice rare{i} ones" for i in range(120)] + ["common rare7 here", "common alone"]
+    s, e, b = session(spark, *[(i, f"u{i}", None, "r", [x]) for i, x in enumerate(texts)])
+    bundles.write_snapshot(ingest.merge_import(empty(spark), s, e, b, PERSON, None), str(tmp_path / "corpus"))
+    corpus = bundles.read_snapshot(spark, str(tmp_path / "corpus"))
+    for query, want in {"common rare7": {7, 120}, '"rare9 ones"': {9}, '"ones twice rare5 ones"': {5}, "rare7 rare8": set(), "nowhere": set(), '"ones rare9"': set()}.items():
+        found = search.search_corpus(corpus, query)
+        assert {r.session_id for r in found.collect()} == want, query
+        read = _scans(found)
+        homes = {r.home for r in corpus.bodies.where(F.col("blob_hash").isin([r.blob_hash for r in e.where(F.col("session_id").isin(list(want) or [-1])).collect()])).collect()}
+        assert sum(read.get("entries", [])) <= max(len(homes), 4) and sum(read.get("bodies", [])) <= max(len(homes), 4), (query, read, homes)
+    every = _scans(search.search_corpus(corpus, "common"))
+    assert every["entries"] == [32]
+    rows = {r.term: r for r in corpus.terms.collect()}
+    assert rows["common"].df == 122 and len(rows["common"].homes) == 32 and rows["rare9"].df == 1
+
+
+def test_versions_are_merged_by_level(spark, tmp_path):
+    """Many imports leave few versions; older commits still read; what fails between write and commit leaves nothing."""
+    root = str(tmp_path / "corpus")
+    tables = {t: tmp_path / "corpus" / t for t in bundles.TABLES}
+    corpus, names = empty(spark), []
+    for n in range(5):
+        s, e, b = session(spark, (100 + n, f"u{n % 3}", f"2026-01-0{1 + n}T00:00:00Z", "r", ["same", f"text {n}"]))
+        before = bundles.read_versions(spark, root, names) if names else corpus
+        imports = spark.createDataFrame([(PERSON, f"d{n}", f"t{n}", 1, 0)], ingest.IMPORTS)
+        imports = before.imports.unionByName(imports) if names else imports
+        version = bundles.write_delta(ingest.import_delta(before, s, e, b, PERSON, None), imports, root)
+        bundles.commit(spark, root, [*names, version])
+        names = bundles.settle(spark, root)
+        assert len(names) < bundles.FANOUT
+    assert [bundles.level_of(v) for v in names] == [1, 0]
+    now = bundles.read_snapshot(spark, root)
+    assert sorted(r.session_id for r in now.sessions.collect()) == [102, 103, 104] and now.imports.count() == 5
+    assert {r.blob_hash: r.nrefs for r in now.blobs.collect()} == {T_sha("same"): 3} | {T_sha(f"text {n}"): int(n > 1) for n in range(5)}
+    assert {r.session_id for r in search.search_corpus(now, "'text 3'").collect()} == {103} and now.bodies.count() == 6
+    past = bundles.commits(spark, root)
+    early = bundles.read_snapshot(spark, root, min(past))
+    assert [r.session_id for r in early.sessions.collect()] == [100]
+    kept = bundles.read_snapshot(spark, root, sorted(past)[-2])
+    bundles.vacuum(spark, root, keep=2)
+    assert sorted(bundles.commits(spark, root)) == sorted(past)[-2:] and kept.sessions.count() >= 1
+    held = {v for names_ in bundles.commits(spark, root).values() for v in names_}
+    assert all({p.name for p in at.iterdir() if p.name.startswith("v=")} == held for at in tables.values())
+    left = {t: sorted(p.name for p in at.iterdir()) for t, at in tables.items()}
+    broken = ingest.import_delta(now, *session(spark, (200, "u9", None, "r", ["x"])), PERSON, None)
+    bad = broken.skipped.withColumn("reason", F.raise_error(F.lit("lost")).cast("string")).unionByName(spark.createDataFrame([("p", "r", "c")], "export_path string, reason string, cwd string").withColumn("reason", F.raise_error(F.lit("lost")).cast("string")))
+    with pytest.raises(Exception, match="lost"):
+        bundles.write_delta(ingest.replace(broken, skipped=bad), now.imports, root)
+    assert left == {t: sorted(p.name for p in at.iterdir()) for t, at in tables.items()}
+    written = bundles.write_delta(broken, now.imports, root)  # and then the driver is lost before the commit
+    assert bundles.vacuum(spark, root) == [written] and bundles.read_snapshot(spark, root).sessions.count() == 3
+    assert left == {t: sorted(p.name for p in at.iterdir()) for t, at in tables.items()}
