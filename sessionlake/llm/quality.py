@@ -5,11 +5,11 @@ A document becomes ``len(STATISTICS)`` numbers, computed over its whole text. Th
 part of the normal equations; the sum is solved for ridge weights. Raw scores are then calibrated to probabilities by
 pooling adjacent violators over score bins.
 
-Scale. Scoring maps the documents once. Learning uses a sample of labelled rows whose size is bounded by ``most_rows``; a
-sampled text becomes statistics where it is read, and only statistics, partition sums and bin counts move.
+Scale. Scoring maps the documents once. Learning draws ``most_rows`` labelled rows at most, by a hash of id, text and label; only ids and text hashes move for
+that, and statistics are computed of the drawn texts only. Then only statistics, partition sums and bin counts move.
 
 Defined results. Null counts as empty; empty texts get the score of their statistics (all zero). Texts of any length are read whole. Rows with
-a null label or id teach nothing; a row with several labels teaches each. Without labelled rows every score is 0.5 (predicted 1). A score of
+a null label or id teach nothing; a row with several labels teaches each, repeated rows teach once. Without labelled rows every score is 0.5 (predicted 1). A score of
 exactly 0.5 is predicted 1. Repeated rows and null ids stay, an empty table gives no rows, columns other than those named are ignored.
 """
 
@@ -68,15 +68,16 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and stats array<double> of every row."""
+def document_statistics(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, stats array<double> and the columns ``also`` of every row."""
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_batch(batches):
             stats = [statistics(t) for t in raw(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64())), *batch.columns[2:]], ["doc_id", "stats", *also])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, stats array<double>")
+    return docs.select("doc_id", "text", *also).mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", "stats array<double>", *[f"{c} {kinds[c]}" for c in also]]))
 
 
 @dataclass
@@ -136,12 +137,13 @@ def _added(rows: list, i: int, shape: tuple[int, ...]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, partitions: int = 8) -> Model | None:
     """A model from rows of doc_id and text, and labels of doc_id and label (0 or 1)."""
-    labels = labels.select("doc_id", F.col("label").cast("double").alias("label")).where("doc_id is not null and label is not null")
-    n = labels.count()
-    share = min(1.0, most_rows / max(n, 1))
-    mine = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = document_statistics(docs.where(mine)).join(labels.where(mine), "doc_id").select("doc_id", "stats", "label")
-    rows = stored(rows.repartition(partitions, "doc_id").sortWithinPartitions("doc_id", "label"), "quality-rows")
+    labels = labels.select("doc_id", F.col("label").cast("double").alias("label")).where("doc_id is not null and label is not null").distinct()
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    known = keyed.select("doc_id", "h").join(labels, "doc_id").distinct()  # narrow; a repeated row counts once
+    drawn = stored(known.orderBy(F.xxhash64("doc_id", "h", "label", F.lit("sample")), "doc_id", "h", "label").limit(most_rows), "quality-drawn")
+    chosen = keyed.join(F.broadcast(drawn), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "label"])  # most_rows narrow rows
+    rows = document_statistics(chosen, "h", "label")
+    rows = stored(rows.repartition(partitions, "doc_id", "h").sortWithinPartitions("doc_id", "h", "label"), "quality-rows")
     k = len(STATISTICS)
     got = _sums(rows, lambda s, y: [np.array([len(s)]), s.sum(0), (s * s).sum(0)], "s0 binary, s1 binary, s2 binary")
     if not got:

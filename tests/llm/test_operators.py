@@ -339,6 +339,44 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_long_urls_and_rules(spark):
+    """A path of ten million characters, a host of ten thousand labels and rules of thousands: work and memory are linear in them."""
+    deep = ".".join(["l"] * 10_000) + ".example.com"
+    long_rule = "/en/" + "ab" * 10_000
+    rules = [*url_filter.RULES, ("block", "example.com", long_rule), ("allow", "example.com", long_rule + "c"), ("block", "l.example.com", "/"), ("allow", "", "/zz")]
+    pages = spark.createDataFrame([(1, "http://example.com", "/en/7"), (2, f"http://{deep}", "/x"), (3, "http://example.com", long_rule), (4, "http://example.com", long_rule + "c"), (5, "http://org", "/es/")], "page_id long, a string, b string")
+    urls = pages.select("page_id", F.concat("a", "b", F.when(F.col("page_id") == 4, "").otherwise(F.repeat(F.lit("y"), F.when(F.col("page_id").isin(1, 5), 10_000_000).otherwise(3)))).alias("url"))
+    got = {r.page_id: (r.n, r.rule, r.verdict) for r in url_filter.filter_urls(urls, url_filter.rule_table(spark, rules)).select("page_id", F.length("path").alias("n"), "rule", "verdict").collect()}
+    assert got == {
+        1: (10_000_005, "example.com/en/7", "allow"), 2: (5, "l.example.com/", "block"), 3: (20_007, f"example.com{long_rule}", "block"),
+        4: (20_005, f"example.com{long_rule}c", "allow"), 5: (10_000_004, "org/es/", "block"),
+    }
+
+
+def test_quality_learns_from_drawn_rows_only(spark, monkeypatch):
+    """An id that many rows share can't break the bound, and statistics are computed of the drawn texts only."""
+    docs = spark.createDataFrame([(i % 3, f"text number {i} says a word") for i in range(600)] + [(5, "same")] * 200 + [(i, "without a label") for i in range(1000, 1400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, 0), (5, 0), (5, 0)], "doc_id long, label int")
+    computed, plain = [], quality.document_statistics
+    monkeypatch.setattr(quality, "document_statistics", lambda chosen, *also: computed.append(chosen.count()) or plain(chosen, *also))
+    quality.train(docs, labels, most_rows=50)
+    quality.train(docs, labels)
+    assert computed == [50, 801]  # a repeated row once for each label; id 0 has two labels
+
+
+def test_quality_with_long_and_empty_texts(spark, odd):
+    docs = table(spark, odd + [(90, "w " * 300_000)])
+    labels = spark.createDataFrame([(1, 1), (6, 0), (10, 1), (90, 0)], "doc_id long, quality int")
+    got = quality.classify(docs, labels)
+    assert got.count() == len(odd) + 1 and got.where("score < 0 or score > 1 or score is null").count() == 0
+
+
+def test_language_with_long_and_odd_texts(spark, odd):
+    docs = table(spark, odd + [(90, "wort " * 100_000)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en"))
+    got = {(r.doc_id, r.lang_pred, 0 <= r.score <= 1) for r in language_id.identify(docs).collect()}
+    assert len(got) >= 20 and all(ok for *_, ok in got) and {p for i, p, _ in got if i in (3, 4, 7)} == {"und"} and {p for _, p, _ in got} <= {"de", "en", "und"}
+
+
 def test_quality(spark):
     rnd = random.Random(6)
     good = lambda: " ".join(rnd.choice(["the", "river", "stone", "walks", "under", "bright"]) + rnd.choice(["", ",", "."]) for _ in range(rnd.randint(20, 90)))
