@@ -13,15 +13,14 @@ each sketch in order of frequency one of the first ``K - LEAST + 1`` is common t
 many texts share stays out of them unless it is most of a text. Within a list each point is paired with the list's hub, the point whose lists are longest in
 sum; the pairs' overlaps are counted over all lists, the estimate filters them, the exact sets verify them, and links are contracted.
 
-Of a large group of edited copies many aren't linked to its hub but to some others. So in ``ROUNDS`` rounds each point of a list that still holds several
-groups meets a drawn member of that list's largest group, another one in each list and round: one pair per point and list, again estimated, verified
-and contracted.
+Of a large group of edited copies many aren't linked to its hub but to some others. So each point of a list that still holds several
+groups meets a drawn member of that list's largest group, another one in each list: again estimated, verified and contracted.
 
 Lists that hold several groups after that don't tell which of their other pairs are links. Their points are joined by prefix filtering over full
 sets (``near_copies.by_prefix``), which pairs only texts of different groups that share one of their rarest shingles, and is exact.
 
 Scale. Sets are computed again from the texts, for points with a list in common with others only, and are shuffled once per pair. No group is
-collected, no list is paired with itself; hubs and drawn members give one pair per point, list and round. Joins at hot lists or copies are such as Spark can split.
+collected, no list is paired with itself; hubs and drawn members give two pairs per point and list. Joins at hot lists or copies are such as Spark can split.
 
 Defined results. Texts without words have an empty set and are linked with nothing. A null doc_id is never the smallest; a component of null
 ids only has a null id, and its rows are kept. Repeated rows stay, an empty table gives no rows, texts of any length are read whole, other columns are ignored, whatever
@@ -45,7 +44,6 @@ from sessionlake.llm.simhash import components
 
 SHARE = (17, 20)
 K, LEAST = 64, 35
-ROUNDS = 2
 _TOP = np.uint64(1 << 63)
 
 
@@ -138,13 +136,12 @@ def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(rooted.join(mixed.hint("merge"), "v", "left_semi"), "minhash-mixed")
 
 
-def _meetings(mixed: DataFrame, number: int) -> DataFrame:
-    """a > b: each point with one of the largest group of each of its lists, another one in each list and round."""
-    drawn = F.struct(F.xxhash64("row", "v", F.lit(number)).alias("draw"), "row")
-    groups = mixed.groupBy("v", "root").agg(F.count("*").alias("size"), F.min(drawn).alias("one"))
-    hosts = stored(groups.groupBy("v").agg(F.max(F.struct("size", (-F.col("root")).alias("least"), "one")).alias("host")), "minhash-hosts")
-    hosts = hosts.select("v", (-F.col("host.least")).alias("host_root"), F.col("host.one.row").alias("host"))
-    met = mixed.join(hosts.hint("merge"), "v").where("root <> host_root")
+def _meetings(mixed: DataFrame) -> DataFrame:
+    """a > b: each point with a drawn member of the largest group of each of its lists, another one in each list."""
+    groups = mixed.groupBy("v", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("row", "v").alias("draw"), "row"))["row"].alias("host"))
+    largest = stored(groups.groupBy("v").agg(F.max(F.struct("size", (-F.col("root")).alias("least"), "host")).alias("one")), "minhash-hosts")
+    largest = largest.select("v", (-F.col("one.least")).alias("host_root"), "one.host")
+    met = mixed.join(largest.hint("merge"), "v").where("root <> host_root")
     return met.select(F.greatest("row", "host").alias("a"), F.least("row", "host").alias("b")).distinct()
 
 
@@ -153,16 +150,13 @@ def links(points: DataFrame, docs: DataFrame) -> DataFrame:
     pairs, mixed = overlaps(inverted_lists(points))
     shared = mixed.select("row").distinct()
     sets = stored(full_sets(docs, points.join(shared.hint("merge"), "row", "left_semi")), "minhash-sets")
-    roots, tried = None, None
-    for number in range(ROUNDS + 1):
-        passed = stored(estimated(stored(pairs, "minhash-pairs"), points), "minhash-tried")
-        found = verified(passed, sets, SHARE)
-        found = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        tried = passed if tried is None else tried.unionByName(passed)
-        roots = stored(components(stored(found, "minhash-links")), "minhash-roots")
-        mixed = _rooted(mixed, roots)
-        if number < ROUNDS:
-            pairs = _meetings(mixed, number).join(tried.hint("merge"), ["a", "b"], "left_anti")
+    tried = stored(estimated(stored(pairs, "minhash-pairs"), points), "minhash-tried")
+    found = stored(verified(tried, sets, SHARE), "minhash-links")
+    mixed = _rooted(mixed, stored(components(found), "minhash-roots"))
+    met = stored(estimated(_meetings(mixed).join(tried.hint("merge"), ["a", "b"], "left_anti"), points), "minhash-met")
+    found = stored(found.unionByName(verified(met, sets, SHARE)), "minhash-links")
+    roots = stored(components(found), "minhash-roots")
+    mixed, tried = _rooted(mixed.select("v", "row"), roots), tried.unionByName(met)
     left = stored(mixed.select("row", "root").distinct(), "minhash-left")
     rest = by_prefix(sets.join(left.hint("merge"), "row").select("row", "root", F.size("shingles").alias("n"), "shingles"), SHARE)
     rest = stored(rest.join(tried.hint("merge"), ["a", "b"], "left_anti"), "minhash-rest")
