@@ -109,15 +109,18 @@ def inverted_lists(points: DataFrame) -> DataFrame:
 
 
 def overlaps(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs a > b of a point and a hub with the number of lists that name them, v and row of all lists of two points or more)."""
+    """(pairs a > b of a point and a hub with the number of lists that name them; v, row and score of all lists of two points or more).
+
+    A point's score is the sum of its lists' lengths: in a group of edited copies the greater, the fewer edits it has.
+    """
     lists = stored(lists, "minhash-prefixes")
     sizes = lists.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(lists.join(sizes.hint("merge"), "v").select("row", "v", "size"), "minhash-shared")
-    scored = shared.join(shared.groupBy("row").agg(F.sum("size").alias("score")).hint("merge"), "row")
+    scored = stored(shared.join(shared.groupBy("row").agg(F.sum("size").alias("score")).hint("merge"), "row"), "minhash-scored")
     hubs = scored.groupBy("v").agg((-F.max(F.struct("score", (-F.col("row")).alias("least")))["least"]).alias("hub"))
     named = shared.join(stored(hubs, "minhash-hubs").hint("merge"), "v").where("row <> hub")
     pairs = named.groupBy(F.greatest("row", "hub").alias("a"), F.least("row", "hub").alias("b")).agg(F.count("*").alias("overlap"))
-    return pairs, shared.select("v", "row")
+    return pairs, scored.select("v", "row", "score")
 
 
 def estimated(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -129,16 +132,18 @@ def estimated(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """v, row and root of the lists that hold several groups."""
-    rooted = lists.select("v", "row").join(roots.withColumnRenamed("node", "row").hint("merge"), "row", "left")
-    rooted = stored(rooted.select("v", "row", F.coalesce("root", "row").alias("root")), "minhash-rooted")
+    """v, row, score and root of the lists that hold several groups."""
+    rooted = lists.select("v", "row", "score").join(roots.withColumnRenamed("node", "row").hint("merge"), "row", "left")
+    rooted = stored(rooted.select("v", "row", "score", F.coalesce("root", "row").alias("root")), "minhash-rooted")
     mixed = rooted.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("v")
     return stored(rooted.join(mixed.hint("merge"), "v", "left_semi"), "minhash-mixed")
 
 
 def _meetings(mixed: DataFrame) -> DataFrame:
-    """a > b: each point with a drawn member of the largest group of each of its lists, another one in each list."""
-    groups = mixed.groupBy("v", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("row", "v").alias("draw"), "row"))["row"].alias("host"))
+    """a > b: each point with a member of the largest group of each of its lists: the one of greatest score among a drawn eighth of that list."""
+    drawn = F.pmod(F.xxhash64("row", "v"), F.lit(8)) == 0
+    groups = mixed.groupBy("v", "root").agg(F.count("*").alias("size"), F.max(F.struct(drawn.alias("drawn"), "score", (-F.col("row")).alias("least"))).alias("best"))
+    groups = groups.select("v", "root", "size", (-F.col("best.least")).alias("host"))
     largest = stored(groups.groupBy("v").agg(F.max(F.struct("size", (-F.col("root")).alias("least"), "host")).alias("one")), "minhash-hosts")
     largest = largest.select("v", (-F.col("one.least")).alias("host_root"), "one.host")
     met = mixed.join(largest.hint("merge"), "v").where("root <> host_root")
@@ -156,7 +161,7 @@ def links(points: DataFrame, docs: DataFrame) -> DataFrame:
     met = stored(estimated(_meetings(mixed).join(tried.hint("merge"), ["a", "b"], "left_anti"), points), "minhash-met")
     found = stored(found.unionByName(verified(met, sets, SHARE)), "minhash-links")
     roots = stored(components(found), "minhash-roots")
-    mixed, tried = _rooted(mixed.select("v", "row"), roots), tried.unionByName(met)
+    mixed, tried = _rooted(mixed, roots), tried.unionByName(met)
     left = stored(mixed.select("row", "root").distinct(), "minhash-left")
     rest = by_prefix(sets.join(left.hint("merge"), "row").select("row", "root", F.size("shingles").alias("n"), "shingles"), SHARE)
     rest = stored(rest.join(tried.hint("merge"), ["a", "b"], "left_anti"), "minhash-rest")
