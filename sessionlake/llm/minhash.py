@@ -14,13 +14,13 @@ many texts share stays out of them unless it is most of a text. Within a list ea
 sum; the pairs' overlaps are counted over all lists, the estimate filters them, the exact sets verify them, and links are contracted.
 
 Of a large group of edited copies many aren't linked to its hub but to some others. So each point of a list that still holds several
-groups meets a drawn member of that list's largest group, another one in each list: again estimated, verified and contracted.
+groups meets a member of that list's largest group: of a drawn eighth, another one in each list, the member whose lists are longest in sum. Again estimated, verified and contracted.
 
 Lists that hold several groups after that don't tell which of their other pairs are links. Their points are joined by prefix filtering over full
 sets (``near_copies.by_prefix``), which pairs only texts of different groups that share one of their rarest shingles, and is exact.
 
 Scale. Sets are computed again from the texts, for points with a list in common with others only, and are shuffled once per pair. No group is
-collected, no list is paired with itself; hubs and drawn members give two pairs per point and list. Joins at hot lists or copies are such as Spark can split.
+collected, no list is paired with itself; hubs and met members give two pairs per point and list. Joins at hot lists or copies are such as Spark can split.
 
 Defined results. Texts without words have an empty set and are linked with nothing. A null doc_id is never the smallest; a component of null
 ids only has a null id, and its rows are kept. Repeated rows stay, an empty table gives no rows, texts of any length are read whole, other columns are ignored, whatever
