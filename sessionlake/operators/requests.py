@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,31 +33,30 @@ def request_counts(requests: DataFrame, since: str | None = None) -> DataFrame:
 def latency_quantiles(requests: DataFrame, fractions: dict[str, float] | None = None) -> DataFrame:
     """One row: the value at place floor((n - 1) f) of the sorted durations, to three digits, and the largest; null without requests.
 
-    Durations are counted by value first, so the sort that numbers them is over different values only.
+    The log is read once: a checkpointed histogram in ranges of the duration tells the range of each place, and one pass over those ranges picks all of them.
     """
     fractions = fractions or {"p50": 0.5, "p95": 0.95}
+    context = requests.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir"):
+        context.setCheckpointDir(f"{requests.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     values = requests.where("duration_ms is not null").groupBy("duration_ms").agg(F.count("*").alias("n"))
-    parts = values.repartitionByRange("duration_ms").withColumn("part", F.spark_partition_id())
-    sums = parts.groupBy("part").agg(F.sum("n").alias("size"), F.max("duration_ms").alias("last"))
-    before = Window.partitionBy(F.lit(0)).orderBy("last").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    offsets = sums.select("last", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    rows = offsets.orderBy("last").collect()  # one row for each shuffle partition
+    histogram = values.repartitionByRange("duration_ms").withColumn("part", F.spark_partition_id()).checkpoint()
+    rows = histogram.groupBy("part").agg(F.sum("n").alias("size"), F.max("duration_ms").alias("last")).orderBy("last").collect()  # one row for each shuffle partition
     total = sum(r["size"] for r in rows)
     if not total:
         return requests.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(k) for k in (*fractions, "max")])
-    picks = []
-    for name, f in fractions.items():
-        place = int((total - 1) * f)
-        r = next(r for r in rows if r["offset"] + r["size"] > place)
-        low = max((x["last"] for x in rows if x["last"] < r["last"]), default=None)
-        inside = values.where(F.col("duration_ms") <= r["last"])
-        inside = inside.where(F.col("duration_ms") > low) if low is not None else inside
-        running = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))  # one part
-        picks.append(inside.withColumn("upto", running + r["offset"]).where(F.col("upto") > place).agg(F.round(F.min("duration_ms"), 3).alias(name)))
-    out = picks[0]
-    for p in picks[1:]:
-        out = out.join(p)  # one row each
-    return out.join(values.agg(F.round(F.max("duration_ms"), 3).alias("max")))
+    ends = list(accumulate(r["size"] for r in rows))
+    places = {name: int((total - 1) * f) for name, f in fractions.items()}
+    ranges = {name: next(i for i, end in enumerate(ends) if end > place) for name, place in places.items()}
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))
+    inside = histogram.where(F.col("part").isin([rows[i]["part"] for i in set(ranges.values())])).withColumn("upto", running)
+
+    def pick(name: str) -> Column:
+        r = rows[ranges[name]]
+        within = places[name] - (ends[ranges[name]] - r["size"])
+        return F.round(F.min(F.when((F.col("part") == r["part"]) & (F.col("upto") > within), F.col("duration_ms"))), 3).alias(name)
+
+    return inside.agg(*map(pick, fractions), F.round(F.lit(rows[-1]["last"]), 3).alias("max"))
 
 
 def retain_latest(requests: DataFrame, n: int) -> DataFrame:

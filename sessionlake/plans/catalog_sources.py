@@ -5,6 +5,7 @@ The transcripts, stores and logs that they read are derived from the driver's ta
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -236,6 +237,20 @@ def _(spark, sf_dir):
     return S.read_raw_lines(spark, path).select(part.alias("part"), F.col("line_no").cast("long").alias("line_no"), "valid", F.sha2(text, 256).alias("text_sha"))
 
 
+@register("read_changed_files", f"SELECT conv_id % 32 AS part, count(*) AS n FROM {_CONV} AND conv_id % 2 = 0 GROUP BY 1", plain=True)
+def _(spark, sf_dir):
+    """Files of 32 parts, the odd ones last written years ago: an export of what changed since doesn't open those."""
+    t, path = _turns(spark, sf_dir).withColumn("part", F.col("conv_id") % 32), _scratch(spark, "changed")
+    lines = t.select("part", _json(id=F.col("conv_id"), role=F.col("role"), text=F.col("text")).alias("value"))
+    lines.repartition(32, "part").write.partitionBy("part").text(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(hadoop.Path(f"{path}/part=*[13579]/*.txt")):  # 16 files or few more
+        files.setTimes(found.getPath(), 1_577_836_800_000, -1)
+    part = F.regexp_extract("file_path", "part=([0-9]+)", 1).cast("long")
+    return S.read_raw_lines(spark, path, since=datetime(2021, 1, 1, tzinfo=UTC)).groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+
+
 @register(
     "classify_transcript_paths",
     """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'codex' WHEN 1 THEN 'cursor' ELSE 'claude' END AS source, page_id % 4 = 2 AS is_subagent, page_id % 8 = 0 AS is_archived FROM pages""",

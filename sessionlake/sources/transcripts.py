@@ -8,6 +8,7 @@ are dropped (``valid`` tells).
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,12 +20,18 @@ from sessionlake.functions.text import nonempty, sort_ts, strip_noise
 MOST_INPUT = 2000
 
 
-def read_raw_lines(spark: SparkSession, *paths: str) -> DataFrame:
+def read_raw_lines(spark: SparkSession, *paths: str, since: datetime | None = None) -> DataFrame:
     """file_path, file_mtime, file_size, line_no (from 0), line and valid of every line that isn't blank.
 
-    Files are read in splits; lines are numbered by the place of their split and their order in it.
+    Files are read in splits; lines are numbered by the place of their split and their order in it. With ``since`` (a time with its zone) files last written
+    before it, which can't hold a session that ends later, are left out when files are listed, and not opened.
     """
-    read = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(list(paths))
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
+    if since:
+        before = since.astimezone(UTC).replace(microsecond=0) - timedelta(seconds=1)  # modifiedAfter takes whole seconds, without the second itself
+        reader = reader.option("modifiedAfter", f"{before:%Y-%m-%dT%H:%M:%S}").option("timeZone", "UTC")
+    read = reader.text(list(paths))
+    read = read.where(F.col("_metadata.file_modification_time") >= F.lit(since)) if since else read
     m = F.col("_metadata")
     lines = read.select(
         m.file_path.alias("file_path"), m.file_modification_time.alias("file_mtime"), m.file_size.alias("file_size"),

@@ -144,6 +144,10 @@ def test_latency(spark):
     three = spark.createDataFrame([(2.0,), (3.0,), (4.0,)], "duration_ms double")
     assert tuple(requests.latency_quantiles(three).first()) == (3.0, 3.0, 4.0)
     assert tuple(requests.latency_quantiles(three.limit(0)).first()) == (None, None, None)
+    many = spark.range(1000).selectExpr("if(id % 3 = 0, null, cast(id % 250 as double) / 8) as duration_ms")
+    known = sorted(r.duration_ms for r in many.where("duration_ms is not null").collect())
+    at = lambda f: round(known[int((len(known) - 1) * f)], 3)
+    assert tuple(requests.latency_quantiles(many, {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}).first()) == (*map(at, (0.0, 0.5, 0.95, 0.99, 1.0)), known[-1])
 
 
 def test_upload_states(spark):

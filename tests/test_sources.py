@@ -220,3 +220,20 @@ def test_results_take_the_last_call_before_them(spark):
     assert time.time() - began < 15 and len(got) == len(rows)
     assert all(got["f", 2 * i + 1] == f"call{i}" == got["f", 2 * i] for i in range(n))
     assert got["f", -1] is None and got["f", 9000] is None and got["g", 5] is None
+
+
+def test_old_files_are_not_opened(spark, tmp_path):
+    import os
+    from datetime import UTC, datetime
+
+    import pytest
+
+    (tmp_path / "new.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    (tmp_path / "old.jsonl.gz").write_bytes(b"not gzip")  # to open it is an error
+    edge = datetime(2024, 1, 1, tzinfo=UTC)
+    os.utime(tmp_path / "new.jsonl", (edge.timestamp(), edge.timestamp()))
+    os.utime(tmp_path / "old.jsonl.gz", (edge.timestamp() - 1, edge.timestamp() - 1))
+    rows = S.read_raw_lines(spark, str(tmp_path), since=edge).collect()
+    assert sorted((r.line_no, r.line) for r in rows) == [(0, '{"a": 1}'), (2, '{"a": 2}')]
+    with pytest.raises(Exception, match="FAILED_READ_FILE|old.jsonl.gz"):
+        S.read_raw_lines(spark, str(tmp_path)).collect()
