@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
 from sessionlake.operators import ingest, relevance, search
-from sessionlake.operators.requests import DIMENSIONS
+from sessionlake.operators.requests import ABANDONED, DIMENSIONS
 from sessionlake.plans.catalog import _bodies, _read, register
 from sessionlake.sources import bundles, stores
 from sessionlake.sources import transcripts as S
@@ -613,12 +613,12 @@ def _(t):
 # Streams over the tables: each runs until the table is read, into a table of the shared folder.
 
 
-def _drained(df: DataFrame, mode: str, at: str | None = None) -> DataFrame:
+def _drained(df: DataFrame, mode: str, at: str | None = None, timers: bool = False) -> DataFrame:
     spark, at = df.sparkSession, at or _scratch(df.sparkSession, "stream")
     query = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{at}/out")).outputMode(mode)
-    idle = "spark.sql.streaming.noDataMicroBatches.enabled"  # else timers keep a query going after its last row
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"  # processing-time timers keep a query going after its last row; those of event time are due by then
     before = spark.conf.get(idle)
-    spark.conf.set(idle, "false")
+    spark.conf.set(idle, str(timers).lower())
     try:
         running = query.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     finally:
@@ -653,6 +653,29 @@ def _(t):
     return _drained(ledger.stream_upload_state(_streamed(events)), "update").select("upload_id", "status")
 
 
+@register(
+    "stream_upload_expiry",
+    """SELECT 'u' || id // 4 AS upload_id, CASE max(id % 4) WHEN 0 THEN 'prepared' WHEN 1 THEN 'receiving' WHEN 2 THEN 'uploaded' ELSE 'queued' END AS status FROM requests WHERE id % 4 <= id // 4 % 4 GROUP BY id // 4
+    UNION ALL SELECT 'u' || id // 4, 'expired' FROM requests WHERE id % 4 <= id // 4 % 4 GROUP BY id // 4 HAVING max(id % 4) IN (@ABANDONED)
+    UNION ALL SELECT 'last', 'prepared'""".replace("@ABANDONED", ", ".join(str(i) for i, s in enumerate(("prepared", "receiving", "uploaded", "queued")) if s in ABANDONED)),
+)
+def _(t):
+    """Uploads that stop after one to four events; then, in a second run of the stream, an event of a later year, by when those that were abandoned have expired."""
+    spark, at = t["requests"].sparkSession, _scratch(t["requests"].sparkSession, "expiry")
+    order = F.array(*map(F.lit, ("prepare", "receive", "received", "commit")))
+    upload, place = F.floor(F.col("id") / 4), F.col("id") % 4
+    events = t["requests"].where(place <= upload % 4).select(
+        F.concat(F.lit("u"), upload.cast("string")).alias("upload_id"), F.col("id").alias("event_no"), F.element_at(order, (place + 1).cast("int")).alias("event"),
+        F.col("actor").alias("owner"), F.col("id").alias("nbytes"), F.lit(1_700_000_000.0).alias("at"),
+    )
+    events.write.parquet(f"{at}/in")
+    read = lambda: ledger.stream_upload_state(spark.readStream.schema(events.schema).parquet(f"{at}/in"))
+    _drained(read(), "update", at, timers=True)
+    last = [F.lit("last"), F.lit(0).cast("long"), F.lit("prepare"), F.lit("o"), F.lit(1).cast("long"), F.lit(1_800_000_000.0)]
+    spark.range(1).select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(last, events.schema, strict=True)]).write.mode("append").parquet(f"{at}/in")
+    return _drained(read(), "update", at, timers=True).select("upload_id", "status")
+
+
 @register(
     "stream_capture_messages",
     f"SELECT 'th' || conv_id AS thread, role, role = 'user' OR turn % 2 = 0 AS complete, sha256(t) AS text_sha FROM ({_CAPTURED}) c",

@@ -27,8 +27,12 @@ def stream_request_counts(requests: DataFrame, late: str = "1 hour") -> DataFram
 _UPLOAD = "upload_id string, owner string, status string, nbytes long, updated_at double, rejected int"
 
 
-def stream_upload_state(events: DataFrame, ttl: int = 86_400_000) -> DataFrame:
-    """The state of each upload after every batch of its events (update mode); an abandoned one expires ``ttl`` milliseconds after its last."""
+def stream_upload_state(events: DataFrame, ttl: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
+    """The state of each upload after every batch of its events (update mode); an abandoned one expires ``ttl`` milliseconds after its last event.
+
+    Time is that of the events (``at``, in seconds), so a stream that is read again gives the same rows; an event more than ``late`` behind the newest is left out.
+    No time, or one before 1970, counts as that year's first second, since a stream's watermark begins at 1970.
+    """
     names = [c.split()[0] for c in STATE.split(", ")]
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,11 +47,13 @@ def stream_upload_state(events: DataFrame, ttl: int = 86_400_000) -> DataFrame:
                 now = step(now, event)
             state.update(tuple(now[n] for n in names))
             if now["status"] in ABANDONED:
-                state.setTimeoutDuration(ttl)
+                due = (0 if pd.isna(now["updated_at"]) else int(now["updated_at"] * 1000)) + ttl
+                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if now:
             yield pd.DataFrame([now], columns=names)
 
-    return events.groupBy("upload_id").applyInPandasWithState(fold, STATE, _UPLOAD, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn("event_time", F.timestamp_seconds(F.greatest("at", F.lit(1.0)))).withWatermark("event_time", late)
+    return timed.groupBy("upload_id").applyInPandasWithState(fold, STATE, _UPLOAD, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest_one(spark: SparkSession, root: str, bundle: str, person: str, allow: DataFrame | None, empty: Callable[[], Corpus], now: str | None = None) -> str:
