@@ -5,9 +5,11 @@ The transcripts, stores and logs that they read are derived from the driver's ta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import UTC, datetime
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from sessionlake.functions import text as T
 from sessionlake.operators import ingest, relevance, search
 from sessionlake.operators.requests import ABANDONED, DIMENSIONS
 from sessionlake.plans.catalog import _bodies, _read, register
-from sessionlake.sources import bundles, stores
+from sessionlake.sources import bundles, growing_logs, stores
 from sessionlake.sources import transcripts as S
 from sessionlake.streaming import captures, ledger
 
@@ -616,14 +618,16 @@ def _(t):
 def _drained(df: DataFrame, mode: str, at: str | None = None, timers: bool = False) -> DataFrame:
     spark, at = df.sparkSession, at or _scratch(df.sparkSession, "stream")
     query = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{at}/out")).outputMode(mode)
-    idle = "spark.sql.streaming.noDataMicroBatches.enabled"  # processing-time timers keep a query going after its last row; those of event time are due by then
-    before = spark.conf.get(idle)
-    spark.conf.set(idle, str(timers).lower())
+    # Processing-time timers keep a query going after its last row; those of event time are due by then. Python sources are read to their end in several batches only with the wrapper.
+    wanted = {"spark.sql.streaming.noDataMicroBatches.enabled": str(timers).lower(), "spark.sql.streaming.triggerAvailableNowWrapper.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        running = query.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        query.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(idle, before)
-    running.awaitTermination()
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
 
@@ -682,14 +686,61 @@ def _(t):
     plain=True,
 )
 def _(spark, sf_dir):
-    """The stream is read to its end, then one more line of another thread comes, by when the others' open items are due."""
+    """The stream is read to its end, then a line of another thread comes that is a day later, by when the others' open items are due."""
     at, lines = _scratch(spark, "capture"), _capture_lines(spark, sf_dir)
     lines.write.parquet(f"{at}/in")
-    read = lambda: captures.stream_capture_messages(spark.readStream.schema(lines.schema).parquet(f"{at}/in"), idle=1)
-    _drained(read(), "append", at)
-    late = _json(type="rpc", captured_at="2026-01-01T00:00:00Z", sequence=1, direction="client_to_server", message=F.struct(F.lit("turn/start").alias("method"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.lit("").alias("text"))).alias("input")).alias("params")))
-    spark.range(1).select(F.lit("last").alias("thread"), F.lit(1).alias("line_no"), late.alias("line")).write.mode("append").parquet(f"{at}/in")
-    out = _drained(read(), "append", at)
+    read = lambda: captures.stream_capture_messages(spark.readStream.schema(lines.schema).parquet(f"{at}/in"))
+    _drained(read(), "append", at, timers=True)
+    spark.range(1).select(F.lit("last").alias("thread"), F.lit(1).alias("line_no"), _next_day().alias("line")).write.mode("append").parquet(f"{at}/in")
+    out = _drained(read(), "append", at, timers=True)
+    return out.select("thread", "role", "complete", F.sha2("text", 256).alias("text_sha"))
+
+
+def _next_day():
+    """A user's line without text, a day after all others."""
+    said = F.struct(F.array(F.struct(F.lit("text").alias("type"), F.lit("").alias("text"))).alias("input"))
+    return _json(type="rpc", captured_at="2026-01-02T00:00:00Z", sequence=1, direction="client_to_server", message=F.struct(F.lit("turn/start").alias("method"), said.alias("params")))
+
+
+def _write_logs(texts: DataFrame, folder: str) -> None:
+    """Texts (thread, line_no, text) into a log for each thread, in order of line_no, by tasks; a log that is there already is replaced."""
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = growing_logs.open_store(folder)
+        store.create_dir(root, recursive=True)
+        thread, log = None, None
+        for part in parts:
+            for row in part.itertuples(index=False):
+                if row.thread != thread:
+                    if log:
+                        log.close()
+                    thread, log = row.thread, store.open_output_stream(f"{root}/{row.thread}.jsonl")
+                log.write(row.text.encode())
+        if log:
+            log.close()
+        yield pd.DataFrame({"n": [1]})
+
+    texts.select("thread", "line_no", "text").repartition("thread").sortWithinPartitions("thread", "line_no").mapInPandas(write, "n long").count()
+
+
+@register(
+    "stream_growing_logs",
+    f"SELECT 'th' || conv_id AS thread, role, role = 'user' OR turn % 2 = 0 AS complete, sha256(t) AS text_sha FROM ({_CAPTURED}) c",
+    plain=True,
+)
+def _(spark, sf_dir):
+    """A log for each thread: in the stream's first run each ends within the first line of its second turn, before the second run the rest is there, before the last one a later log."""
+    at, lines = _scratch(spark, "growing"), _capture_lines(spark, sf_dir)
+    n = F.col("line_no")
+    read = lambda: captures.stream_capture_messages(captures.capture_log_lines(growing_logs.stream_raw_lines(spark, f"{at}/in")))
+    whole = F.concat("line", F.lit("\n"))
+    half = F.left("line", F.floor(F.length("line") / 2).cast("int"))
+    _write_logs(lines.where(n <= 5).withColumn("text", F.when(n < 5, whole).otherwise(half)), f"{at}/in")
+    _drained(read(), "append", at, timers=True)
+    _write_logs(lines.withColumn("text", whole), f"{at}/in")
+    _drained(read(), "append", at, timers=True)
+    _write_logs(spark.range(1).select(F.lit("last").alias("thread"), F.lit(1).alias("line_no"), F.concat(_next_day(), F.lit("\n")).alias("text")), f"{at}/in")
+    out = _drained(read(), "append", at, timers=True)
     return out.select("thread", "role", "complete", F.sha2("text", 256).alias("text_sha"))
 
 

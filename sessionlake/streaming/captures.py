@@ -44,35 +44,58 @@ def correlate_forks(requests: DataFrame, responses: DataFrame, late: str = "10 m
 
 
 MESSAGES = "thread string, order long, role string, ts double, text string, complete boolean"
-_STATE = "items array<struct<item:string,order:long,ts:double,text:string>>, done array<string>"
+_STATE = "items array<struct<item:string,order:long,ts:double,text:string>>, done array<string>, seen double"
 
 
-def stream_capture_messages(lines: DataFrame, idle: int = 600_000) -> DataFrame:
+def capture_log_lines(logs: DataFrame) -> DataFrame:
+    """thread, line_no and line of capture logs (file_path, place, line), of which each is named by its thread; a line's number is the place of its first byte."""
+    return logs.select(F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1).alias("thread"), F.col("place").alias("line_no"), "line")
+
+
+def _ticked(events: DataFrame, late: str) -> DataFrame:
+    """Events with event_time for a watermark: each is followed by a tick, a row of its thread that has its time and nothing else.
+
+    The event's own row has no event_time. So no line is left out as late, such as those of an old log that is found today, and time goes on all the same.
+    """
+    told = [f for f in events.schema if f.name != "thread"]
+    event = F.struct(F.lit(None).cast("timestamp").alias("event_time"), *[F.col(f.name) for f in told])
+    tick = F.struct(F.timestamp_seconds("seen_at").alias("event_time"), *[(F.lit(0) if f.name == "order" else F.lit(None)).cast(f.dataType).alias(f.name) for f in told])
+    return events.select("thread", F.explode(F.array(event, tick)).alias("e")).select("thread", "e.*").withWatermark("event_time", late)
+
+
+def stream_capture_messages(lines: DataFrame, idle: int = 600_000, late: str = "10 minutes") -> DataFrame:
     """Messages of a stream of capture lines (thread, line_no, line): what is complete at once, the deltas of an item kept until it
-    completes, and unfinished text after ``idle`` milliseconds without news of the thread."""
-    events = capture_events(lines).where("event in ('user', 'completed', 'delta')").select("thread", "order", "at", "event", "text", "item_id", "role")
+    completes, and unfinished text ``idle`` milliseconds after the thread's last line.
+
+    Time is that of the lines (captured_at), ``late`` behind the newest of all threads, so a stream that is read again gives the same rows; a thread without times
+    waits from the time that its last lines found. No line is left out as late. The ids of finished items are kept as long. A thread's lines of one batch are put in order in one task.
+    """
+    events = capture_events(lines).where("event in ('user', 'completed', 'delta')").select("thread", "order", "seen_at", "at", "event", "text", "item_id", "role")
 
     def assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, done = ({i[0]: list(i) for i in state.get[0]}, set(state.get[1])) if state.exists else ({}, set())
+        items, done, seen = ({i[0]: list(i) for i in state.get[0]}, set(state.get[1]), state.get[2]) if state.exists else ({}, set(), None)
         out = []
         if state.hasTimedOut:
             out = [(key[0], i[1], "assistant", i[2], i[3].strip(), False) for i in items.values() if i[3].strip()]
             state.remove()
         else:
-            for part in parts:
-                for e in part.sort_values("order").itertuples(index=False):
-                    if e.event == "delta":
-                        if isinstance(e.item_id, str) and isinstance(e.text, str) and e.item_id not in done:
-                            items.setdefault(e.item_id, [e.item_id, e.order, e.at, ""])[3] += e.text
-                        continue
-                    if e.event == "completed" and isinstance(e.item_id, str):
-                        done.add(e.item_id)
-                        items.pop(e.item_id, None)
-                    if isinstance(e.text, str) and e.text:
-                        out.append((key[0], e.order, e.role, e.at, e.text, True))
-            state.update(([tuple(i) for i in items.values()], sorted(done)))
-            state.setTimeoutDuration(idle)
+            rows = pd.concat(list(parts))
+            rows = rows[rows["event"].notna()].sort_values("order", kind="stable")
+            for e in rows.itertuples(index=False):
+                if e.event == "delta":
+                    if isinstance(e.item_id, str) and isinstance(e.text, str) and e.item_id not in done:
+                        items.setdefault(e.item_id, [e.item_id, e.order, e.at, ""])[3] += e.text
+                    continue
+                if e.event == "completed" and isinstance(e.item_id, str):
+                    done.add(e.item_id)
+                    items.pop(e.item_id, None)
+                if isinstance(e.text, str) and e.text:
+                    out.append((key[0], e.order, e.role, e.at, e.text, True))
+            times = [t for t in (seen, rows["seen_at"].max()) if t is not None and not pd.isna(t)]
+            now, seen = state.getCurrentWatermarkMs(), float(max(times)) if times else None
+            state.update(([tuple(i) for i in items.values()], sorted(done), seen))
+            state.setTimeoutTimestamp(max(now + 1, (now if seen is None else int(seen * 1000)) + idle))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGES.split(", ")])
 
-    return events.groupBy("thread").applyInPandasWithState(assemble, MESSAGES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _ticked(events, late).groupBy("thread").applyInPandasWithState(assemble, MESSAGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -4,6 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sessionlake.operators.ingest import Corpus
+from sessionlake.sources import growing_logs
 from sessionlake.sources.bundles import read_snapshot, write_bundle
 from sessionlake.streaming import captures, ledger
 from tests.test_operators import empty, session
@@ -44,6 +45,57 @@ def test_capture_messages(spark, tmp_path):
     assert sorted((r.role, r.text, r.complete) for r in out.collect()) == [("assistant", "whole", True), ("user", "ask", True)]
 
 
+def drained(df, at):
+    """Reads a stream of messages to its end, timers included, from where it was; all rows so far."""
+    df.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    df.sparkSession.conf.set("spark.sql.streaming.triggerAvailableNowWrapper.enabled", "true")  # else a Python source gets one batch a run
+    q = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    assert q.awaitTermination(200)
+    return sorted((r.thread, r.role, r.text, r.complete) for r in df.sparkSession.read.schema(df.schema).parquet(f"{at}/out").collect())
+
+
+def test_growing_logs(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    said = ("th", "user", "ask", True)
+    text = "\n".join(CAPTURE) + "\n"
+    half = text.index("lost") + 2
+    read = lambda: captures.stream_capture_messages(captures.capture_log_lines(growing_logs.stream_raw_lines(spark, str(logs))))
+    (logs / "th.jsonl").write_text(text[:half])
+    (logs / "other.txt").write_text("no log\n")
+    assert drained(read(), tmp_path) == [said]
+    with open(logs / "th.jsonl", "a") as log:
+        log.write(text[half:])
+    whole = [("th", "assistant", "whole", True), said]
+    assert drained(read(), tmp_path) == whole
+    (logs / "old.jsonl").write_text(json.dumps({**json.loads(CAPTURE[1]), "captured_at": "2027-01-01T00:00:00Z"}) + "\n")
+    whole = [("old", "user", "ask", True), ("th", "assistant", "partial", False), *whole]
+    assert drained(read(), tmp_path) == whole  # a year later, what was open is due
+    (logs / "late.jsonl").write_text(CAPTURE[1] + "\r\n\n")
+    assert drained(read(), tmp_path) == [("late", "user", "ask", True), *whole]  # a year behind the others, and still read
+
+
+def test_ranges_of_lines(tmp_path, monkeypatch):
+    """However a file is cut into ranges, each line comes once, with its place; the last has no newline yet."""
+    monkeypatch.setattr(growing_logs, "BLOCK", 3)
+    content = b"one\n\nthree is longer\n" + "\u00e4\n".encode() + b"half"
+    path = tmp_path / "log"
+    path.write_bytes(content)
+    want = [(0, b"one"), (4, b""), (5, b"three is longer"), (21, "\u00e4".encode())]
+    store, name = growing_logs.open_store(f"file:{path}")
+    for span in range(1, len(content) + 1):
+        with store.open_input_file(name) as source:
+            got = [x for at in range(0, len(content), span) for x in growing_logs.lines_ending_in(source, at, min(at + span, len(content)))]
+        assert got == want, span
+
+
+def test_spans_of_growing_files(monkeypatch):
+    monkeypatch.setattr(growing_logs, "SPAN", 10)
+    reader = growing_logs.GrowingLogsReader("x", "", None)
+    spans = reader.partitions({"a": 5, "b": 7, "c": 9}, {"a": 27, "b": 7, "c": 3, "d": 0})
+    assert [(s.path, s.start, s.end) for s in spans] == [("a", 5, 15), ("a", 15, 25), ("a", 25, 27), ("c", 0, 3)]
+
+
 def test_forks_and_filter(spark, tmp_path):
     asked = [("c", "1", 0, "thread/fork", json.dumps({"ephemeral": True, "excludeTurns": True, "threadId": "pa", "cwd": "/w"})), ("c", "2", 0, "thread/fork", json.dumps({"ephemeral": True})), ("c", "3", 1, "turn/start", "{}")]
     told = [("c", "1", 1, json.dumps({"thread": {"id": "side"}, "model": "m"})), ("c", "2", 1, json.dumps({"thread": {"id": "x"}})), ("d", "1", 1, json.dumps({"thread": {"id": "y"}}))]
