@@ -339,6 +339,13 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_url_filter_has_the_words_of_the_contract(spark):
+    urls = ["http://a.example.com/en/1", "http://a.example.com/en/71", "http://a.example.net/de/1", "http://a.example.net/de/81", "http://a.example.org/es/1", "http://a.example.net/fr/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = rows_of(url_filter.filter_urls(pages, url_filter.rule_table(spark)).select("page_id", "rule", "verdict"))
+    assert got == [(0, "com/en/", "block"), (1, "example.com/en/7", "allow"), (2, "net/de/", "allow"), (3, "example.net/de/8", "block"), (4, "org/es/", "block"), (5, None, "allow")]
+
+
 def test_long_urls_and_rules(spark):
     """A path of ten million characters, a host of ten thousand labels and rules of thousands: work and memory are linear in them."""
     deep = ".".join(["l"] * 10_000) + ".example.com"
