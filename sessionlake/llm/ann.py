@@ -2,13 +2,14 @@
 
 A unit vector is approximated by the sum of ``STAGES`` codewords, one of each full-dimensional codebook; a codebook is
 fitted by k-means to what the earlier ones leave. Encoding keeps the ``BEAM`` best partial sums at each stage. The index holds each row's
-code, the norm of its code's sum and a hash of its vector. A search builds a table of the query's inner products with all codewords and scores
-rows by table lookups and the stored norm; the best ``pool`` rows of a query, over all blocks, are reranked by the exact cosine in double precision.
+code, the norm of its code's sum, the length of what the code leaves of the vector and a hash of the vector. A search builds a table of the query's inner
+products with all codewords and scores a block's rows by table lookups and the stored norm; the best ``pool`` rows get the exact cosine in double precision. With what
+its code leaves a row's cosine is bounded, so every other row of the block whose bound reaches the pool's k-th cosine gets the exact one too: no nearest row is missed,
+however alike the codes are, and few rows are looked at where codes tell rows apart.
 
-Scale. The codebooks are fitted to a bounded sample (``most_fit`` vectors by a hash of id and vector); every row is indexed. Rows (codes and
-norms only) and queries are dealt into blocks of bounded size by a hash, and each pair of blocks is one task: queries are a stated set
-against all rows, and no task holds more than two blocks. Only the rows of the pools are joined to their vectors. Of equal vectors
-only the ``k + 1`` smallest ids are scored, which is all that any result can hold.
+Scale. The codebooks are fitted to a bounded sample (``most_fit`` vectors by a hash of id and vector); every row is indexed. Rows and queries are dealt into
+blocks of bounded size by a hash, and each pair of blocks is one task, which hands on ``k`` rows of each query: queries are a stated set
+against all rows, and no task holds more than two blocks. Of equal vectors only the ``k + 1`` smallest ids are scored, which is all that any result can hold.
 
 Defined results. Vectors that are null, zero, hold null or non-finite components, have no id, or are not of the commonest length take
 no part. Repeated rows count once; of several vectors under one id that is a query, the smallest (as an array) asks. Ties go to the smaller
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from sessionlake.llm.common import stored
 
 STAGES, CODEWORDS, BEAM = 24, 256, 6
+#: More than the single precision of table lookups can lose.
+ROUNDING = 1e-4
 
 
 def usable(v: Column) -> Column:
@@ -97,13 +100,13 @@ class AdditiveQuantiser:
     def sums(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.books[s, codes[:, s]] for s in range(STAGES))
 
-    def scores(self, queries: np.ndarray, codes: np.ndarray, sum_norm: np.ndarray) -> np.ndarray:
-        """Approximate cosines (queries, rows) by table lookups."""
+    def inner(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Inner products of queries and codes' sums (queries, rows) by table lookups."""
         table = np.einsum("qd,skd->sqk", queries.astype(np.float32), self.books, optimize=True)
         out = np.zeros((len(queries), len(codes)), np.float32)
         for s in range(STAGES):
             out += np.take(table[s], codes[:, s], axis=1)
-        return out / np.maximum(sum_norm, 1e-9)
+        return out
 
 
 def fit(vectors: DataFrame, most_fit: int = 6000) -> AdditiveQuantiser | None:
@@ -116,7 +119,7 @@ def fit(vectors: DataFrame, most_fit: int = 6000) -> AdditiveQuantiser | None:
 
 
 def index(vectors: DataFrame, quantiser: AdditiveQuantiser | None) -> DataFrame:
-    """vec_id, embedding, code, sum_norm and vh (a hash of the vector) of every row."""
+    """vec_id, embedding, code, sum_norm, error (the length of what the code leaves of the unit vector) and vh (a hash of the vector) of every row."""
     shared = vectors.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +127,25 @@ def index(vectors: DataFrame, quantiser: AdditiveQuantiser | None) -> DataFrame:
             if batch.num_rows:
                 m = matrix(batch.column(1))
                 codes = shared.value.encode(m / norms(m)[:, None])
-                size = norms(shared.value.sums(codes)).astype(np.float32)
+                sums = shared.value.sums(codes)
+                size, error = norms(sums).astype(np.float32), (norms(m / norms(m)[:, None] - sums) + ROUNDING).astype(np.float32)
                 same = np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in m], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(size), pa.array(same)],
-                    ["vec_id", "embedding", "code", "sum_norm", "vh"],
+                    [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(size), pa.array(error), pa.array(same)],
+                    ["vec_id", "embedding", "code", "sum_norm", "error", "vh"],
                 )
 
     kind = dict(vectors.dtypes)["embedding"]
-    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id long, embedding {kind}, code binary, sum_norm float, vh long")
+    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id long, embedding {kind}, code binary, sum_norm float, error float, vh long")
 
 
 def _block_search(q: AdditiveQuantiser, k: int, pool: int):
-    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("vh", pa.int64()), ("rough", pa.float32())])
+    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def best(cosine: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of the best row of each id, best first, ties by the smaller id."""
+        order = np.lexsort((ids, -cosine))
+        return order[np.sort(np.unique(ids[order], return_index=True)[1])]
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
@@ -147,67 +156,60 @@ def _block_search(q: AdditiveQuantiser, k: int, pool: int):
         place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
         keep = order[place <= k]  # of equal vectors the smallest ids
         keep = keep[np.argsort(ids[keep], kind="stable")]
-        ids, same = ids[keep], same[keep]
+        ids = ids[keep]
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, STAGES)[keep]
-        size = rows.column("sum_norm").to_numpy()[keep]
+        size, error = rows.column("sum_norm").to_numpy()[keep], rows.column("error").to_numpy()[keep]
+        m = matrix(rows.column("embedding"))[keep]
+        lengths = norms(m)
         asked, qm = queries.column("vec_id").to_numpy(), matrix(queries.column("embedding"))
-        qm /= norms(qm)[:, None]
+        asked_lengths = norms(qm)
         found = []
         for at in range(0, len(asked), 64):
-            for j, r in enumerate(q.scores(qm[at : at + 64], codes, size), at):
-                r[ids == asked[j]] = -np.inf
-                near = np.argpartition(-r, pool - 1)[:pool] if len(r) > pool else np.arange(len(r))
-                near = near[r[near] > -np.inf]
-                found.append((np.full(len(near), asked[j]), ids[near], same[near], r[near]))
+            inner = q.inner(qm[at : at + 64] / asked_lengths[at : at + 64, None], codes)
+            for j, near in enumerate(inner, at):
+                near[ids == asked[j]] = -np.inf
+                cosine = lambda rows_: (qm[j] * m[rows_]).sum(axis=1) / (lengths[rows_] * asked_lengths[j])  # noqa: B023, E731
+                rough = near / np.maximum(size, 1e-9)
+                first_rows = np.argpartition(-rough, pool - 1)[:pool] if len(rough) > pool else np.arange(len(rough))
+                first_rows = first_rows[near[first_rows] > -np.inf]
+                first_cosines = cosine(first_rows)
+                top = best(first_cosines, ids[first_rows])
+                # what can reach the pool's k-th: a row's cosine is at most its code's inner product and the length of what the code leaves
+                least = first_cosines[top[k - 1]] if len(top) >= k else -np.inf
+                reach = np.flatnonzero((near + error >= least) & (near > -np.inf))
+                exact = cosine(reach)
+                top = best(exact, ids[reach])[:k]
+                found.append((np.full(len(top), asked[j]), ids[reach[top]], exact[top]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=kinds)
 
     return search
 
 
-def _cosines(pairs: DataFrame) -> DataFrame:
-    """query_id, vec_id and score of pairs with both vectors (asked and embedding)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = matrix(batch.column(2)), matrix(batch.column(3))
-                score = pa.array((b * a).sum(axis=1) / (norms(b) * norms(a)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), score], ["query_id", "vec_id", "score"])
-
-    return pairs.select("query_id", "vec_id", "asked", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-
-
 def search(
     vectors: DataFrame, is_query: Column, k: int = 5, pool: int = 200, row_block: int = 65_536, query_block: int = 4096, most_fit: int = 6000
 ) -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` nearest rows found of each row that ``is_query`` (on vec_id) holds for."""
+    """query_id, rank, vec_id and score of the ``k`` nearest rows of each row that ``is_query`` (on vec_id) holds for."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     lengths = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = rows.where(F.size("embedding") == (lengths["size"] if lengths else 0)).distinct()
+    dimensions = lengths["size"] if lengths else 0
+    rows = rows.where(F.size("embedding") == dimensions).distinct()
     quantiser = fit(rows, most_fit)
     indexed = stored(index(rows, quantiser), "ann-index")
-    n = indexed.count()
+    n, wide = indexed.count(), max(1.0, dimensions / 64)  # blocks of longer vectors have fewer rows
     # blocks of rows are smaller than row_block only to give every core some
-    blocks = max(1, math.ceil(n / row_block), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 1024)))
+    blocks = max(1, math.ceil(n * wide / row_block), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 1024)))
     queries = indexed.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    query_blocks = max(1, math.ceil(queries.count() / query_block))
+    query_blocks = max(1, math.ceil(queries.count() * wide / query_block))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
     block_of = lambda count, *by: F.pmod(F.xxhash64("vec_id", *by), F.lit(count).cast("long"))
     left = queries.withColumn("qb", block_of(query_blocks)).withColumn("rb", every(blocks))
-    right = indexed.select("vec_id", "vh", "code", "sum_norm").withColumn("rb", block_of(blocks, "vh")).withColumn("qb", every(query_blocks))
-    rough = (
+    right = indexed.withColumn("rb", block_of(blocks, "vh")).withColumn("qb", every(query_blocks))
+    found = (
         left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb"))
-        .applyInArrow(_block_search(quantiser, k, pool), "query_id long, vec_id long, vh long, rough float")
-        .repartition("query_id")
+        .applyInArrow(_block_search(quantiser, k, pool), "query_id long, vec_id long, score double")
+        .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id can have several vectors
     )
-    alike = Window.partitionBy("query_id", "vh").orderBy("vec_id")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id", "vh")
-    pooled = rough.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= pool)
-    pooled = pooled.select("query_id", "vec_id", "vh")
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    pairs = pooled.join(indexed.select("vec_id", "vh", "embedding").hint("merge"), ["vec_id", "vh"]).join(asked.hint("merge"), "query_id")
-    found = _cosines(pairs).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id can have several vectors
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

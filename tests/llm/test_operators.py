@@ -435,6 +435,20 @@ def test_isotonic():
     assert x.tolist() == [1, 2.5, 4] and y.tolist() == [0, 0.5, 1]
 
 
+def test_nearest_among_rows_that_codes_do_not_tell_apart(spark):
+    """Crowds so close that their rows have few different codes, most of them unlike the sample that the codebooks are fitted to."""
+    rng = np.random.default_rng(5)
+    base = [(i, rng.normal(size=32).tolist()) for i in range(1, 2400)]
+    for crowd in range(3):
+        centre = rng.normal(size=32)
+        base += [(10_000 * (crowd + 1) + i, (centre + 1e-3 * rng.normal(size=32)).tolist()) for i in range(700)]
+    df = spark.createDataFrame(base, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, most_fit=300).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for _, i in w] for q, w in ann.brute_force(base).items()}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(8, 16))
