@@ -24,36 +24,45 @@ def stream_request_counts(requests: DataFrame, late: str = "1 hour") -> DataFram
     return once.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
 
 
-_UPLOAD = "upload_id string, owner string, status string, nbytes long, updated_at double, rejected int"
+_HELD = f"uploads array<struct<{', '.join(':'.join(c.split()) for c in STATE.split(', '))},due:long>>"
 
 
-def stream_upload_state(events: DataFrame, ttl: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
+def stream_upload_state(events: DataFrame, ttl: int = 86_400_000, late: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """The state of each upload after every batch of its events (update mode); an abandoned one expires ``ttl`` milliseconds after its last event.
 
     Time is that of the events (``at``, in seconds), so a stream that is read again gives the same rows; an event more than ``late`` behind the newest is left out.
-    No time, or one before 1970, counts as that year's first second, since a stream's watermark begins at 1970.
+    No time, or one before 1970, counts as that year's first second, since a stream's watermark begins at 1970. Uploads are folded in ``buckets`` groups by a hash
+    of their id, as a call of Python for each upload costs far more than its events; each has its own time at which it is due, its group the least of them.
     """
     names = [c.split()[0] for c in STATE.split(", ")]
+    fields = [*names, "due"]
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = dict(zip(names, state.get, strict=True)) if state.exists else None
-        if state.hasTimedOut:
-            if now and now["status"] in ABANDONED:
-                now["status"] = "expired"
-                state.update(tuple(now.values()))
-        else:
-            rows = pd.concat(list(parts)).sort_values("event_no")
-            for event in rows.to_dict("records"):
-                now = step(now, event)
-            state.update(tuple(now[n] for n in names))
-            if now["status"] in ABANDONED:
-                due = (0 if pd.isna(now["updated_at"]) else int(now["updated_at"] * 1000)) + ttl
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if now:
-            yield pd.DataFrame([now], columns=names)
+        held = {u[0]: dict(zip(fields, u, strict=True)) for u in state.get[0]} if state.exists else {}
+        now, told = state.getCurrentWatermarkMs(), set()
+        if not state.hasTimedOut:
+            for event in pd.concat(list(parts)).sort_values("event_no").to_dict("records"):
+                upload = event["upload_id"]
+                event["nbytes"] = None if event["nbytes"] is None else int(event["nbytes"])  # a long beside a null would be a float
+                held[upload] = step(held.get(upload), event)
+                told.add(upload)
+            for u in map(held.get, told):
+                due = (0 if pd.isna(u["updated_at"]) else int(u["updated_at"] * 1000)) + ttl
+                u["due"] = max(due, now + 1) if u["status"] in ABANDONED else None
+        over = [u for u in held.values() if u["due"] is not None and u["due"] < now and u["upload_id"] not in told]
+        for u in over:
+            u["status"], u["due"] = "expired", None
+        state.update(([tuple(u[f] for f in fields) for u in held.values()],))
+        dues = [u["due"] for u in held.values() if u["due"] is not None]
+        if dues:
+            state.setTimeoutTimestamp(min(dues))
+        rows = [*map(held.get, told), *over]
+        if rows:
+            yield pd.DataFrame(rows, columns=names, dtype=object)  # longs beside nulls stay longs
 
     timed = events.withColumn("event_time", F.timestamp_seconds(F.greatest("at", F.lit(1.0)))).withWatermark("event_time", late)
-    return timed.groupBy("upload_id").applyInPandasWithState(fold, STATE, _UPLOAD, "update", GroupStateTimeout.EventTimeTimeout)
+    dealt = timed.withColumns({"bucket": F.pmod(F.xxhash64("upload_id"), F.lit(buckets)), "nbytes": F.col("nbytes").cast("long").cast("string")})
+    return dealt.groupBy("bucket").applyInPandasWithState(fold, STATE, _HELD, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest_one(spark: SparkSession, root: str, bundle: str, person: str, allow: DataFrame | None, empty: Callable[[], Corpus], now: str | None = None) -> str:

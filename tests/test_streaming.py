@@ -2,8 +2,10 @@ import json
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sessionlake.operators.ingest import Corpus
+from sessionlake.operators.requests import upload_state
 from sessionlake.sources import growing_logs
 from sessionlake.sources.bundles import read_snapshot, write_bundle
 from sessionlake.streaming import captures, ledger
@@ -39,6 +41,27 @@ def test_upload_state(spark, tmp_path):
     assert [(r.upload_id, r.status, r.rejected) for r in out.collect()] == [("u", "queued", 0)]
 
 
+def test_uploads_share_groups_of_state(spark, tmp_path):
+    """Three thousand uploads in two batches, some with nulls: states as ``upload_state`` folds them, and far fewer groups than uploads."""
+    steps = F.element_at(F.array(*map(F.lit, ("prepare", "receive", "received", "commit"))), (F.col("id") % 4 + 1).cast("int"))
+    events = spark.range(3000 * 3).select(
+        F.concat(F.lit("u"), F.floor(F.col("id") / 4).cast("string")).alias("upload_id"), F.col("id").alias("event_no"), steps.alias("event"),
+        F.when(F.col("id") % 7 > 0, "o").alias("owner"), F.when(F.col("id") % 5 > 0, F.lit(1 << 60) + F.col("id")).alias("nbytes"), F.when(F.col("id") % 9 > 0, 1e9).alias("at"),
+    )
+    streamed(spark, tmp_path, "in", events.where("event_no % 4 < 2"))
+    out, states = tmp_path / "out", []
+    for batch in (None, events.where("event_no % 4 >= 2")):
+        source = streamed(spark, tmp_path, "in", batch) if batch is not None else spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        q = ledger.stream_upload_state(source, late="100 years").writeStream.foreachBatch(lambda df, n: df.withColumn("n", F.lit(n)).write.mode("append").parquet(str(out)))
+        q = q.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(200)
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    last = spark.read.parquet(str(out)).groupBy("upload_id").agg(F.max_by(F.struct("owner", "status", "nbytes", "updated_at", "rejected"), "n").alias("s")).select("upload_id", "s.*")
+    want = upload_state(events)
+    assert sorted(map(repr, last.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert 0 < max(states) <= 1024
+
+
 def test_capture_messages(spark, tmp_path):
     df = spark.createDataFrame([("th", i, x) for i, x in enumerate(CAPTURE, 1)], "thread string, line_no int, line string")
     out = run(captures.stream_capture_messages(streamed(spark, tmp_path, "in", df)), "append", tmp_path)
