@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 FIELDS = "file_path string, place long, line string"
 SPAN = 128 << 20
 BLOCK = 4 << 20
+#: Spans of a batch up to which each is a partition of its own; of more, small ones share partitions.
+MOST_SPANS = 256
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -76,6 +78,28 @@ class Span(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+class Spans(InputPartition):
+    """Spans that one task reads: many small files are not as many tasks."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = spans
+
+
+def packed(spans: list[Span]) -> list[Span | Spans]:
+    """Spans in their order in about ``MOST_SPANS`` partitions by bytes, none with more than ``SPAN`` unless one span has; few spans stay as they are."""
+    if len(spans) <= MOST_SPANS:
+        return spans
+    most = min(SPAN, max(1, sum(s.end - s.start for s in spans) // MOST_SPANS))
+    packs, held = [[]], 0
+    for span in spans:
+        if packs[-1] and held + span.end - span.start > most:
+            packs.append([])
+            held = 0
+        packs[-1].append(span)
+        held += span.end - span.start
+    return [Spans(p) for p in packs]
+
+
 class GrowingLogsReader(DataSourceStreamReader):
     """Offsets are the sizes of all files by path; a batch reads what lies between two of them, in spans of ``SPAN`` bytes."""
 
@@ -90,32 +114,34 @@ class GrowingLogsReader(DataSourceStreamReader):
         found = store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
         return {i.path: i.size for i in found if i.type == fs.FileType.File and i.path.endswith(self.suffix) and not i.base_name.startswith((".", "_"))}
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
+    def partitions(self, start: dict, end: dict) -> list[Span | Spans]:
         spans = []
         for path, size in end.items():
             known = start.get(path, 0)
             known = known if known <= size else 0  # a file that has shrunk is another one under the same name
             spans += [Span(path, at, min(at + SPAN, size)) for at in range(known, size, SPAN)]
-        return spans
+        return packed(spans)
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        store, _ = open_store(self.path)
+    def read(self, partition: Span | Spans) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in self.schema]
+        paths, places, lines, held = [], [], [], 0
 
-        def batch(places: list[int], lines: list[str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([partition.path] * len(lines), pa.string()), pa.array(places, pa.int64()), pa.array(lines, pa.string())], names)
-
-        with store.open_input_file(partition.path) as source:
-            places, lines, held = [], [], 0
-            for place, line in lines_ending_in(source, partition.start, partition.end):
-                places.append(place)
-                lines.append(line.decode("utf-8", "replace"))
-                held += len(line) + 1
-                if held > BLOCK:
-                    yield batch(places, lines)
-                    places, lines, held = [], [], 0
-            if lines:
-                yield batch(places, lines)
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(places, pa.int64()), pa.array(lines, pa.string())], names)
+
+        store, _ = open_store(self.path)
+        for span in partition.spans if isinstance(partition, Spans) else [partition]:
+            with store.open_input_file(span.path) as source:
+                for place, line in lines_ending_in(source, span.start, span.end):
+                    paths.append(span.path)
+                    places.append(place)
+                    lines.append(line.decode("utf-8", "replace"))
+                    held += len(line) + 1
+                    if held > BLOCK:
+                        yield batch()
+                        paths, places, lines, held = [], [], [], 0
+        if lines:
+            yield batch()
 
 
 class GrowingLogs(DataSource):

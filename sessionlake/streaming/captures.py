@@ -44,7 +44,7 @@ def correlate_forks(requests: DataFrame, responses: DataFrame, late: str = "10 m
 
 
 MESSAGES = "thread string, order long, role string, ts double, text string, complete boolean"
-_STATE = "items array<struct<item:string,order:long,ts:double,text:string>>, done array<string>, seen double"
+_HELD = "threads array<struct<thread:string,items:array<struct<item:string,order:long,ts:double,text:string>>,done:array<string>,seen:double,due:long>>"
 
 
 def capture_log_lines(logs: DataFrame) -> DataFrame:
@@ -63,25 +63,29 @@ def _ticked(events: DataFrame, late: str) -> DataFrame:
     return events.select("thread", F.explode(F.array(event, tick)).alias("e")).select("thread", "e.*").withWatermark("event_time", late)
 
 
-def stream_capture_messages(lines: DataFrame, idle: int = 600_000, late: str = "10 minutes") -> DataFrame:
+def stream_capture_messages(lines: DataFrame, idle: int = 600_000, late: str = "10 minutes", buckets: int = 2048) -> DataFrame:
     """Messages of a stream of capture lines (thread, line_no, line): what is complete at once, the deltas of an item kept until it
     completes, and unfinished text ``idle`` milliseconds after the thread's last line.
 
     Time is that of the lines (captured_at), ``late`` behind the newest of all threads, so a stream that is read again gives the same rows; a thread without times
-    waits from the time that its last lines found. No line is left out as late. The ids of finished items are kept as long. A thread's lines of one batch are put in order in one task.
+    waits from the time that its last lines found. No line is left out as late. The ids of finished items are kept as long. A thread's lines of one batch are put in order
+    in one task. Threads share ``buckets`` groups by a hash of their name, as a call of Python for each thread costs far more than its lines; each has its own time
+    at which it is due, its group the least of them.
     """
     events = capture_events(lines).where("event in ('user', 'completed', 'delta')").select("thread", "order", "seen_at", "at", "event", "text", "item_id", "role")
 
     def assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, done, seen = ({i[0]: list(i) for i in state.get[0]}, set(state.get[1]), state.get[2]) if state.exists else ({}, set(), None)
-        out = []
-        if state.hasTimedOut:
-            out = [(key[0], i[1], "assistant", i[2], i[3].strip(), False) for i in items.values() if i[3].strip()]
-            state.remove()
-        else:
+        held = {name: [{i[0]: list(i) for i in items}, set(done), seen, due] for name, items, done, seen, due in state.get[0]} if state.exists else {}
+        now, told, out = state.getCurrentWatermarkMs(), set(), []
+        if not state.hasTimedOut:
             rows = pd.concat(list(parts))
-            rows = rows[rows["event"].notna()].sort_values("order", kind="stable")
-            for e in rows.itertuples(index=False):
+            told = set(rows["thread"])
+            for name in told:
+                held.setdefault(name, [{}, set(), None, None])
+            for e in rows[rows["event"].notna()].sort_values("order", kind="stable").itertuples(index=False):
+                items, done, seen, _ = thread = held[e.thread]
+                if not pd.isna(e.seen_at):
+                    thread[2] = float(e.seen_at) if seen is None else max(seen, float(e.seen_at))
                 if e.event == "delta":
                     if isinstance(e.item_id, str) and isinstance(e.text, str) and e.item_id not in done:
                         items.setdefault(e.item_id, [e.item_id, e.order, e.at, ""])[3] += e.text
@@ -90,12 +94,18 @@ def stream_capture_messages(lines: DataFrame, idle: int = 600_000, late: str = "
                     done.add(e.item_id)
                     items.pop(e.item_id, None)
                 if isinstance(e.text, str) and e.text:
-                    out.append((key[0], e.order, e.role, e.at, e.text, True))
-            times = [t for t in (seen, rows["seen_at"].max()) if t is not None and not pd.isna(t)]
-            now, seen = state.getCurrentWatermarkMs(), float(max(times)) if times else None
-            state.update(([tuple(i) for i in items.values()], sorted(done), seen))
-            state.setTimeoutTimestamp(max(now + 1, (now if seen is None else int(seen * 1000)) + idle))
+                    out.append((e.thread, e.order, e.role, e.at, e.text, True))
+            for thread in map(held.get, told):
+                thread[3] = max(now + 1, (now if thread[2] is None else int(thread[2] * 1000)) + idle)
+        for name in [n for n, thread in held.items() if thread[3] < now and n not in told]:
+            out += [(name, i[1], "assistant", i[2], i[3].strip(), False) for i in held.pop(name)[0].values() if i[3].strip()]
+        if held:
+            state.update(([(name, [tuple(i) for i in items.values()], sorted(done), seen, due) for name, (items, done, seen, due) in held.items()],))
+            state.setTimeoutTimestamp(min(thread[3] for thread in held.values()))
+        else:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGES.split(", ")])
 
-    return _ticked(events, late).groupBy("thread").applyInPandasWithState(assemble, MESSAGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = _ticked(events, late).withColumn("bucket", F.pmod(F.xxhash64("thread"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(assemble, MESSAGES, _HELD, "append", GroupStateTimeout.EventTimeTimeout)

@@ -119,6 +119,16 @@ def test_spans_of_growing_files(monkeypatch):
     assert [(s.path, s.start, s.end) for s in spans] == [("a", 5, 15), ("a", 15, 25), ("a", 25, 27), ("c", 0, 3)]
 
 
+def test_many_small_files_share_partitions(tmp_path):
+    for n in range(2000):
+        (tmp_path / f"{n}.jsonl").write_bytes(b"first %d\nhalf" % n)
+    reader = growing_logs.GrowingLogsReader(str(tmp_path), ".jsonl", StructType.fromDDL(growing_logs.FIELDS))
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) <= 2 * growing_logs.MOST_SPANS
+    got = [r for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+    assert sorted((r["file_path"], r["place"], r["line"]) for r in got) == sorted((str(tmp_path / f"{n}.jsonl"), 0, f"first {n}") for n in range(2000))
+
+
 def test_forks_and_filter(spark, tmp_path):
     asked = [("c", "1", 0, "thread/fork", json.dumps({"ephemeral": True, "excludeTurns": True, "threadId": "pa", "cwd": "/w"})), ("c", "2", 0, "thread/fork", json.dumps({"ephemeral": True})), ("c", "3", 1, "turn/start", "{}")]
     told = [("c", "1", 1, json.dumps({"thread": {"id": "side"}, "model": "m"})), ("c", "2", 1, json.dumps({"thread": {"id": "x"}})), ("d", "1", 1, json.dumps({"thread": {"id": "y"}}))]
