@@ -13,7 +13,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -325,20 +326,38 @@ def index_word(word: str) -> str:
     return stem("".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)))
 
 
+def query_words(text: str, analyzer: str = "simple") -> list[str]:
+    """The words of a query as an index of that analyzer has them."""
+    words = postings_tokens(text)
+    return list(map(index_word, words)) if analyzer == "porter" else words
+
+
 @lru_cache(maxsize=1 << 18)
 def _indexed(word: str) -> str:
     return index_word(word)
 
 
-def query_words(text: str, analyzer: str = "simple") -> list[str]:
-    """The words of a query as an index of that analyzer has them."""
-    words = postings_tokens(text)
-    return list(map(index_word, words)) if analyzer == "porter" else words
+#: Text of words of which stems are taken at once, about.
+MOST_STEMMED = 32 << 20
+
+
+def stemmed(words: pa.ListArray) -> pa.ListArray:
+    """Lists of words as lists of their stems: each different word of about ``MOST_STEMMED`` bytes is one Python string, all others stay in Arrow."""
+    parts, at = [], 0
+    step = max(1, int(len(words) * MOST_STEMMED / max(words.nbytes, 1)))
+    while at < len(words):
+        rows = words.slice(at, step)
+        at += step
+        coded = rows.flatten().dictionary_encode()
+        stems = pa.array(list(map(_indexed, coded.dictionary.to_pylist())), pa.string())
+        ends = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).cumsum()
+        parts.append(pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), stems.take(coded.indices), mask=rows.is_null()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda row: None if row is None else list(map(_indexed, row)))
+@F.arrow_udf(ArrayType(StringType()))
+def _stems(words: pa.Array) -> pa.Array:
+    return stemmed(words)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -4,10 +4,12 @@ import random
 import uuid
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
 from sessionlake.functions.porter import stem
+from sessionlake.operators import ingest
 
 
 def values(spark, rows, schema, *columns):
@@ -146,3 +148,16 @@ def test_porter_equals_fts5():
     db.executemany("INSERT INTO f(rowid, x) VALUES (?, ?)", list(enumerate(words)))
     pairs = db.execute("SELECT term, doc FROM v").fetchall()
     assert len(pairs) == len(words) and [(words[d], stem(words[d]), t) for t, d in pairs if stem(words[d]) != t] == []
+
+
+def test_stems_of_lists_in_arrow(monkeypatch):
+    """Null, empty and sliced lists, and null words, whatever the size of a part; what is remembered of words is bounded."""
+    rows = [["things", "resting"], None, [], ["caf\u00e9s", "things", "x" * 70], ["a"], None]
+    want = [None if r is None else [ingest.index_word(w) for w in r] for r in rows]
+    for most in (1, 40, 1 << 20):
+        monkeypatch.setattr(ingest, "MOST_STEMMED", most)
+        got = ingest.stemmed(pa.array(rows, pa.list_(pa.string())))
+        assert got.to_pylist() == want and got.type == pa.list_(pa.string())
+        assert ingest.stemmed(pa.array(rows, pa.list_(pa.string())).slice(2, 3)).to_pylist() == want[2:5]
+    assert ingest.stemmed(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+    assert not hasattr(stem, "cache_info") and ingest._indexed.cache_info().maxsize <= 1 << 18
