@@ -68,6 +68,17 @@ def test_capture_messages(spark, tmp_path):
     assert sorted((r.role, r.text, r.complete) for r in out.collect()) == [("assistant", "whole", True), ("user", "ask", True)]
 
 
+def test_threads_share_groups_of_state(spark, tmp_path):
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(CAPTURE, 1)], "line_no int, line string")
+    df = spark.range(2500).select(F.concat(F.lit("th"), "id").alias("thread")).crossJoin(lines)
+    out = str(tmp_path / "out")
+    q = captures.stream_capture_messages(streamed(spark, tmp_path, "in", df)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert q.awaitTermination(200)
+    got = spark.read.parquet(out).groupBy("role", "text").agg(F.countDistinct("thread"), F.count("*")).collect()
+    assert {tuple(r) for r in got if r.text != "partial"} == {("assistant", "whole", 2500, 2500), ("user", "ask", 2500, 2500)}
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 2048
+
+
 def drained(df, at):
     """Reads a stream of messages to its end, timers included, from where it was; all rows so far."""
     df.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
