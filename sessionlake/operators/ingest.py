@@ -13,11 +13,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from sessionlake.functions import text as T
 
@@ -355,42 +356,57 @@ def stemmed(words: pa.ListArray) -> pa.ListArray:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def _stems(words: pa.Array) -> pa.Array:
-    return stemmed(words)
+#: Words, in bytes, that are put in order at once, about.
+MOST_PLACED = 8 << 20
+_RUNS = ArrayType(StructType([StructField("term", StringType()), StructField("positions", ArrayType(IntegerType()))]))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once per row, however often it is named."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def word_places(words: Column) -> Column:
-    """term and positions of each different word of a list, in order of the terms: the sorted (word, place) pairs cut where the word changes."""
-
-    def cut(pairs: Column) -> Column:
-        n = F.size(pairs)
-        new = lambda k: (k == 1) | (F.element_at(pairs, k)["term"] != F.element_at(pairs, F.greatest(k - 1, F.lit(1)))["term"])
-        ends = F.array_append(F.filter(F.sequence(F.lit(1), n), new), n + 1)
-        return F.when(n > 0, let(ends, lambda e: F.transform(F.slice(e, 1, F.size(e) - 1), lambda begin, i: _run(pairs, e, begin, i))))
-
-    return let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("place")))), cut)
-
-
-def _run(pairs: Column, ends: Column, begin: Column, i: Column) -> Column:
-    places = F.slice(pairs, begin, F.element_at(ends, i + 2) - begin)
-    return F.struct(F.element_at(pairs, begin)["term"].alias("term"), F.transform(places, lambda x: x["place"]).alias("positions"))
+def placed(words: pa.ListArray) -> pa.ListArray:
+    """term and positions of each different word of each list, in order of the terms; lists of about ``MOST_PLACED`` bytes are sorted at once."""
+    parts, at = [], 0
+    step = max(1, int(len(words) * MOST_PLACED / max(words.nbytes, 1)))
+    while at < len(words):
+        rows = words.slice(at, step)
+        at += step
+        coded = rows.flatten().dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary)
+        terms, rank = coded.dictionary.take(order), np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        key = np.repeat(np.arange(len(rows)) * len(order), lengths) + rank[coded.indices.to_numpy()]
+        place = (np.arange(len(key)) - np.repeat(lengths.cumsum() - lengths, lengths)).astype(np.int32)
+        by_key = np.argsort(key, kind="stable")  # places of one word of one list stay in order
+        key, place = key[by_key], place[by_key]
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        row, term = np.divmod(key[begins], max(len(order), 1))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)), pa.int32()), pa.array(place))
+        runs = pa.StructArray.from_arrays([terms.take(pa.array(term)), positions], ["term", "positions"])
+        ends = np.bincount(row, minlength=len(rows)).cumsum()
+        parts.append(pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), runs, mask=rows.is_null()))
+    kind = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))]))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(_RUNS)
+def _runs(words: pa.Array) -> pa.Array:
+    return placed(words)
+
+
+@F.arrow_udf(_RUNS)
+def _stem_runs(words: pa.Array) -> pa.Array:
+    return placed(stemmed(words))
 
 
 def build_postings(bodies: DataFrame, analyzer: str = "simple") -> DataFrame:
     """bucket, term, blob_hash and positions: the words of each different body. ``porter`` folds accents and stems.
 
-    A body's words are gathered inside its row by built-in functions, so nothing is shuffled; only stems come from Python, in Arrow batches.
+    A body's words are gathered inside its row, in Arrow batches, so nothing is shuffled. ``explode`` alone would filter by the lists first, and so
+    make them in Python twice.
     """
     words = F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    words = _stems(words) if analyzer == "porter" else words
-    rows = bodies.select("blob_hash", word_places(words).alias("runs"))
-    return rows.select("blob_hash", F.explode("runs").alias("r")).select(
+    runs = _stem_runs(words) if analyzer == "porter" else _runs(words)
+    rows = bodies.select("blob_hash", runs.alias("runs"))
+    return rows.select("blob_hash", F.explode_outer("runs").alias("r")).where("r is not null").select(
         (F.crc32(F.col("r.term").cast("binary")) % POSTING_BUCKETS).cast("int").alias("bucket"), "r.term", "blob_hash", "r.positions"
     )
 

@@ -161,3 +161,19 @@ def test_stems_of_lists_in_arrow(monkeypatch):
         assert ingest.stemmed(pa.array(rows, pa.list_(pa.string())).slice(2, 3)).to_pylist() == want[2:5]
     assert ingest.stemmed(pa.array([], pa.list_(pa.string()))).to_pylist() == []
     assert not hasattr(stem, "cache_info") and ingest._indexed.cache_info().maxsize <= 1 << 18
+
+
+def test_places_of_words_in_arrow(monkeypatch):
+    """Words of each list in order with their places, also of null, empty and sliced lists, whatever the size of a part."""
+    rows = [["b", "a", "b"], None, [], ["é", "z", "\U0001f600", "z", "Z"], ["b"], None]
+
+    def plain(words):
+        return None if words is None else [{"term": t, "positions": [i for i, w in enumerate(words) if w == t]} for t in sorted(set(words), key=str.encode)]
+
+    want = list(map(plain, rows))
+    for most in (1, 40, 1 << 20):
+        monkeypatch.setattr(ingest, "MOST_PLACED", most)
+        assert ingest.placed(pa.array(rows, pa.list_(pa.string()))).to_pylist() == want
+        assert ingest.placed(pa.array(rows, pa.list_(pa.string())).slice(2, 3)).to_pylist() == want[2:5]
+    assert ingest.placed(pa.array([[], None], pa.list_(pa.string()))).to_pylist() == [[], None]
+    assert ingest.placed(pa.array([], pa.list_(pa.string()))).to_pylist() == []

@@ -131,6 +131,17 @@ def test_phrases_and_terms(spark):
     assert sorted(r.term for r in stems.collect()) == ["deploi"]
 
 
+@pytest.mark.parametrize("analyzer", ["simple", "porter"])
+def test_postings_call_python_once(spark, tmp_path, analyzer):
+    """A body's words are gathered by one call of Python, also where the bodies are a stored table and the index is asked for some words."""
+    rows = [("1", "things and Things"), ("2", ""), ("3", None), ("4", "resting... things")]
+    spark.createDataFrame(rows, "blob_hash string, body string").write.parquet(str(tmp_path / "bodies"))
+    postings = ingest.build_postings(spark.read.parquet(str(tmp_path / "bodies")), analyzer).where("term like 'thing%'")
+    assert postings._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = sorted((r.blob_hash, r.term, tuple(r.positions)) for r in postings.collect())
+    assert got == ([("1", "thing", (0, 2)), ("4", "thing", (1,))] if analyzer == "porter" else [("1", "things", (0, 2)), ("4", "things", (1,))])
+
+
 def test_resolve_and_read(spark):
     s = spark.createDataFrame([(1, "abc", "p", False, "t1"), (2, "abd", "q", False, "t2"), (3, "ab/sub", "p", True, "t3")], "session_id long, uuid string, person string, is_subagent boolean, started_at string")
     one, several = search.resolve_session(s, uuid="AB")
