@@ -272,10 +272,11 @@ def import_delta(
     own = lambda df: [c for c in df.columns if c != "home"]  # noqa: E731  stored tables are dealt by home
     added = entries.join(kept.select("session_id"), "session_id", "left_semi").select(own(corpus.entries))
     known = corpus.bodies.select("blob_hash")  # one row for each body, so that no references are summed
-    fresh = bodies.dropDuplicates(["blob_hash"]).join(added.select("blob_hash").distinct(), "blob_hash", "left_semi").join(known, "blob_hash", "left_anti").select(own(corpus.bodies))
+    brought = lambda df: df.join(added.select("blob_hash").distinct(), "blob_hash", "left_semi").join(known, "blob_hash", "left_anti").dropDuplicates(["blob_hash"])
+    fresh = brought(bodies).select(own(corpus.bodies))
     gone = corpus.entries.join(removed, "session_id", "left_semi")
     changes = added.select("blob_hash", F.lit(1).alias("n")).unionByName(gone.select("blob_hash", F.lit(-1).alias("n"))).groupBy("blob_hash").agg(F.sum("n").alias("nrefs"))
-    sizes = fresh.select("blob_hash", F.octet_length("body").cast("long").alias("nbytes"))
+    sizes = brought(bodies.select("blob_hash", F.octet_length("body").cast("long").alias("nbytes")))  # no text is shuffled for them
     blobs = changes.join(sizes, "blob_hash", "left").select("blob_hash", "nbytes", "nrefs")
     lost = stale.where("arrival >= 0")
     why = ["export_path", "reason", "cwd"]
@@ -418,4 +419,7 @@ def home_of(blob_hash: Column) -> Column:
 
 def term_directory(postings: DataFrame) -> DataFrame:
     """bucket, term, df (bodies that hold the term) and homes (the buckets of those bodies, ``HOMES`` at most): what a search reads first."""
-    return postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sort_array(F.collect_set(home_of(F.col("blob_hash")))).alias("homes"))
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), home_of(F.col("blob_hash"))))  # a number for each term, not a set that grows
+    held = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), bits.alias("bits"))
+    homes = F.filter(F.sequence(F.lit(0), F.lit(HOMES - 1)), lambda h: F.call_function("getbit", F.col("bits"), h) == 1)
+    return held.select("bucket", "term", "df", homes.alias("homes"))

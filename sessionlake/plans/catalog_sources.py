@@ -405,8 +405,8 @@ def _(spark, sf_dir):
 # Identity, imports, bundles and snapshots.
 
 
-def _bundle(t):
-    """(sessions, entries, bodies) of all sessions as a client would publish them; entries of the corpus tables."""
+def _unprinted(t):
+    """(sessions without fingerprints, entries, bodies) of all sessions as a client would publish them; entries of the corpus tables."""
     s = t["sessions"].select(
         "session_id", F.col("session_id").alias("arrival"), "source", "uuid", "repository", "cwd", "started_at", "ended_at", F.lit(None).cast("int").alias("entry_count"),
         F.concat(F.when(F.col("is_subagent"), "subagents/").otherwise(""), F.col("session_id").cast("string"), F.lit(".json")).alias("export_path"),
@@ -414,9 +414,17 @@ def _bundle(t):
     )
     header = T.entry_header(F.col("seq"), F.col("role"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     e = t["entries"].select("session_id", "seq", "role", F.lit(None).cast("string").alias("ts"), header.alias("header_line"), "blob_hash", F.col("blob_hash").alias("body_sha256"))
-    prints = ingest.session_fingerprints(s, e).withColumnRenamed("fingerprint", "session_fingerprint")
     key = T.session_key(F.col("source"), F.col("uuid"), F.col("started_at"), F.col("session_fallback"))
-    return s.join(prints, "session_id").withColumn("session_key", key), e, _bodies(t)
+    return s.withColumn("session_key", key), e, _bodies(t)
+
+
+def _printed(s, e, bodies):
+    return s.join(ingest.session_fingerprints(s, e).withColumnRenamed("fingerprint", "session_fingerprint"), "session_id"), e, bodies
+
+
+def _bundle(t):
+    """(sessions, entries, bodies) of all sessions as a client would publish them, with fingerprints."""
+    return _printed(*_unprinted(t))
 
 
 def _empty(spark: SparkSession) -> ingest.Corpus:
@@ -483,8 +491,8 @@ def _allowed(spark: SparkSession) -> DataFrame:
 def _bundles(t):
     """Two bundles: the even sessions; then the odd ones, and of the even ones a third again as they are, a third as a newer generation (without its
     first entry, with one more) and a third as an older one. Repositories are in capitals here."""
-    s, e, bodies = _bundle(t)
-    s = s.withColumn("repository", F.upper("repository")).drop("session_fingerprint")
+    s, e, bodies = _unprinted(t)
+    s = s.withColumn("repository", F.upper("repository"))
     part = lambda df, rest, at: df.where(f"session_id % 6 = {rest}").withColumn("session_id", F.col("session_id") + at)
     newer = part(s, 2, 20_000_000).withColumn("ended_at", F.lit("2027-01-01T00:00:00Z"))
     older = part(s, 4, 30_000_000).withColumn("ended_at", F.lit("2020-01-01T00:00:00Z"))
@@ -497,8 +505,7 @@ def _bundles(t):
     entries = entries.unionByName(added.withColumn("body_sha256", F.col("blob_hash")))
     first = (s.where("session_id % 2 = 0"), e.where("session_id % 2 = 0"), bodies)
     second = (sessions, entries, bodies.unionByName(extra_bodies.select("blob_hash", "body")))
-    printed = lambda x: (x[0].join(ingest.session_fingerprints(x[0], x[1]).withColumnRenamed("fingerprint", "session_fingerprint"), "session_id"), *x[1:])
-    return printed(first), printed(second)
+    return _printed(*first), _printed(*second)
 
 
 _MERGED = """, ok AS (SELECT session_id AS id, session_id % 6 AS k FROM sessions WHERE repository <> 'github.com/acme/r3'),

@@ -142,6 +142,21 @@ def test_postings_call_python_once(spark, tmp_path, analyzer):
     assert got == ([("1", "thing", (0, 2)), ("4", "thing", (1,))] if analyzer == "porter" else [("1", "things", (0, 2)), ("4", "things", (1,))])
 
 
+def test_import_shuffles_no_text_for_sizes_and_no_sets_for_homes(spark, tmp_path):
+    """Sizes of new bodies come from narrow rows, and the directory's homes from a number for each term; both are right."""
+    s, e, b = session(spark, (1, "u1", None, "r", ["same é", "one"]), (2, "u2", None, "r", ["same é"]))
+    b.unionByName(b).write.parquet(str(tmp_path / "bodies"))
+    delta = ingest.import_delta(empty(spark), s, e, spark.read.parquet(str(tmp_path / "bodies")), PERSON, None)
+    plan = delta.blobs._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(body" not in plan and {(r.nbytes, r.nrefs) for r in delta.blobs.collect()} == {(7, 2), (3, 1)}
+    assert sorted(r.body for r in delta.bodies.collect()) == ["one", "same é"]
+    rows = spark.createDataFrame([(1, "t", f"h{i}") for i in range(300)] + [(1, "u", "h7")], "bucket int, term string, blob_hash string")
+    found = ingest.term_directory(rows)
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+    home = rows.where("blob_hash = 'h7'").select(ingest.home_of(F.col("blob_hash")).alias("home")).first().home
+    assert {r.term: (r.df, r.homes) for r in found.collect()} == {"t": (300, list(range(32))), "u": (1, [home])}
+
+
 def test_resolve_and_read(spark):
     s = spark.createDataFrame([(1, "abc", "p", False, "t1"), (2, "abd", "q", False, "t2"), (3, "ab/sub", "p", True, "t3")], "session_id long, uuid string, person string, is_subagent boolean, started_at string")
     one, several = search.resolve_session(s, uuid="AB")
