@@ -9,7 +9,7 @@ import hashlib
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -296,7 +296,7 @@ def applied(corpus: Corpus, delta: Delta) -> Corpus:
         corpus, sessions=stay(corpus.sessions).unionByName(delta.sessions), entries=stay(corpus.entries).unionByName(delta.entries),
         blobs=summed_blobs(corpus.blobs.unionByName(delta.blobs)), bodies=corpus.bodies.drop("home").unionByName(delta.bodies),
         skipped=corpus.skipped.select("export_path", "reason", "cwd").unionByName(delta.skipped),
-        postings=delta.postings if corpus.postings is None else corpus.postings.unionByName(delta.postings), terms=None,
+        postings=delta.postings if corpus.postings is None else corpus.postings.drop("home").unionByName(delta.postings), terms=None,
     )
 
 
@@ -398,13 +398,18 @@ def _stem_runs(words: pa.Array) -> pa.Array:
     return placed(stemmed(words))
 
 
+def words_of(body: str) -> Column:
+    """The words of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def build_postings(bodies: DataFrame, analyzer: str = "simple") -> DataFrame:
     """bucket, term, blob_hash and positions: the words of each different body. ``porter`` folds accents and stems.
 
     A body's words are gathered inside its row, in Arrow batches, so nothing is shuffled. ``explode`` alone would filter by the lists first, and so
     make them in Python twice.
     """
-    words = F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = words_of("body")
     runs = _stem_runs(words) if analyzer == "porter" else _runs(words)
     rows = bodies.select("blob_hash", runs.alias("runs"))
     return rows.select("blob_hash", F.explode_outer("runs").alias("r")).where("r is not null").select(
@@ -412,6 +417,132 @@ def build_postings(bodies: DataFrame, analyzer: str = "simple") -> DataFrame:
     )
 
 
+#: Words, or postings, in bytes, of which one segment of a stored index is made, about.
+MOST_SEGMENT = 32 << 20
+#: A row of a stored index: a term of one segment (``segment`` of the index ``origin``) with the numbers of the segment's bodies that hold it, the end of each
+#: one's places, the places, and the bodies' homes as bits. In bucket -1 - home, ``term`` is the hash of the body of that number.
+SEGMENTS = "bucket int, term string, origin long, segment long, homes long, numbers array<int>, ends array<int>, places array<int>"
+_SEGMENTS = pa.schema([
+    ("bucket", pa.int32()), ("term", pa.string()), ("origin", pa.int64()), ("segment", pa.int64()), ("homes", pa.int64()),
+    ("numbers", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())),
+])
+PACKED = "bucket int, segment long, packed binary"
+#: One part of a segment: term, hash of each number, number and positions of each posting.
+_Postings = tuple[pa.Array, pa.Array, np.ndarray, pa.ListArray]
+
+
+def _of_words(batches: Iterator[pa.RecordBatch], analyzer: str) -> Iterator[_Postings]:
+    """Postings of rows of blob_hash and words, segment by segment."""
+    for batch in batches:
+        hashes, words = batch.columns
+        step = max(1, int(len(words) * MOST_SEGMENT / max(words.nbytes, 1)))
+        for at in range(0, len(words), step):
+            held = words.slice(at, step)
+            runs = placed(stemmed(held) if analyzer == "porter" else held)
+            lengths = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+            each = runs.flatten()
+            yield each.field("term"), hashes.slice(at, step), np.repeat(np.arange(len(held)), lengths), each.field("positions")
+
+
+def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[_Postings]:
+    """Postings of rows of term, blob_hash and positions, segment by segment."""
+
+    def made(some: list[pa.RecordBatch]) -> _Postings:
+        terms, hashes, positions = (c.combine_chunks() for c in pa.Table.from_batches(some).columns)
+        coded = hashes.dictionary_encode(null_encoding="encode")
+        return terms, coded.dictionary, coded.indices.to_numpy(), positions
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= MOST_SEGMENT:
+            yield made(held)
+            held = []
+    if held:
+        yield made(held)
+
+
+def segment_rows(terms: pa.Array, hashes: pa.Array, numbers: np.ndarray, positions: pa.ListArray, origin: int, segment: int) -> pa.RecordBatch:
+    """The rows of one segment, in order of bucket and term."""
+    coded = terms.dictionary_encode()
+    words = coded.dictionary
+    bucket = np.fromiter(map(bucket_of, words.to_pylist()), np.int32, len(words))
+    rank = np.empty(len(words), np.int64)
+    rank[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words))
+    order = np.lexsort((rank, bucket))
+    rank[order] = np.arange(len(words))
+    of = rank[coded.indices.to_numpy()]
+    by_term = np.argsort(of * len(hashes) + numbers, kind="stable")
+    of, numbers, positions = of[by_term], numbers[by_term], positions.take(pa.array(by_term))
+    begins = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+    ends = np.append(0, pc.list_value_length(positions).to_numpy(zero_copy_only=False).cumsum())
+    homes = np.array([zlib.crc32((h or "").encode()) % HOMES for h in hashes.to_pylist()], np.int64)
+    bits = np.left_shift(1, homes)
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
+    whole = lambda n, value: np.full(n, value, np.int64)
+    first = pa.record_batch([
+        pa.array(bucket[order]), words.take(pa.array(order)), whole(len(order), origin), whole(len(order), segment), np.bitwise_or.reduceat(bits[numbers], begins[:-1]),
+        lists(begins, numbers), lists(begins, ends[1:] - np.repeat(ends[begins[:-1]], np.diff(begins))), lists(ends[begins], positions.flatten()),
+    ], schema=_SEGMENTS)
+    by_home, n = np.argsort(homes, kind="stable"), len(hashes)
+    named = pa.record_batch([
+        pa.array((-1 - homes[by_home]).astype(np.int32)), hashes.take(pa.array(by_home)), whole(n, origin), whole(n, segment), bits[by_home],
+        lists(np.arange(n + 1), by_home), lists(whole(n + 1, 0), []), lists(whole(n + 1, 0), []),
+    ], schema=_SEGMENTS)
+    return pa.Table.from_batches([first, named]).combine_chunks().to_batches()[0]
+
+
+def _packed(parts: Iterator[_Postings], origin: int) -> Iterator[pa.RecordBatch]:
+    """A compressed table for each bucket of each segment; a segment is known by its task and its place in it, which are the same if the task runs again."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId() << 32
+    for n, (terms, hashes, numbers, positions) in enumerate(parts):
+        if not len(terms):
+            continue
+        rows = segment_rows(terms, hashes, numbers, positions, origin, task + n)
+        bucket = rows.column("bucket").to_numpy()
+        begins = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1)), len(bucket))
+        packed = []
+        for a, b in zip(begins[:-1], begins[1:], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _SEGMENTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows.slice(a, b - a))
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array(bucket[begins[:-1]]), np.full(len(packed), task + n, np.int64), pa.array(packed, pa.binary())], ["bucket", "segment", "packed"])
+
+
+def packed_words(bodies: DataFrame, origin: int, analyzer: str = "simple") -> DataFrame:
+    """The index of ``bodies``, by bucket and segment: what ``unpacked`` makes rows of. Neither a text nor a single posting is ever a row of a shuffle."""
+    return bodies.select("blob_hash", words_of("body").alias("words")).mapInArrow(lambda batches: _packed(_of_words(batches, analyzer), origin), PACKED)
+
+
+def packed_postings(postings: DataFrame, origin: int) -> DataFrame:
+    """``packed_words`` of an index that is there as rows of term, blob_hash and positions."""
+    return postings.select("term", "blob_hash", "positions").mapInArrow(lambda batches: _packed(_of_rows(batches), origin), PACKED)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch.column("packed"):
+            with pa.ipc.open_stream(packed.as_buffer()) as read:
+                yield from read
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """The rows (``SEGMENTS``) of packed segments."""
+    return packed.mapInArrow(_unpack, SEGMENTS)
+
+
+def unfolded(stored: DataFrame) -> DataFrame:
+    """bucket, term, blob_hash, positions and home of the rows of a stored index; filters on the first two and the home reach its scan."""
+    each = stored.where("bucket >= 0").select("bucket", "term", "origin", "segment", "ends", "places", F.posexplode("numbers").alias("nth", "number"))
+    begin = F.when(F.col("nth") == 0, 0).otherwise(F.col("ends")[F.col("nth") - 1])
+    positions = F.slice("places", begin + 1, F.col("ends")[F.col("nth")] - begin).alias("positions")
+    named = stored.where("bucket < 0").select("origin", "segment", F.col("numbers")[0].alias("number"), F.col("term").alias("blob_hash"), (-1 - F.col("bucket")).alias("home"))
+    return each.select("bucket", "term", "origin", "segment", "number", positions).join(named, ["origin", "segment", "number"]).select("bucket", "term", "blob_hash", "positions", "home")
+
+
 def home_of(blob_hash: Column) -> Column:
     """The bucket of a body, of the entries that refer to it and of its places in the index's directory."""
     return (F.crc32(blob_hash.cast("binary")) % HOMES).cast("int")
@@ -419,7 +550,17 @@ def home_of(blob_hash: Column) -> Column:
 
 def term_directory(postings: DataFrame) -> DataFrame:
     """bucket, term, df (bodies that hold the term) and homes (the buckets of those bodies, ``HOMES`` at most): what a search reads first."""
-    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), home_of(F.col("blob_hash"))))  # a number for each term, not a set that grows
-    held = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), bits.alias("bits"))
+    bits = F.call_function("shiftleft", F.lit(1).cast("long"), home_of(F.col("blob_hash")))
+    return _directory(postings.select("bucket", "term", F.lit(1).alias("n"), bits.alias("bits")), "bucket", "term")
+
+
+def segment_directory(stored: DataFrame, spread: int) -> DataFrame:
+    """``term_directory`` of the rows of a stored index, dealt by bucket: one shuffle of a row for each term and segment."""
+    rows = stored.where("bucket >= 0").select("bucket", F.pmod(F.xxhash64("term"), F.lit(spread)).alias("part"), "term", F.size("numbers").alias("n"), F.col("homes").alias("bits"))
+    return _directory(rows.repartition("bucket", "part"), "bucket", "part", "term")
+
+
+def _directory(rows: DataFrame, *key: str) -> DataFrame:
+    held = rows.groupBy(*key).agg(F.sum("n").alias("df"), F.bit_or("bits").alias("bits"))  # a number for each term, not a set that grows
     homes = F.filter(F.sequence(F.lit(0), F.lit(HOMES - 1)), lambda h: F.call_function("getbit", F.col("bits"), h) == 1)
     return held.select("bucket", "term", "df", homes.alias("homes"))

@@ -449,15 +449,15 @@ _STEMMED = """, w AS (SELECT session_id, seq, role, body, regexp_extract_all(low
 @register("search_stemmed", _STEMMED)
 def _(t):
     """The stemming index, its directory, entries and bodies written by bucket and home, read back and searched for inflected words."""
-    spark, path, texts = t["entries"].sparkSession, _scratch(t["entries"].sparkSession, "postings"), _bodies(t)
+    spark, path = t["entries"].sparkSession, _scratch(t["entries"].sparkSession, "postings")
     sessions = t["sessions"].join(t["entries"].groupBy("session_id").agg(F.count("*").cast("int").alias("entry_count")), "session_id")
     entries = t["entries"].select("session_id", "seq", "role", F.concat(F.lit("t"), F.col("seq").cast("string")).alias("ts"), F.lit("").alias("header_line"), "blob_hash")
     bundles.write_homes(entries, f"{path}/entries")
-    bundles.write_homes(texts, f"{path}/bodies")
+    bundles.write_homes(t["entries"].select("blob_hash", "body"), f"{path}/bodies", once=True)
     entries, texts = bundles.read_homes(spark, bundles.ENTRIES, f"{path}/entries"), bundles.read_homes(spark, bundles.BODIES, f"{path}/bodies")
-    bundles.write_postings(ingest.build_postings(texts, "porter"), f"{path}/postings")
+    bundles.write_index(texts, f"{path}/postings", "porter")
     postings = bundles.read_postings(spark, f"{path}/postings")
-    bundles.write_terms(postings, f"{path}/terms")
+    bundles.write_terms(spark, f"{path}/postings", f"{path}/terms")
     found = search.search(postings, entries, sessions, texts, "Things resting", limit=20, hits_per_session=20, max_chars=1 << 30, analyzer="porter", terms=bundles.read_terms(spark, f"{path}/terms"))
     return found.select("session_id", "hit_count", "entry_count", "git_branch", "cwd", F.explode("hits").alias("h")).select(
         "session_id", "hit_count", "entry_count", "git_branch", "cwd", F.col("h.hit_rank").cast("long").alias("hit_rank"), "h.seq", "h.ts", F.sha2("h.body", 256).alias("body_sha")

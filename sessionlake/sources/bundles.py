@@ -13,14 +13,16 @@ from __future__ import annotations
 import contextlib
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.operators.ingest import ANALYZER, IMPORTS, POSTING_BUCKETS, Corpus, Delta, build_postings, home_of, summed_blobs, term_directory
+from sessionlake.operators.ingest import (
+    ANALYZER, HOMES, IMPORTS, POSTING_BUCKETS, SEGMENTS, Corpus, Delta, home_of, packed_postings, packed_words, segment_directory, summed_blobs, unfolded, unpacked,
+)
 
 FANOUT = 4
 ENTRIES = "session_id long, seq int, role string, ts string, header_line string, blob_hash string, home int"
@@ -31,9 +33,10 @@ TERMS = "bucket int, term string, df long, homes array<int>"
 
 def write_bundle(sessions: DataFrame, entries: DataFrame, bodies: DataFrame, path: str) -> None:
     """Manifest rows, entry maps and every body once."""
-    sessions.write.option("compression", "zstd").parquet(f"{path}/sessions")
-    entries.write.option("compression", "zstd").parquet(f"{path}/entries")
-    bodies.dropDuplicates(["blob_hash"]).write.option("compression", "zstd").parquet(f"{path}/bodies")
+    with shuffles_freed(sessions.sparkSession):
+        sessions.write.option("compression", "zstd").parquet(f"{path}/sessions")
+        entries.write.option("compression", "zstd").parquet(f"{path}/entries")
+        bodies.dropDuplicates(["blob_hash"]).write.option("compression", "zstd").parquet(f"{path}/bodies")
 
 
 def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -58,33 +61,87 @@ def _scan(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     return read.parquet(*paths).select(*[c.split()[0] for c in schema.split(", ")])
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written or collected inside are deleted when that is done, not when the driver happens to collect its garbage.
+
+    No data frame that is made inside should be run twice; ``write`` makes a plan of its own each time.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def _spread(spark: SparkSession, parts: int) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
+
+
+def _write_segments(rows: DataFrame, path: str) -> None:
+    """Rows of an index (``SEGMENTS``), dealt by bucket, as a table partitioned by bucket and sorted by term. Numbers are stored as differences."""
+    dealt = rows.sortWithinPartitions("bucket", "term", "segment").write.partitionBy("bucket").option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
+    for column in ("numbers", "ends", "places"):
+        dealt = dealt.option(f"parquet.enable.dictionary#{column}.list.element", "false")
+    dealt.parquet(path)
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """By bucket; a frequent term is spread over files by its segments."""
+    return rows.repartition("bucket", F.pmod(F.xxhash64(*by), F.lit(_spread(rows.sparkSession, POSTING_BUCKETS))))
+
+
+def _origin() -> int:
+    return uuid.uuid4().int >> 65
+
+
+def write_index(bodies: DataFrame, path: str, analyzer: str = ANALYZER) -> None:
+    """The index of stored bodies. A segment's postings go through the shuffle as one compressed table for each bucket, and refer to its bodies by number."""
+    with shuffles_freed(bodies.sparkSession):
+        _write_segments(unpacked(_dealt(packed_words(bodies, _origin(), analyzer), "segment")), path)
+
+
 def write_postings(postings: DataFrame, path: str) -> None:
-    """An index as a table partitioned by bucket and sorted by term; a frequent term is spread over files by its bodies. Places are stored as differences."""
-    spread = max(1, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // POSTING_BUCKETS)
-    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("blob_hash"), F.lit(spread))).sortWithinPartitions("bucket", "term", "blob_hash")
-    dealt.write.partitionBy("bucket").option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").parquet(path)
+    """An index that is there as rows (``build_postings``); best with a body's rows together."""
+    with shuffles_freed(postings.sparkSession):
+        _write_segments(unpacked(_dealt(packed_postings(postings, _origin()), "segment")), path)
+
+
+def merge_indexes(spark: SparkSession, paths: list[str], path: str) -> None:
+    """Several stored indexes of one folder as one: their segments stay as they are."""
+    with shuffles_freed(spark):
+        _write_segments(_dealt(_segments(spark, *paths), "origin", "segment"), path)
+
+
+def _segments(spark: SparkSession, *paths: str) -> DataFrame:
+    return _scan(spark, SEGMENTS, *paths)
 
 
 def read_postings(spark: SparkSession, *paths: str) -> DataFrame:
-    """The index of one path or several of one folder, in one scan; a filter on the bucket reaches it."""
-    return _scan(spark, "term string, blob_hash string, positions array<int>, bucket int", *paths).select("bucket", "term", "blob_hash", "positions")
+    """The index of one path or several of one folder, as rows of bucket, term, blob_hash, positions and home; filters on bucket, term and home reach the scan."""
+    return unfolded(_segments(spark, *paths))
 
 
-def write_terms(postings: DataFrame, path: str) -> None:
-    """The directory of an index, sorted by bucket and term."""
-    term_directory(postings).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.option("compression", "zstd").parquet(path)
+def write_terms(spark: SparkSession, index: str, path: str) -> None:
+    """The directory of a stored index, dealt by bucket and sorted by bucket and term."""
+    with shuffles_freed(spark):
+        rows = segment_directory(_segments(spark, index), _spread(spark, POSTING_BUCKETS))
+        rows.sortWithinPartitions("bucket", "term").write.option("compression", "zstd").parquet(path)
 
 
 def read_terms(spark: SparkSession, *paths: str) -> DataFrame:
     return _scan(spark, TERMS, *paths)
 
 
-def write_homes(rows: DataFrame, path: str) -> None:
-    """Entries or bodies in a folder for each home, sorted by the body's hash; large homes in several files."""
-    homed = rows.drop("home").withColumn("home", home_of(F.col("blob_hash")))
-    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 32)
-    dealt = homed.repartition("home", F.pmod(F.xxhash64("blob_hash"), F.lit(spread))).sortWithinPartitions("home", "blob_hash")
-    dealt.write.partitionBy("home").option("compression", "zstd").parquet(path)
+def write_homes(rows: DataFrame, path: str, once: bool = False) -> None:
+    """Entries or bodies in a folder for each home, sorted by the body's hash; large homes in several files. ``once``: one row of each hash, in the same shuffle."""
+    part = F.pmod(F.xxhash64("blob_hash"), F.lit(_spread(rows.sparkSession, HOMES)))
+    dealt = rows.drop("home").withColumns({"home": home_of(F.col("blob_hash")), "part": part}).repartition("home", "part")
+    dealt = dealt.dropDuplicates(["home", "part", "blob_hash"]) if once else dealt
+    with shuffles_freed(rows.sparkSession):
+        dealt.drop("part").sortWithinPartitions("home", "blob_hash").write.partitionBy("home").option("compression", "zstd").parquet(path)
 
 
 def read_homes(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
@@ -92,18 +149,20 @@ def read_homes(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     return _scan(spark, schema, *paths)
 
 
-def write_delta(delta: Delta, imports: DataFrame, root: str, postings: DataFrame | None = None, level: int = 0) -> str:
+def write_delta(delta: Delta, imports: DataFrame, root: str, merged: list[str] | None = None, level: int = 0) -> str:
     """Write what an import adds under a new version. Nothing that is there is written again but the small ledger of imports.
 
-    The index is built from the bodies as they were written, if ``postings`` doesn't have it. What a failure leaves unfinished is deleted.
+    The index is built from the bodies as they were written, or put together from those of the versions ``merged``. What a failure leaves unfinished is deleted.
     """
     version, spark = f"v={level}-{uuid.uuid4().hex}", imports.sparkSession
 
     def index() -> None:
         write_homes(delta.bodies, f"{root}/bodies/{version}")
-        built = build_postings(read_homes(spark, BODIES, f"{root}/bodies/{version}"), ANALYZER) if postings is None else postings
-        write_postings(built, f"{root}/postings/{version}")
-        write_terms(read_postings(spark, f"{root}/postings/{version}"), f"{root}/terms/{version}")
+        if merged is None:
+            write_index(read_homes(spark, BODIES, f"{root}/bodies/{version}"), f"{root}/postings/{version}")
+        else:
+            merge_indexes(spark, [f"{root}/postings/{v}" for v in merged], f"{root}/postings/{version}")
+        write_terms(spark, f"{root}/postings/{version}", f"{root}/terms/{version}")
 
     def plain(name: str) -> Callable[[], None]:
         return lambda: getattr(delta, name).write.option("compression", "zstd").parquet(f"{root}/{name}/{version}")
@@ -111,7 +170,7 @@ def write_delta(delta: Delta, imports: DataFrame, root: str, postings: DataFrame
     jobs = [index, lambda: write_homes(delta.entries, f"{root}/entries/{version}"), *map(plain, ("blobs", "skipped", "sessions", "removed"))]
     jobs.append(lambda: imports.coalesce(1).write.parquet(f"{root}/imports/{version}"))
     try:
-        with ThreadPoolExecutor(len(jobs)) as pool:  # the tables don't depend on each other, and most of them are small
+        with shuffles_freed(spark), ThreadPoolExecutor(len(jobs)) as pool:  # the tables don't depend on each other, and most of them are small
             for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
                 done.result()
     except BaseException:
@@ -192,7 +251,7 @@ def write_snapshot(corpus: Corpus, root: str) -> str:
     nothing = corpus.sessions.select("session_id").limit(0)
     delta = Delta(corpus.sessions, nothing, corpus.entries, corpus.blobs, corpus.bodies, corpus.skipped, corpus.postings)
     imports = corpus.imports if corpus.imports is not None else spark.createDataFrame([], IMPORTS)
-    version = write_delta(delta, imports, root, corpus.postings)
+    version = write_delta(delta, imports, root)
     commit(spark, root, [version])
     return version
 
@@ -210,7 +269,7 @@ def settle(spark: SparkSession, root: str) -> list[str]:
         removed = spark.read.parquet(*[f"{root}/removed/{v}" for v in group]).distinct()
         removed = removed if older else removed.limit(0)  # what it names was in the group itself, or is in older versions
         delta = Delta(merged.sessions, removed, merged.entries, merged.blobs, merged.bodies, merged.skipped, merged.postings)
-        names = [*older, write_delta(delta, merged.imports, root, merged.postings, level_of(group[-1]) + 1)]
+        names = [*older, write_delta(delta, merged.imports, root, group, level_of(group[-1]) + 1)]
         commit(spark, root, names)
     return names
 

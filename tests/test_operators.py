@@ -262,6 +262,66 @@ def test_stored_index_is_read_by_bucket(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [" in plan and "EqualTo(term,deploi)" in plan
 
 
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def _gone(spark, before):
+    """Whether all shuffle files but those of ``before`` are deleted, which takes a moment."""
+    import time
+
+    return any(not _shuffle_files(spark) - before or time.sleep(0.2) for _ in range(50))
+
+
+def test_stored_index_names_each_body_once(spark, tmp_path):
+    """Its rows are those of the index as built, for a few bytes each, and nothing that it was written with stays."""
+    import random
+
+    draw = random.Random(7)
+    texts = [" ".join(f"w{draw.randrange(4000)}" for _ in range(300)) for _ in range(300)] + ["", "Things resting, things", "things rested"]
+    rows = [*((T_sha(x), x) for x in texts), (None, None), (T_sha("things rested"), "things rested")]
+    bodies, root = spark.createDataFrame(rows, "blob_hash string, body string"), tmp_path / "index"
+    plain = lambda df: sorted((r.bucket, r.term, r.blob_hash, tuple(r.positions)) for r in df.collect())
+    built = ingest.build_postings(bodies, "porter")
+    want = plain(built)
+    before = _shuffle_files(spark)
+    bundles.write_homes(bodies, str(tmp_path / "homes"), once=True)
+    bundles.write_index(bodies, str(root / "v=1"), "porter")
+    bundles.write_terms(spark, str(root / "v=1"), str(tmp_path / "terms"))
+    assert _gone(spark, before)
+    stored = bundles.read_postings(spark, str(root / "v=1"))
+    assert plain(stored) == want and sum(p.stat().st_size for p in root.rglob("*.parquet")) < 16 * len(want)
+    assert {r.blob_hash: r.home for r in stored.collect()} == {r.blob_hash: r.home for r in built.select("blob_hash", ingest.home_of(F.col("blob_hash")).alias("home")).collect()}
+    directory = lambda df: sorted((r.bucket, r.term, r.df, tuple(r.homes)) for r in df.collect())
+    assert directory(bundles.read_terms(spark, str(tmp_path / "terms"))) == directory(ingest.term_directory(built))
+    assert sorted(r.blob_hash or "" for r in bundles.read_homes(spark, bundles.BODIES, str(tmp_path / "homes")).collect()) == sorted({h or "" for h, _ in rows})
+    bundles.write_postings(built, str(root / "v=2"))
+    assert plain(bundles.read_postings(spark, str(root / "v=2"))) == want
+    bundles.merge_indexes(spark, [str(root / "v=1"), str(root / "v=2")], str(root / "v=3"))
+    assert plain(bundles.read_postings(spark, str(root / "v=3"))) == sorted(want * 2)
+    assert plain(bundles.read_postings(spark, *(str(root / f"v={n}") for n in (1, 2)))) == sorted(want * 2)
+
+
+def test_segments_of_an_index(monkeypatch):
+    """Words are dealt to segments by their bytes; each segment's rows give back its words' places."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ingest, "MOST_SEGMENT", 100)
+    words = [["b", "a", "b"], None, [], ["é", "a"], ["a"] * 40, ["c"]]
+    batch = pa.record_batch([pa.array([f"h{i}" for i in range(6)]), pa.array(words, pa.list_(pa.string()))], ["blob_hash", "words"])
+    got, parts = {}, list(ingest._of_words(iter([batch, batch.slice(0, 0)]), "simple"))
+    for n, part in enumerate(parts):
+        rows = ingest.segment_rows(*part, 1, n).to_pylist() if len(part[0]) else []
+        names = {r["numbers"][0]: r["term"] for r in rows if r["bucket"] < 0}
+        assert [r["bucket"] for r in rows if r["bucket"] >= 0] == sorted(ingest.bucket_of(r["term"]) for r in rows if r["bucket"] >= 0)
+        for r in (r for r in rows if r["bucket"] >= 0):
+            for number, a, b in zip(r["numbers"], [0, *r["ends"]], r["ends"]):
+                got[names[number], r["term"]] = r["places"][a:b]
+    assert len(parts) > 1
+    assert got == {("h0", "a"): [1], ("h0", "b"): [0, 2], ("h3", "é"): [0], ("h3", "a"): [1], ("h4", "a"): list(range(40)), ("h5", "c"): [0]}
+
+
 def test_refused_bundles(spark, tmp_path):
     """Each broken rule refuses the whole bundle and leaves the corpus as it was; a known bundle only renews its ledger row."""
     from sessionlake.streaming import ledger
