@@ -589,9 +589,11 @@ def _(t):
     at = _scratch(spark, "repaired")
     s, e, bodies = _bundle(t)
     s = s.withColumn("arrival", F.col("session_id"))
-    bundles.write_bundle(s, e.where("session_id % 3 <> 0"), bodies, f"{at}/1")
-    bundles.write_bundle(s, e, bodies, f"{at}/2")
-    told = [ledger.ingest_one(spark, f"{at}/corpus", f"{at}/{n}", "ann", None, lambda: _empty(spark)) for n in (1, 2, 2)]
+    told = []
+    for n, sent, times in ((1, e.where("session_id % 3 <> 0"), 1), (2, e, 2)):
+        bundles.write_bundle(s, sent, bodies, f"{at}/{n}")
+        told += [ledger.ingest_one(spark, f"{at}/corpus", f"{at}/{n}", "ann", None, lambda: _empty(spark)) for _ in range(times)]
+        bundles.delete(spark, f"{at}/{n}")
     outcomes = spark.createDataFrame([("outcome", x, told.count(x)) for x in sorted(set(told))], "kind string, name string, n long")
     return outcomes.unionByName(_contents(bundles.read_snapshot(spark, f"{at}/corpus")).where("kind in ('session', 'skipped', 'blob')"))
 

@@ -135,13 +135,24 @@ def read_terms(spark: SparkSession, *paths: str) -> DataFrame:
     return _scan(spark, TERMS, *paths)
 
 
-def write_homes(rows: DataFrame, path: str, once: bool = False) -> None:
-    """Entries or bodies in a folder for each home, sorted by the body's hash; large homes in several files. ``once``: one row of each hash, in the same shuffle."""
+def write_homes(rows: DataFrame, path: str, once: bool = False, rounds: int = 1) -> None:
+    """Entries or bodies in a folder for each home, sorted by the body's hash; large homes in several files. ``once``: one row of each hash, in the same shuffle.
+
+    In several rounds, each with homes of its own, only a part of ``rows`` is in shuffle files at a time, but what makes them is read again each time.
+    """
     part = F.pmod(F.xxhash64("blob_hash"), F.lit(_spread(rows.sparkSession, HOMES)))
-    dealt = rows.drop("home").withColumns({"home": home_of(F.col("blob_hash")), "part": part}).repartition("home", "part")
-    dealt = dealt.dropDuplicates(["home", "part", "blob_hash"]) if once else dealt
-    with shuffles_freed(rows.sparkSession):
-        dealt.drop("part").sortWithinPartitions("home", "blob_hash").write.partitionBy("home").option("compression", "zstd").parquet(path)
+    homed = rows.drop("home").withColumns({"home": home_of(F.col("blob_hash")), "part": part})
+    for n in range(rounds):
+        mine = homed.where((F.col("home") % rounds).eqNullSafe(n) | (F.col("home").isNull() if n == 0 else F.lit(False))) if rounds > 1 else homed
+        dealt = mine.repartition("home", "part")
+        dealt = dealt.dropDuplicates(["home", "part", "blob_hash"]) if once else dealt
+        with shuffles_freed(rows.sparkSession):
+            dealt.drop("part").sortWithinPartitions("home", "blob_hash").write.mode("append").partitionBy("home").option("compression", "zstd").parquet(path)
+
+
+def _rounds(spark: SparkSession) -> int:
+    """In how many rounds an import's new bodies are written: all those of the bundle are in shuffle files before it is known which are new."""
+    return min(4, 1 + int(spark.conf.get("spark.sql.shuffle.partitions")) // HOMES)
 
 
 def read_homes(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
@@ -157,7 +168,7 @@ def write_delta(delta: Delta, imports: DataFrame, root: str, merged: list[str] |
     version, spark = f"v={level}-{uuid.uuid4().hex}", imports.sparkSession
 
     def index() -> None:
-        write_homes(delta.bodies, f"{root}/bodies/{version}")
+        write_homes(delta.bodies, f"{root}/bodies/{version}", rounds=_rounds(spark))
         if merged is None:
             write_index(read_homes(spark, BODIES, f"{root}/bodies/{version}"), f"{root}/postings/{version}")
         else:

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sessionlake.operators.ingest import IMPORTS, BundleRefused, Corpus, Delta, bundle_digest, bundle_violations, import_delta, import_ledger
 from sessionlake.operators.requests import ABANDONED, DIMENSIONS, STATE, step
-from sessionlake.sources.bundles import commit, delete, delete_version, read_bundle, read_versions, settle, vacuum, versions, write_delta
+from sessionlake.sources.bundles import commit, delete, delete_version, read_bundle, read_versions, settle, shuffles_freed, vacuum, versions, write_delta
 
 
 def stream_request_counts(requests: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -71,6 +71,11 @@ def ingest_one(spark: SparkSession, root: str, bundle: str, person: str, allow:
     A bundle that breaks a rule is refused as a whole (``BundleRefused``); that and any failure leave the snapshot as it was, and nothing behind: what an import
     has written is deleted when it fails, and what a lost driver left is deleted by the next. Versions are merged by level as they gather.
     """
+    with shuffles_freed(spark):
+        return _ingest_one(spark, root, bundle, person, allow, empty, now)
+
+
+def _ingest_one(spark: SparkSession, root: str, bundle: str, person: str, allow: DataFrame | None, empty: Callable[[], Corpus], now: str | None) -> str:
     vacuum(spark, root)
     names = versions(spark, root)
     corpus = read_versions(spark, root, names) if names else empty()

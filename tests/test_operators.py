@@ -377,6 +377,24 @@ def test_repaired_bundles_are_imported(spark, tmp_path):
     assert len(digests) == 10
 
 
+def test_imports_leave_no_shuffle_files(spark, tmp_path):
+    """What an import has shuffled is gone when it is done, imported or replayed; bodies that are written in rounds are all there, once."""
+    from sessionlake.streaming import ledger
+
+    s, e, b = session(spark, (1, "u1", None, "r", ["a", "b"]), (2, "u2", None, "r", ["c"]))
+    before = _shuffle_files(spark)
+    bundles.write_bundle(s, e, b.unionByName(b), str(tmp_path / "bundle"))
+    for want in ("imported", "replayed"):
+        assert ledger.ingest_one(spark, str(tmp_path / "corpus"), str(tmp_path / "bundle"), PERSON, None, lambda: empty(spark)) == want
+    assert _gone(spark, before)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    rows = spark.createDataFrame([*((T_sha(str(i)), str(i)) for i in range(200)), (None, None)], "blob_hash string, body string")
+    for rounds in (1, 4):
+        bundles.write_homes(rows, str(tmp_path / f"homes{rounds}"), rounds=rounds)
+        found = bundles.read_homes(spark, bundles.BODIES, str(tmp_path / f"homes{rounds}"))
+        assert sorted((r.blob_hash or "", r.body) for r in found.collect()) == sorted((r.blob_hash or "", r.body) for r in rows.collect())
+
+
 def test_quota_looks_at_failed_uploads(spark):
     uploads = spark.createDataFrame([("a", "p", "failed", 60), ("b", "p", "queued", 50), ("c", "q", "failed", 90), ("a", "q", "complete", 5)], "upload_id string, owner string, status string, nbytes long")
     asked = spark.createDataFrame([("a", "p", 40), ("b", "p", 999), ("c", "q", 100), ("a", "q", 11), ("new", "r", 101), ("new", "p", 0)], "upload_id string, owner string, nbytes long")
